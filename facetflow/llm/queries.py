@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
-from .common import read_table
+from . import bpe, packing, token_store
+from .common import read_table, scratch_path
 
 
 def tokenizer(name: str) -> str:
@@ -21,8 +21,20 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "store")
+    token_store.write_store(read_table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"))
+    return token_store.read_digests(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op10_token_store": op10_token_store,
 }
 
 ORACLE_SQL: dict[str, str] = {}
