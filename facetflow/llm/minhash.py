@@ -32,7 +32,7 @@ BANDS = 2 * PERMUTATIONS // ROWS
 #: Least similarity, in hundredths.
 THRESHOLD = 75
 #: Words whose hashes a worker remembers; members of a block.
-WORDS, BLOCK = 500_000, 256
+WORDS, BLOCK = 500_000, 512
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -146,18 +146,16 @@ def confirm_stars(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _settle(group: list[tuple]) -> list[tuple[int, int]]:
-    """Links that join components within a group of rows (band, side, rep, component, keys, hashes): side 0 against side 1, or all if there is one side."""
+    """Links that join components within a group of rows (band, side, rep, component, keys, hashes), side 0 against side 1."""
     band = group[0][0]
-    two = len({g[1] for g in group}) > 1
     sides = np.array([g[1] for g in group])
     keys = np.array([g[4] for g in group], np.int64)
     sets = [np.frombuffer(g[5], np.uint64) for g in group]
     sizes = np.array([len(s) for s in sets])
     roots = np.unique(np.array([g[3] for g in group]), return_inverse=True)[1]
     out = []
-    for u in range(len(group)):
-        mask = (roots != roots[u]) & (100 * np.minimum(sizes, sizes[u]) >= THRESHOLD * np.maximum(sizes, sizes[u]))
-        mask &= sides > sides[u] if two else np.arange(len(group)) > u
+    for u in np.flatnonzero(sides == 0).tolist():
+        mask = (sides == 1) & (roots != roots[u]) & (100 * np.minimum(sizes, sizes[u]) >= THRESHOLD * np.maximum(sizes, sizes[u]))
         at = np.flatnonzero(mask)
         if len(at) and band:
             at = at[~(keys[at, :band] == keys[u, :band]).any(1)]  # compared in an earlier band
@@ -193,11 +191,18 @@ def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def settle_blocks(open_: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Compares members of different components within buckets (``key``, ``band``, ``rep``, ``component``), a pair of blocks at a time."""
-    sizes = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = open_.join(sizes, "key").select("key", "band", "rep", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "rep", "component")
+    """Compares members of different components within buckets (``key``, ``band``, ``rep``, ``component``).
+
+    In each bucket the members outside its largest component (side 0) meet all members (side 1), a block of each at a time:
+    pairs within the largest component take part in nothing.
+    """
+    counts = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("rest"))
+    sizes = sizes.select("key", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("js"), F.ceil(F.col("rest") / BLOCK).cast("int").alias("is"))
+    dealt = materialize(open_.join(sizes, "key"), "dealt")
+    few = dealt.filter("component <> main").select("key", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("is")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("js") - 1)).alias("j"), "band", F.lit(0).alias("side"), "rep", "component")
+    whole = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("is") - 1)).alias("i"), F.pmod(F.xxhash64("rep"), F.col("js")).cast("int").alias("j"), "band", F.lit(1).alias("side"), "rep", "component")
+    dealt = few.union(whole)
     full = dealt.join(classes.select("rep", "keys"), "rep").join(sets, "rep").select("key", "i", "j", "band", "side", "rep", "component", "keys", "hashes")
     return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(_in_blocks, "a long, b long")
 
