@@ -32,7 +32,7 @@ from .bpe import BpeModel, Codec
 from .common import delete_path, materialize, slices, texts_of
 
 #: Ids in the rolling hash; shortest and longest chunk; bits that are zero at a cut (2 to this power: the mean length).
-WINDOW, SHORTEST, LONGEST, BITS = 16, 64, 2048, 8
+WINDOW, SHORTEST, LONGEST, BITS = 16, 64, 4096, 9
 #: Digests that a writing task remembers, so as to send a payload once.
 SEEN = 1_000_000
 
