@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, packing, token_store, toxicity
+from . import bpe, minhash, packing, secrets, token_store, toxicity
 from .common import read_table, scratch_path
 
 
@@ -22,6 +22,10 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(read_table(spark, sf_dir, "documents"), repository=["source", "lang"], owner=["source"]))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -45,6 +49,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op2_secret_ownership": op2_secret_ownership,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op7_string_kernel_toxicity": op7_string_kernel_toxicity,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,

@@ -5,7 +5,8 @@ the stretches that they span, and is normalised to one for equal terms: letters
 lower it but don't end it. Terms are compared with a few landmarks only (Nyström): a sentence's feature for a landmark is
 the kernel of its nearest term. A linear machine (squared hinge, Newton steps) is trained on labelled sentences in whitened
 landmark coordinates; sentences of a toxic document carry its label if they score as toxic or are its worst (multiple
-instances). A document's score is a logistic function of its worst sentence.
+instances). A document's score is a logistic function of its
+worst sentence, of all its sentences, and of these by its length.
 
 The model is fitted on the driver from at most ``PER_CLASS`` labelled documents of each class, chosen by a hash of their
 ids; every text is scored whole.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import slices, texts_of
 
 #: Subsequence length and decay; kernel values below FLOOR count as none; the others are taken to POWER.
-LENGTH, DECAY, FLOOR, POWER = 3, 0.7, 0.3, 2
+LENGTH, DECAY, FLOOR, POWER = 4, 0.7, 0.3, 2
 #: Landmarks; labelled documents of each class at most; documents a landmark's family is counted in at most.
 LANDMARKS, PER_CLASS = 48, 700
 #: Kernel from which a term counts as of a landmark's family.
@@ -90,7 +91,8 @@ def terms_of(token: str) -> list[str]:
     while bare and not bare[-1].isalnum():
         bare = bare[:-1]
     found = [bare] if bare.isalnum() else [bare, "".join(c for c in bare if c.isalnum())]
-    return [x[i : i + SPAN] for x in found for i in range(0, max(1, len(x) - SPAN // 2), SPAN // 2) if len(x) >= LENGTH]
+    marked = [f"^{x}$" for x in found if len(x) >= LENGTH]  # a word's start and end are letters too
+    return [x[i : i + SPAN] for x in marked for i in range(0, max(1, len(x) - SPAN // 2), SPAN // 2)]
 
 
 def sentences_of(text: str) -> list[list[str]]:
@@ -204,11 +206,19 @@ class Kernel:
 
 
 class Model:
-    def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float, slope: float, level: float):
-        self.landmarks, self.weights, self.bias, self.slope, self.level = landmarks, weights, bias, slope, level
+    """Landmarks, a sentence's weights and bias, and the logistic curve over a document's evidence."""
 
-    def chance(self, worst: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * worst + self.level, -30, 30))))
+    def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float, curve: np.ndarray):
+        self.landmarks, self.weights, self.bias, self.curve = landmarks, weights, bias, curve
+
+    def chance(self, evidence: tuple[float, float, float]) -> float:
+        return float(1 / (1 + np.exp(-np.clip(np.dot(self.curve[:-1], evidence) + self.curve[-1], -30, 30))))
+
+
+def evidence_of(margins: list[float], n_tokens: int) -> tuple[float, float, float]:
+    """Of a document: its worst sentence, all sentences together, and these by length; margins are above a sentence without near terms."""
+    over = [m for m in margins if m > 0]
+    return max(over, default=0.0), float(np.log1p(sum(over))), sum(over) / (1 + n_tokens / 200)
 
 
 class Scorer:
@@ -222,17 +232,14 @@ class Scorer:
         spaced = [apart_in(t.lower()) for t in texts]
         self.kernel.learn({w for parts in (*split, *spaced) for w in parts})
         known, model = self.kernel.known, self.model
-        none = model.chance(model.bias)
+        none = model.chance((0.0, 0.0, 0.0))
         out = []
         for text, tokens, apart in zip(texts, split, spaced, strict=True):
             if all(known[w] is None for w in tokens) and all(known[w] is None for w in apart):
                 out.append(none)
                 continue
-            worst = model.bias
-            for sentence in sentences_of(text):
-                if found := [v for w in sentence if (v := known[w]) is not None]:
-                    worst = max(worst, float(np.maximum.reduce(found) @ model.weights + model.bias))
-            out.append(model.chance(worst))
+            margins = [float(np.maximum.reduce(found) @ model.weights) for s in sentences_of(text) if (found := [v for w in s if (v := known[w]) is not None])]
+            out.append(model.chance(evidence_of(margins, len(tokens))))
         return out
 
 
@@ -240,7 +247,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     """A model from labelled documents. Without both classes, or without any telling term, every text scores 0."""
     docs = [sentences_of(t) for t in texts]
     y = np.array(toxic, bool)
-    blank = Model([], np.zeros(0, np.float32), -1.0, 1.0, -30.0)
+    blank = Model([], np.zeros(0, np.float32), 0.0, np.array([0, 0, 0, -30.0]))
     if y.all() or not y.any():
         return blank
     landmarks = choose_landmarks(docs, y)
@@ -271,18 +278,21 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         best = np.full(len(docs), -np.inf)
         np.maximum.at(best, owner, f)
         label = np.where(bad & ((f > 0) | (f == best[owner])), 1.0, -1.0)
-    worst = np.full(len(docs), -np.inf)
-    np.maximum.at(worst, owner, x @ w + b)
-    slope, level = logistic(worst, y)
-    return Model(landmarks, (white @ w).astype(np.float32), float(b), slope, level)
+    weights = (white @ w).astype(np.float32)
+    evidence = []
+    for d in docs:
+        margins = [float(np.maximum.reduce(found) @ weights) for s in d if (found := [v for t in s if (v := kernel.known[t]) is not None])]
+        evidence.append(evidence_of(margins, sum(map(len, d))))
+    return Model(landmarks, weights, float(b), logistic(np.array(evidence), y))
 
 
 def choose_landmarks(docs: list[list[list[str]]], y: np.ndarray) -> list[str]:
-    """Terms of toxic documents that no clean one has, those first whose neighbours (by the kernel) are in many toxic documents; near ones of those chosen count less."""
+    """Terms that toxic documents hold much more often than clean ones, those first whose neighbours (by the kernel) are in many toxic documents; near ones of those chosen count less."""
     of_doc = [{x for s in d for w in s for x in terms_of(w)} for d in docs]
     clean = Counter(t for d, bad in zip(of_doc, y, strict=True) if not bad for t in d)
     dirty = Counter(t for d, bad in zip(of_doc, y, strict=True) if bad for t in d)
-    own = sorted((t for t in dirty if t not in clean), key=lambda t: (-dirty[t], t))[:1500]
+    rate = y.sum() / max(1, (~y).sum())
+    own = sorted((t for t in dirty if dirty[t] >= 5 * rate * clean[t]), key=lambda t: (-dirty[t], t))[:1500]
     if not own:
         return []
     own, gain = _telling(own, of_doc, y, clean, 1500)
@@ -340,21 +350,23 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, c: float = 40.0) -> tuple[np.nda
     return w[:m], float(w[m])
 
 
-def logistic(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and level of a logistic curve through documents' worst sentences, with softened targets (Platt)."""
+def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slopes and level of a logistic curve through documents' evidence, with softened targets (Platt); a clean document called toxic costs three times as much as the reverse."""
     target = np.where(y, (y.sum() + 1) / (y.sum() + 2), 1 / ((~y).sum() + 2))
-    weight = np.where(y, 0.5 / max(1, y.sum()), 0.5 / max(1, (~y).sum()))
-    a = np.stack([f, np.ones(len(f))], 1)
-    w = np.zeros(2)
-    for _ in range(50):
+    weight = np.where(y, 50 / max(1, y.sum()), 150 / max(1, (~y).sum()))
+    spread = x.std(0) + 1e-9
+    a = np.hstack([x / spread, np.ones((len(x), 1))])
+    w = np.zeros(a.shape[1])
+    ridge = np.diag([0.02] * x.shape[1] + [1e-6])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (weight * (p - target)) + 1e-4 * w
-        h = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-4 * np.eye(2)
+        g = a.T @ (weight * (p - target)) + ridge @ w
+        h = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge
         step = np.linalg.solve(h, g)
-        w -= np.clip(step, -5, 5)
+        w -= np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0]), float(w[1])
+    return np.append(w[:-1] / spread, w[-1])
 
 
 def held_out(id_col: str = "doc_id"):
