@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, packing, secrets, token_store, toxicity
+from . import bpe, html_extract, minhash, packing, secrets, token_count, token_store, toxicity, vector_search
 from .common import read_table, scratch_path
 
 
@@ -30,6 +30,15 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op4_site_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op5_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
@@ -41,6 +50,11 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_count.token_counts(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "store")
     token_store.write_store(read_table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"))
@@ -51,9 +65,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_secret_ownership": op2_secret_ownership,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_site_template_text": op4_site_template_text,
+    "op5_vantage_point_search": op5_vantage_point_search,
     "op7_string_kernel_toxicity": op7_string_kernel_toxicity,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_token_counts": op9_token_counts,
     "op10_token_store": op10_token_store,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_vantage_point_search": """
+        WITH sound AS (
+            SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   sqrt(list_sum(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
+            FROM sound q JOIN sound c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM pairs QUALIFY rank <= 10""",
+}
