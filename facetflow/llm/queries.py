@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, minhash, packing, secrets, token_count, token_store, toxicity, vector_search
+from . import bpe, html_extract, image_match, minhash, packing, secrets, token_count, token_store, toxicity, vector_search
 from .common import read_table, scratch_path
 
 
@@ -39,6 +39,13 @@ def op5_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op6_edited_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds media, so every vector is drawn; an edited copy of each one whose id is divisible by 20 is searched among all."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    asked = image_match.drawn(vectors.filter(F.col("vec_id") % 20 == 0), "vec_id", "embedding", edited=True)
+    return image_match.copies_of(asked, image_match.drawn(vectors, "vec_id", "embedding"))
+
+
 def op7_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
@@ -67,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_site_template_text": op4_site_template_text,
     "op5_vantage_point_search": op5_vantage_point_search,
+    "op6_edited_pictures": op6_edited_pictures,
     "op7_string_kernel_toxicity": op7_string_kernel_toxicity,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_token_counts": op9_token_counts,
