@@ -290,7 +290,8 @@ class Codec:
             tokenizer = Tokenizer.from_file(library)  # kept: its model is a part of it
             alphabet, tokenize = byte_alphabet(), tokenizer.model.tokenize
             table = {b: c for b, c in enumerate(alphabet)}
-            self.encode_words = lambda words: [np.array([t.id for t in tokenize(w.decode("latin-1").translate(table))] if w else [], "<u4").tobytes() for w in words]
+            packed = [i.to_bytes(4, "little") for i in range(model.size)]
+            self.encode_words = lambda words: [b"".join([packed[t.id] for t in tokenize(w.decode("latin-1").translate(table))]) if w else b"" for w in words]
 
     def learn(self, pieces: Iterable, store: dict, lead: str = "") -> None:
         new = list(set(pieces).difference(store))
@@ -310,10 +311,10 @@ class Codec:
         for piece, parts in zip(new, split, strict=True):
             store[piece] = ids[parts[0]] if len(parts) == 1 else b"".join(map(ids.__getitem__, parts))
 
-    def encode_raw(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
+    def encode_raw(self, texts: list) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers; where white space is dropped, texts may be UTF-8 bytes."""
         if self.cut is None:
-            split = [t.encode().split() for t in texts]
+            split = [(t if isinstance(t, bytes) else t.encode()).split() for t in texts]
             self.learn(chain.from_iterable(split), self.known)
             known = self.known.__getitem__
             return [b"".join(map(known, parts)) for parts in split]

@@ -32,7 +32,7 @@ from .bpe import BpeModel, Codec
 from .common import delete_path, materialize, slices, texts_of
 
 #: Ids in the rolling hash; shortest and longest chunk; bits that are zero at a cut (2 to this power: the mean length).
-WINDOW, SHORTEST, LONGEST, BITS = 16, 64, 4096, 9
+WINDOW, SHORTEST, LONGEST, BITS = 8, 64, 4096, 9
 #: Digests that a writing task remembers, so as to send a payload once.
 SEEN = 1_000_000
 
@@ -117,7 +117,8 @@ def _encoded(df: DataFrame, tokenizer_path: str, end_id: int, width: int) -> Dat
         codec, end, kind = Codec(BpeModel(tokenizer_path), library=tokenizer_path), end_id.to_bytes(4, "little"), np.dtype(f"<u{width}")
         seen: set[bytes] = set()
         for batch in slices(batches, "text"):
-            raw = [x + end for x in codec.encode_raw(texts_of(batch.column("text")))]
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()] if codec.cut is None else texts_of(batch.column("text"))
+            raw = [x + end for x in codec.encode_raw(texts)]
             ids = np.frombuffer(b"".join(raw), "<u4")
             bounds = np.cumsum([0, *(len(x) // 4 for x in raw)])
             packed = ids.astype(kind).tobytes()
