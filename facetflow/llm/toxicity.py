@@ -1,6 +1,6 @@
 """Toxicity by a support vector machine over a gap-weighted subsequence string kernel.
 
-The kernel of two terms sums, over all strings of ``LENGTH`` letters that both hold as subsequences, a decay to the power of
+The kernel of two terms sums, over all strings of ``LENGTH`` letters that both hold as subsequences (of a bounded stretch), a decay to the power of
 the stretches that they span, and is normalised to one for equal terms: letters that are inserted, left out or set apart
 lower it but don't end it. Terms are compared with a few landmarks only (Nyström): a sentence's feature for a landmark is
 the kernel of its nearest term. A linear machine (squared hinge, Newton steps) is trained on labelled sentences in whitened
@@ -31,6 +31,8 @@ from .common import slices, texts_of
 LENGTH, DECAY, FLOOR, POWER = 4, 0.7, 0.3, 2
 #: Landmarks; labelled documents of each class at most; documents a landmark's family is counted in at most.
 LANDMARKS, PER_CLASS = 48, 700
+#: Letters that a subsequence may stretch over.
+STRETCH = 7
 #: Kernel from which a term counts as of a landmark's family.
 NEAR = 0.5
 #: Longest stretch of a token that is one term; longer tokens are cut with half of it overlapping.
@@ -38,7 +40,7 @@ SPAN = 24
 #: Score from which a document is called toxic.
 REJECT = 0.7
 #: Terms that a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 #: Single letters set apart.
 SPACED = re.compile(r"(?<!\S)\w(?:[ *_-]{1,3}\w){3,}(?!\S)")
 
@@ -51,36 +53,25 @@ def coded(terms: list[str], width: int, pad: int) -> np.ndarray:
     return out
 
 
-def subsequence_kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Kernel of each row of ``s`` (n, w) with each of ``t``: (m, v) for all rows, or (n, m, v) for a row's own. Pads never match."""
-    if t.ndim == 2:
-        t = t[None]
-    n, w = s.shape
-    _, m, v = t.shape
-    rise = (DECAY ** -np.arange(1, v + 1, dtype=np.float32)).astype(np.float32)
-    fall = (DECAY ** np.arange(1, v + 1, dtype=np.float32)).astype(np.float32)
-    inner = [np.ones((n, m, v + 1), np.float32)] + [np.zeros((n, m, v + 1), np.float32) for _ in range(LENGTH - 1)]
-    total = np.zeros((n, m), np.float32)
-    square = np.float32(DECAY**2)
-    for a in range(w):
-        match = s[:, a, None, None] == t
-        if not match.any():
-            for k in range(1, LENGTH):
-                inner[k] *= np.float32(DECAY)
-            continue
-        total += square * np.einsum("nmv,nmv->nm", match, inner[-1][:, :, :-1])
-        for k in range(LENGTH - 1, 0, -1):
-            ended = inner[k - 1][:, :, :-1] * match
-            ended *= rise
-            np.cumsum(ended, axis=2, out=ended)
-            ended *= fall * square
-            inner[k] *= np.float32(DECAY)
-            inner[k][:, :, 1:] += ended
-    return total
-
-
-def self_kernel(s: np.ndarray) -> np.ndarray:
-    return subsequence_kernel(s, np.where(s < 0, -2, s)[:, None, :])[:, 0]
+@lru_cache(maxsize=SPAN + 3)
+def picks(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All choices of LENGTH places among n within STRETCH, and the decay to the power of the stretch of each."""
+    found = [(i, *(i + k for k in rest)) for i in range(n) for rest in combinations(range(1, min(STRETCH, n - i)), LENGTH - 1)]
+    places = np.array(found, np.int64).reshape(-1, LENGTH)
+    return places, (DECAY ** (places[:, -1] - places[:, 0] + 1)).astype(np.float32)
+
+
+def own_kernel(terms: list[str]) -> np.ndarray:
+    """Kernel of each term with itself."""
+    out = np.zeros(len(terms), np.float32)
+    for k, x in enumerate(terms):
+        places, decay = picks(len(x))
+        sums: dict[str, float] = {}
+        for at, d in zip(places.tolist(), decay.tolist(), strict=True):
+            u = "".join([x[i] for i in at])
+            sums[u] = sums.get(u, 0.0) + d
+        out[k] = sum(v * v for v in sums.values())
+    return out
 
 
 def terms_of(token: str) -> list[str]:
@@ -116,13 +107,6 @@ def apart_in(text: str) -> list[str]:
     return ["".join(c for c in m if c.isalnum()) for m in SPACED.findall(text)]
 
 
-@lru_cache(maxsize=SPAN + 1)
-def picks(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """All choices of LENGTH places among n, and the decay to the power of the stretch of each."""
-    places = np.array(list(combinations(range(n), LENGTH)), np.int64).reshape(-1, LENGTH)
-    return places, (DECAY ** (places[:, -1] - places[:, 0] + 1)).astype(np.float32)
-
-
 class Kernel:
     """Kernels of tokens with the landmarks; those of one token's terms are joined by their maximum.
 
@@ -136,8 +120,7 @@ class Kernel:
         self.base = len(self.letters) + 1
         self.table = np.zeros(1 << 16, np.int64)
         self.table[[ord(c) for c in self.letters if ord(c) < 1 << 16]] = [k for c, k in self.letters.items() if ord(c) < 1 << 16]
-        t = coded(landmarks, max([LENGTH, *map(len, landmarks)]), -1)
-        self.scale = 1 / np.sqrt(np.maximum(self_kernel(t), 1e-12))
+        self.scale = 1 / np.sqrt(np.maximum(own_kernel(landmarks), 1e-12))
         codes, weights, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)], [np.zeros(0, np.int64)]
         for k, x in enumerate(landmarks):
             places, decay = picks(len(x))
@@ -154,6 +137,7 @@ class Kernel:
             self.slot[held] = np.arange(len(held))
         self.zero = np.zeros(len(landmarks), np.float32)
         self.known: dict[str, np.ndarray | None] = {}
+        self.terms: dict[str, np.ndarray | None] = {}
 
     def codes(self, letters: np.ndarray) -> np.ndarray:
         """A number for each subsequence, from code points; 0 is a letter that no landmark holds."""
@@ -185,9 +169,8 @@ class Kernel:
                 value = sums.astype(np.float32) @ self.features[:none] * self.scale
                 # the sum of squared decays is a lower bound of the term's own kernel
                 close = np.flatnonzero((value / np.sqrt((decay**2).sum()) >= FLOOR).any(1))
-                for part in np.array_split(close, len(close) // 256 + 1):
-                    if len(part):
-                        out[at[part]] = value[part] / np.sqrt(self_kernel(s[part]))[:, None]
+                if len(close):
+                    out[at[close]] = value[close] / np.sqrt(own_kernel([terms[k] for k in at[close]]))[:, None]
         out[out < FLOOR] = 0
         return out**POWER  # a power of a kernel is a kernel
 
@@ -197,11 +180,18 @@ class Kernel:
             self.known.clear()
         new = list(set(tokens).difference(self.known))
         split = [terms_of(x) for x in new]
-        # a common subsequence takes LENGTH letters of some landmark
-        terms = list({x for parts in split for x in parts if sum(c in self.letters for c in x) >= LENGTH})
-        values = dict(zip(terms, self.of_terms(terms), strict=True)) if terms and self.landmarks else {}
+        if len(self.terms) > REMEMBERED:
+            self.terms.clear()
+        fresh = list({x for parts in split for x in parts}.difference(self.terms))
+        self.terms.update(dict.fromkeys(fresh))
+        if fresh and self.landmarks:
+            # a common subsequence takes LENGTH letters of some landmark
+            fresh = [x for x in fresh if sum(c in self.letters for c in x) >= LENGTH]
+            values = self.of_terms(fresh)
+            for k in np.flatnonzero(values.any(1)).tolist():
+                self.terms[fresh[k]] = values[k].copy()
         for token, parts in zip(new, split, strict=True):
-            found = [v for x in parts if (v := values.get(x)) is not None and v.any()]
+            found = [v for x in parts if (v := self.terms[x]) is not None]
             self.known[token] = np.maximum.reduce(found) if found else None
 
 
