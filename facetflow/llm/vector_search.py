@@ -79,8 +79,11 @@ class Tree:
 
 
 def distances(vectors: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Euclidean, in double precision: a row for each point."""
-    return np.sqrt(np.square(vectors[None] - points[:, None]).sum(-1))
+    """Euclidean, in double precision: a row for each point. Squares are added in the order of components, as SQL engines do."""
+    total = np.zeros((len(points), len(vectors)))
+    for x, p in zip(vectors.T, points.T, strict=True):
+        total += np.square(x[None] - p[:, None])
+    return np.sqrt(total)
 
 
 def _searched(k: int, factor: float):
