@@ -34,6 +34,8 @@ def distances(hop: DataFrame, nodes: DataFrame, wanted: int | Iterable[int]) ->
     if not wanted or wanted[-1] == 0:
         return seen.filter(F.col("dist").isin(wanted))
     step = hop.select(F.col("src").alias("_s"), F.col("dst").alias("_d"))
+    if wanted[-1] > 1:
+        step = written(step, "hops")  # read in every round
     frontier, parts = seen, [seen]
     for dist in range(1, wanted[-1] + 1):
         reached = frontier.join(step, F.col("dst") == F.col("_s")).select("src", F.col("_d").alias("dst")).distinct()

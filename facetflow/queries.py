@@ -156,7 +156,8 @@ def scan_first(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {FIRST}, {near(3)} SELECT src, dst, CAST(dist AS BIGINT) AS dist FROM D")
 def neighbors_k(spark, sf_dir):
-    return relations.neighbor_relations(first_graph(spark, sf_dir), range(4), lookup.within(first_graph(spark, sf_dir), [0])).select("src", "dst", F.col("dist").cast("bigint").alias("dist"))
+    g = first_graph(spark, sf_dir)
+    return relations.neighbor_relations(g, range(4), lookup.within(g, [0])).select("src", "dst", F.col("dist").cast("bigint").alias("dist"))
 
 
 @query(f"WITH RECURSIVE {THIRD}, {near(2)} SELECT src, dst, CAST(dist AS BIGINT) AS dist FROM D WHERE dist > 0")
