@@ -1,7 +1,7 @@
 """Main text of web pages, after removal of what a site repeats.
 
-Every element's subtree is hashed; hashes are counted per host over distinct pages, and subtrees that stand on at least
-``SHARE`` of a host's pages (and ``PAGES`` of them) are deleted as template. Elements whose tag or class says that they are
+Every element's subtree is hashed; hashes are counted per host over distinct pages (those whose texts, before any template
+goes, differ), and subtrees that stand on at least ``SHARE`` of a host's pages (and ``PAGES`` of them) are deleted as template. Elements whose tag or class says that they are
 no article text go as well. What is left of the article elements, or of the whole page without any, is the text.
 """
 
@@ -38,6 +38,10 @@ WORD = re.compile(r"[a-z]+")
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
+def hash_of(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 class Page:
     """One pass over a page: hashes of subtrees, and the text that is left without those in ``template``."""
 
@@ -108,7 +112,7 @@ class Page:
     def close(self) -> str:
         name, first, parts, goes = self.open.pop()
         self.counts[name] -= 1
-        own = xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
+        own = hash_of("\0".join(parts))
         self.open[-1][2].append(str(own))
         if len(parts) > 1 and name not in ("html", "body", "article", "main"):
             self.hashes.add(own)
@@ -139,25 +143,29 @@ class Page:
 
 
 def subtrees(pages: DataFrame, html_col: str) -> DataFrame:
-    """``host`` and ``subtree``, once for each page that has it."""
+    """For each page its ``host``, hashes of its text (``page``) and html (``copy``), and its ``subtrees``."""
+    fields = {"host": pa.string(), "page": pa.int64(), "copy": pa.int64(), "subtrees": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, html_col):
-            hosts, hashes = [], []
+            rows = []
             for host, html in zip(batch.column("host").to_pylist(), texts_of(batch.column(html_col)), strict=True):
-                own = Page(html).hashes
-                hosts += [host] * len(own)
-                hashes += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "subtree"])
+                page = Page(html)
+                rows.append((host, hash_of(page.result()), hash_of(html), sorted(page.hashes)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(fields.values())], list(fields))
 
-    return pages.mapInArrow(run, "host string, subtree long")
+    return pages.mapInArrow(run, "host string, page long, copy long, subtrees array<long>")
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host`` and its ``template``: hashes of subtrees that recur. A host has fewer of them than 1 / SHARE pages have subtrees, however many pages it has."""
+    """``host`` and its ``template``: hashes of subtrees that recur. A host has fewer of them than 1 / SHARE pages have subtrees, however many pages it has.
+
+    Pages of one host and one text are copies and count as one, whose subtrees are those of the copy with the smallest hash.
+    """
     hosted = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias(html_col)).filter("host <> ''")
-    totals = hosted.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= PAGES)
-    counted = subtrees(hosted, html_col).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= PAGES)
+    distinct = materialize(subtrees(hosted, html_col).groupBy("host", "page").agg(F.min_by("subtrees", "copy").alias("subtrees")), "distinct-pages")
+    totals = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= PAGES)
+    counted = distinct.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= PAGES)
     often = counted.join(totals, "host").filter(F.col("n") >= SHARE * F.col("pages"))
     return materialize(often.groupBy("host").agg(F.collect_list("subtree").alias("template")), "templates")
 
@@ -170,7 +178,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text
     """``pages`` without ``html_col``, with ``text_col``: blocks in page order, joined by an empty line.
 
     Null and empty html give an empty text, as does a page without article text. Pages without a host (null or odd url)
-    have no template. Repeated rows are kept and count as pages. A column named as the new one is replaced.
+    have no template. Repeated rows are kept; they and other copies of a text count as one page of a host. A column named as the new one is replaced.
     """
     found = templates(pages, url_col, html_col)
     fields = [f for f in pages.schema.fields if f.name not in (html_col, text_col)]

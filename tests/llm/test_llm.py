@@ -146,6 +146,18 @@ def test_site_templates(spark):
     assert html.unescape("&amp;") == "&"
 
 
+@pytest.mark.parametrize(("others", "copies"), [(2, 3), (6, 6)])
+def test_copies_of_an_article_are_no_template(spark, others, copies):
+    page = "<body><script>var x={k}</script><div><p>Welcome to the site</p></div><article><h1>T{n}</h1><p>Story {n}</p></article></body>"
+    plain = "<body><div><p>Welcome to the site</p></div><div><h1>T{n}</h1><p>Story {n}</p></div></body>"
+    rows = [(i, f"http://{host}/{i}", form.format(n=max(0, i - copies + 1), k=k * i)) for host, form, k in (("a", page, 0), ("b", page, 1), ("c", plain, 0)) for i in range(others + copies)]
+    found = html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    welcome = "" if others + 1 >= html_extract.PAGES else "Welcome to the site\n\n"
+    for r in found:
+        n = max(0, r["page_id"] - copies + 1)
+        assert r["text"] == (f"T{n}\n\nStory {n}" if "//c/" not in r["url"] else f"{welcome}T{n}\n\nStory {n}"), r["url"]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 8)).astype(np.float32)
