@@ -1,6 +1,6 @@
 """Toxicity by a support vector machine over a gap-weighted subsequence string kernel.
 
-The kernel of two terms sums, over all strings of ``LENGTH`` letters that both hold as subsequences (of a bounded stretch), a decay to the power of
+The kernel of two terms sums, over all strings of ``LENGTH`` letters that both hold as subsequences, a decay to the power of
 the stretches that they span, and is normalised to one for equal terms: letters that are inserted, left out or set apart
 lower it but don't end it. Terms are compared with a few landmarks only (Nyström): a sentence's feature for a landmark is
 the kernel of its nearest term. A linear machine (squared hinge, Newton steps) is trained on labelled sentences in whitened
@@ -18,7 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import combinations
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +31,14 @@ from .common import slices, texts_of
 LENGTH, DECAY, FLOOR, POWER = 4, 0.7, 0.3, 2
 #: Landmarks; labelled documents of each class at most; documents a landmark's family is counted in at most.
 LANDMARKS, PER_CLASS = 48, 700
-#: Letters that a subsequence may stretch over.
-STRETCH = 7
 #: Kernel from which a term counts as of a landmark's family.
 NEAR = 0.5
 #: Longest stretch of a token that is one term; longer tokens are cut with half of it overlapping.
 SPAN = 24
+#: Letters that a subsequence may stretch over: a whole term, so that every gap within one counts.
+STRETCH = SPAN
+#: Landmarks that a step of the recursion takes together; terms at a time.
+TOGETHER, AT_ONCE = 12, 16384
 #: Score from which a document is called toxic.
 REJECT = 0.7
 #: Terms that a worker remembers.
@@ -48,41 +50,45 @@ SPACED = re.compile(r"(?<!\S)\w(?:[ *_-]{1,3}\w){3,}(?!\S)")
 def coded(terms: list[str], width: int, pad: int) -> np.ndarray:
     """Code points of terms, padded."""
     out = np.full((len(terms), width), pad, np.int32)
-    for k, t in enumerate(terms):
-        out[k, : len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.int32)
+    sizes = np.fromiter(map(len, terms), np.int64, len(terms))
+    out[np.arange(width) < sizes[:, None]] = np.frombuffer("".join(terms).encode("utf-32-le", "surrogatepass"), np.int32)
     return out
 
 
-@lru_cache(maxsize=SPAN + 3)
-def picks(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """All choices of LENGTH places among n within STRETCH, and the decay to the power of the stretch of each."""
-    found = [(i, *(i + k for k in rest)) for i in range(n) for rest in combinations(range(1, min(STRETCH, n - i)), LENGTH - 1)]
-    places = np.array(found, np.int64).reshape(-1, LENGTH)
-    return places, (DECAY ** (places[:, -1] - places[:, 0] + 1)).astype(np.float32)
-
-
 def own_kernel(terms: list[str]) -> np.ndarray:
-    """Kernel of each term with itself."""
+    """Kernel of each term with itself: ``inner[k]`` sums over pairs of equal subsequences of k + 1 letters, the second before a place."""
     out = np.zeros(len(terms), np.float32)
-    for k, x in enumerate(terms):
-        places, decay = picks(len(x))
-        sums: dict[str, float] = {}
-        for at, d in zip(places.tolist(), decay.tolist(), strict=True):
-            u = "".join([x[i] for i in at])
-            sums[u] = sums.get(u, 0.0) + d
-        out[k] = sum(v * v for v in sums.values())
+    sizes = np.fromiter(map(len, terms), np.int64, len(terms))
+    for n in np.unique(sizes[sizes >= LENGTH]).tolist():
+        own = np.flatnonzero(sizes == n)
+        s = coded([terms[k] for k in own], n, 0)
+        fall = np.triu(DECAY ** (np.arange(n) - np.arange(n)[:, None] + 1.0), 1)
+        inner = np.zeros((LENGTH - 1, len(own), n))
+        for a in range(n):
+            match = s[:, a : a + 1] == s
+            out[own] += DECAY**2 * (inner[-1] * match).sum(1)
+            ended = np.concatenate([match[None], inner[:-1] * match]) @ fall
+            inner = DECAY * inner + ended
     return out
 
 
+@lru_cache(maxsize=SPAN + 3)
+def least_own(n: int) -> float:
+    """A lower bound of the own kernel of n letters: that of letters that all differ."""
+    return sum((n - k + 1) * comb(k - 2, LENGTH - 2) * DECAY ** (2 * k) for k in range(LENGTH, n + 1))
+
+
 def terms_of(token: str) -> list[str]:
     """What a token is compared as: itself without outer punctuation, and without inner punctuation if it has any; long ones in stretches."""
+    if LENGTH - 2 <= len(token) <= SPAN - 2 and token.isalnum():
+        return [f"^{token}$"]
     bare = token.strip("_").strip()
     while bare and not bare[0].isalnum():
         bare = bare[1:]
     while bare and not bare[-1].isalnum():
         bare = bare[:-1]
     found = [bare] if bare.isalnum() else [bare, "".join(c for c in bare if c.isalnum())]
-    marked = [f"^{x}$" for x in found if len(x) >= LENGTH]  # a word's start and end are letters too
+    marked = [m for x in found if x and len(m := f"^{x}$") >= LENGTH]  # a word's start and end are letters too
     return [x[i : i + SPAN] for x in marked for i in range(0, max(1, len(x) - SPAN // 2), SPAN // 2)]
 
 
@@ -107,70 +113,118 @@ def apart_in(text: str) -> list[str]:
     return ["".join(c for c in m if c.isalnum()) for m in SPACED.findall(text)]
 
 
-class Kernel:
-    """Kernels of tokens with the landmarks; those of one token's terms are joined by their maximum.
+class Block:
+    """The recursion over gap-weighted subsequences for some landmarks, whose places are laid out in one row.
 
-    For short subsequences the kernel's own feature space is small once it is cut to what the landmarks hold, so it is laid
-    out: the decays of a term's subsequences are summed by subsequence, and one product of matrices gives all kernels.
+    For a term's letters read so far, ``inner[k]`` holds for each place the sum over common subsequences of k + 1 letters that
+    lie before it, decayed up to both ends. Terms come sorted, and those that start alike share the steps of their start.
     """
 
+    def __init__(self, landmarks: list[list[int]], letters: int):
+        sizes = [len(x) for x in landmarks]
+        owner, place = np.repeat(np.arange(len(sizes)), sizes), np.concatenate([np.arange(n) for n in sizes])
+        gap = place - place[:, None]
+        fall = np.where((owner == owner[:, None]) & (gap > 0), DECAY ** (np.maximum(gap, 0) + 1.0), 0).astype(np.float32)
+        whose = (DECAY**2 * (owner[:, None] == np.arange(len(sizes)))).astype(np.float32)
+        self.width, self.n = len(owner), len(sizes)
+        self.at = [np.flatnonzero(np.concatenate(landmarks) == c) for c in range(letters + 1)]
+        self.fall, self.whose = [fall[at] for at in self.at], [whose[at] for at in self.at]
+
+    def kernels(self, s: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of rows of letters' numbers: 0 is one that no landmark holds."""
+        out = np.zeros((len(s), self.n), np.float32)
+        rows, node = np.arange(len(s)), np.zeros(len(s), np.int64)
+        inner, total = np.zeros((LENGTH - 1, 1, self.width), np.float32), np.zeros((1, self.n), np.float32)
+        for depth in range(s.shape[1]):
+            letter = s[rows, depth]
+            first = np.ones(len(rows), bool)
+            first[1:] = (letter[1:] != letter[:-1]) | (node[1:] != node[:-1])
+            by_letter = np.argsort(letter[first], kind="stable")
+            parent, letters = node[first][by_letter], letter[first][by_letter]
+            number = np.empty(len(parent), np.int64)
+            number[by_letter] = np.arange(len(parent))
+            node = number[np.cumsum(first) - 1]
+            # starts that no term goes on from need their kernel only
+            goes_on = sizes[rows] > depth + 1
+            more = np.zeros(len(parent), bool)
+            more[node[goes_on]] = True
+            slot = np.concatenate([[0], np.cumsum(more)])
+            kept = parent[more]
+            before, inner = inner, inner[:, kept]
+            inner *= np.float32(DECAY)
+            total = total[parent]
+            cuts = [0, *(np.flatnonzero(np.diff(letters)) + 1).tolist(), len(letters)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                at, fall = self.at[letters[i]], self.fall[letters[i]]
+                if letters[i] and len(at):
+                    total[i:j] += before[-1][parent[i:j, None], at] @ self.whose[letters[i]]
+                    if (a := slot[i]) < (b := slot[j]):
+                        inner[0, a:b] += fall.sum(0)
+                        for k in range(1, LENGTH - 1):
+                            inner[k, a:b] += before[k - 1][kept[a:b, None], at] @ fall
+            out[rows[~goes_on]] = total[node[~goes_on]]
+            rows, node, total = rows[goes_on], slot[node[goes_on]], total[more]
+            if not len(rows):
+                break
+        return out
+
+
+class Kernel:
+    """Kernels of tokens with the landmarks; those of one token's terms are joined by their maximum."""
+
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        self.letters = {c: k + 1 for k, c in enumerate(sorted({c for x in landmarks for c in x}))}
-        self.base = len(self.letters) + 1
-        self.table = np.zeros(1 << 16, np.int64)
-        self.table[[ord(c) for c in self.letters if ord(c) < 1 << 16]] = [k for c, k in self.letters.items() if ord(c) < 1 << 16]
+        self.letters = frozenset(c for x in landmarks for c in x)
+        self.points = np.array(sorted(map(ord, self.letters)), np.int32)
         self.scale = 1 / np.sqrt(np.maximum(own_kernel(landmarks), 1e-12))
-        codes, weights, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)], [np.zeros(0, np.int64)]
-        for k, x in enumerate(landmarks):
-            places, decay = picks(len(x))
-            codes.append(self.codes(coded([x], len(x), 0)[0][places]))
-            weights.append(decay)
-            owner.append(np.full(len(decay), k))
-        held, at = np.unique(np.concatenate(codes), return_inverse=True)
-        self.held = np.append(held, np.int64(2**62))
-        self.features = np.zeros((len(held) + 1, len(landmarks)), np.float32)
-        np.add.at(self.features, (at, np.concatenate(owner)), np.concatenate(weights))
-        self.slot = None
-        if self.base**LENGTH <= 1 << 22:
-            self.slot = np.full(self.base**LENGTH, len(held), np.int32)
-            self.slot[held] = np.arange(len(held))
+        numbers = [self.numbers(coded([x], len(x), -1))[0] for x in landmarks]
+        self.blocks = [Block(numbers[k : k + TOGETHER], len(self.points)) for k in range(0, len(numbers), TOGETHER)]
+        self.held = np.zeros((len(self.points) + 1, len(landmarks)), np.int64)
+        for k, x in enumerate(numbers):
+            np.add.at(self.held[:, k], x, 1)
         self.zero = np.zeros(len(landmarks), np.float32)
         self.known: dict[str, np.ndarray | None] = {}
         self.terms: dict[str, np.ndarray | None] = {}
 
-    def codes(self, letters: np.ndarray) -> np.ndarray:
-        """A number for each subsequence, from code points; 0 is a letter that no landmark holds."""
-        mapped = np.where(letters < len(self.table), self.table[np.minimum(letters, len(self.table) - 1)], 0)
-        out = mapped[..., 0]
-        for k in range(1, LENGTH):
-            out = np.where((out > 0) & (mapped[..., k] > 0), out * self.base + mapped[..., k], 0)
-        return out
+    def numbers(self, points: np.ndarray) -> np.ndarray:
+        """A number for each letter, from code points; 0 is a letter that no landmark holds."""
+        at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
+        return np.where(self.points[at] == points, at + 1, 0)
+
+    def may_reach(self, s: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether a term's kernel with a landmark may reach FLOOR, by a bound on its size.
+
+        Common subsequences use only letters that both hold. Of a term's c such letters, the sum of squares of its
+        subsequences is ``least_own(c)`` at most where all differ, and grows by a factor of the ways to spell one at most.
+        """
+        held = np.zeros((len(s), len(self.held)), np.int64)
+        row, at = np.nonzero(s)
+        np.add.at(held, (row, s[row, at]), 1)
+        longest = max(s.shape[1], *map(len, self.landmarks))
+        least = np.array([least_own(n) for n in range(longest + 1)], np.float32)
+        ways = np.array([log(comb(n, n // 2)) for n in range(longest + 1)], np.float32)
+        theirs, ours = (self.held > 0).astype(np.float32), (held > 0).astype(np.float32)
+        bound = least[np.rint(held.astype(np.float32) @ theirs).astype(int)] * least[np.rint(ours @ self.held.astype(np.float32)).astype(int)]
+        bound *= np.exp(ways[held] @ theirs + ours @ ways[self.held]) * self.scale**2
+        return bound >= (FLOOR * 0.999) ** 2 * least[sizes][:, None]
 
     def of_terms(self, terms: list[str]) -> np.ndarray:
         out = np.zeros((len(terms), len(self.landmarks)), np.float32)
-        sizes = np.fromiter(map(len, terms), np.int64, len(terms))
-        none = len(self.held) - 1
-        for n in np.unique(sizes[sizes >= LENGTH]).tolist():
-            places, decay = picks(n)
-            own = np.flatnonzero(sizes == n)
-            step = max(1, min(400_000 // len(decay), 8_000_000 // (none + 1)))
-            for start in range(0, len(own), step):
-                at = own[start : start + step]
-                s = coded([terms[k] for k in at], n, 0)
-                codes = self.codes(s[:, places])
-                if self.slot is not None:
-                    where = self.slot[codes]
-                else:
-                    where = np.searchsorted(self.held, codes)
-                    where[self.held[where] != codes] = none
-                row, pick = np.nonzero((where < none) & (codes > 0))
-                sums = np.bincount(row * none + where[row, pick], decay[pick], len(at) * none).reshape(len(at), none) if none else np.zeros((len(at), 0))
-                value = sums.astype(np.float32) @ self.features[:none] * self.scale
-                # the sum of squared decays is a lower bound of the term's own kernel
-                close = np.flatnonzero((value / np.sqrt((decay**2).sum()) >= FLOOR).any(1))
-                if len(close):
-                    out[at[close]] = value[close] / np.sqrt(own_kernel([terms[k] for k in at[close]]))[:, None]
+        order = sorted((k for k, x in enumerate(terms) if len(x) >= LENGTH), key=terms.__getitem__) if self.blocks else []
+        for start in range(0, len(order), AT_ONCE):
+            at = np.array(order[start : start + AT_ONCE])
+            own = [terms[k] for k in at]
+            sizes = np.fromiter(map(len, own), np.int64, len(own))
+            s = self.numbers(coded(own, int(sizes.max()), -1))
+            near = self.may_reach(s, sizes)
+            value = np.zeros((len(own), len(self.landmarks)), np.float32)
+            for k, block in enumerate(self.blocks):
+                part = slice(k * TOGETHER, k * TOGETHER + block.n)
+                if len(rows := np.flatnonzero(near[:, part].any(1))):
+                    value[rows, part] = block.kernels(s[rows], sizes[rows])
+            value *= self.scale
+            close = np.flatnonzero(value.max(1) >= FLOOR * np.sqrt([least_own(n) for n in sizes.tolist()]))
+            out[at[close]] = value[close] / np.sqrt(own_kernel([own[k] for k in close]))[:, None]
         out[out < FLOOR] = 0
         return out**POWER  # a power of a kernel is a kernel
 
@@ -185,8 +239,6 @@ class Kernel:
         fresh = list({x for parts in split for x in parts}.difference(self.terms))
         self.terms.update(dict.fromkeys(fresh))
         if fresh and self.landmarks:
-            # a common subsequence takes LENGTH letters of some landmark
-            fresh = [x for x in fresh if sum(c in self.letters for c in x) >= LENGTH]
             values = self.of_terms(fresh)
             for k in np.flatnonzero(values.any(1)).tolist():
                 self.terms[fresh[k]] = values[k].copy()

@@ -203,6 +203,37 @@ def test_kernel_is_the_sum_over_subsequences():
             assert got[i, j] == pytest.approx(want**toxicity.POWER if want >= toxicity.FLOOR else 0, abs=1e-4)
 
 
+def test_kernel_counts_all_gaps_of_a_term():
+    rnd = random.Random(2)
+    marks = ["^idiot$", "^on$", "^worthless$", "^𝐛𝐚𝐝ly$"]
+    terms = ["^ixdxiot$", "^ixxdiot$", "^idxxiot$", "^ixdxixot$", "^ixxxdiot$", "^on$", "^oxn$", "^𝐛𝐚x𝐝ly$", *("^" + "".join(rnd.choice("idotwrhles") for _ in range(n)) + "$" for n in range(2, 20)), *marks]
+
+    def held(x):
+        out = Counter()
+        for at in itertools.combinations(range(len(x)), toxicity.LENGTH):
+            out["".join(x[i] for i in at)] += toxicity.DECAY ** (at[-1] - at[0] + 1)
+        return out
+
+    got = toxicity.Kernel(marks).of_terms(terms)
+    for i, x in enumerate(terms):
+        for j, y in enumerate(marks):
+            a, b = held(x), held(y)
+            want = sum(v * b[u] for u, v in a.items()) / (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+            assert got[i, j] == pytest.approx(want**toxicity.POWER if want >= toxicity.FLOOR else 0, abs=1e-4), (x, y)
+    assert (got[:3, 0] > 0).all()  # two inserted letters
+    assert toxicity.terms_of("no") == ["^no$"] and toxicity.terms_of("x") == [] and toxicity.terms_of("...") == []
+
+
+def test_insults_with_inserted_letters(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice(["an", "er", "th", "in", "on", "ed"]) for _ in range(rnd.randrange(1, 4)))
+    texts = [" ".join([word() for _ in range(40)] + ["idiot", "worthless"] * (i % 4 == 0)) for i in range(300)]
+    model = toxicity.train(table(spark, texts), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id bigint, toxic int"))
+    asked = ["ixdxiot", "ixxdiot", "idxxiot", "woxrxthxless", "worxxxthless", "anthin"]
+    scores = [r["score"] for r in toxicity.score(table(spark, [f"on the {w} there" for w in asked]), model).orderBy("doc_id").collect()]
+    assert min(scores[:5]) > scores[5], scores  # what no landmark is near to scores the same everywhere
+
+
 def test_toxicity(spark, odd, none):
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice(["an", "er", "th", "in", "on", "ed"]) for _ in range(rnd.randrange(1, 4)))
