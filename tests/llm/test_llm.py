@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from facetflow.llm import bpe, html_extract, image_match, minhash, packing, secrets, token_count, token_store, toxicity, vector_search
 from facetflow.llm.components import connected_components
-from facetflow.llm.queries import tokenizer
+from facetflow.llm.queries import op6_edited_pictures, tokenizer
 
 tokenizers = pytest.importorskip("tokenizers")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -183,6 +183,18 @@ def test_edited_pictures(spark):
     assert sorted((r["query_id"], r["media_id"], r["n_media"]) for r in found.collect()) == [(0, 0, 1), (20, 20, 2)]
 
 
+def test_equal_pictures_name_their_members(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    vectors = {i: rng.normal(size=64).tolist() for i in range(30, 50)}
+    vectors |= {60: vectors[40], 61: vectors[40], 99: None}
+    spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = [tuple(r) for r in op6_edited_pictures(spark, str(tmp_path)).select("relation", "query_id", "media_id", "n_queries", "n_media").collect()]
+    assert [r for r in rows if r[0] == "copy"] == [("copy", 40, 40, 2, 3)]
+    assert sorted(r for r in rows if r[0] == "query member") == [("query member", i, 40, None, None) for i in (40, 60)]
+    want = [("media member", 40 if i in (60, 61) else i, i, None, None) for i in vectors if i != 99]
+    assert sorted(r for r in rows if r[0] == "media member") == sorted(want)
+
+
 def test_kernel_is_the_sum_over_subsequences():
     rnd = random.Random(1)
     marks = ["^idiot$", "^worthless$", "^banana$"]
