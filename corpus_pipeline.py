@@ -11,21 +11,18 @@ from facetflow.llm.queries import tokenizer
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored under the threshold stay. A null id keeps its document: its score can't be told from others'."""
-    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
-    bad = toxicity.score(docs, model).filter(F.col("score") >= toxicity.REJECT).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    """Rows scored under the threshold stay. Each is judged by its own text, so null and repeated ids don't matter."""
+    return toxicity.accepted(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one of the smallest id. Rows that share one id are one document."""
-    gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One row of each group of near duplicates stays: that of the smallest id, null ids last, then the first row. Rows without words stay."""
+    return minhash.distinct_rows(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; secrets other than widely copied examples are masked, and n_chars follows."""
-    masked = secrets.redacted(docs, owner=["source"])
+    """All rows stay; secrets other than copied examples are masked in each row's own text, and n_chars follows."""
+    masked = secrets.redacted(docs, repository=["source", "lang"], owner=["source"])
     return masked.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 
 #: Rows that are handed to Python code at a time; bounds the worker's memory.
 SLICE_BYTES = 4 << 20
+#: The same where texts are encoded: pieces of text that come again within a slice are looked up once.
+ENCODED_BYTES = 8 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, set here only where it is unset (tests, local mode)."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, set here only where it is unset, in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="facetflow-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -56,6 +60,19 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` is named so (upper and lower case are one to Spark)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def numbered(df: DataFrame, name: str, step: str) -> DataFrame:
+    """``df`` with a number for each row in ``name``, written once so that the numbers stay as they are."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), step)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,6 +83,17 @@ def input_bytes(df: DataFrame) -> int:
     return min(size, 1 << 60)
 
 
+_HELD: dict = {}
+
+
+def held_by_worker(key: tuple, make: Callable):
+    """What ``make`` gives, kept by the worker process for later tasks with the same key. One thing is kept at a time, so that operators don't add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """Strings of an Arrow column, null as empty."""
     return [x if x is not None else "" for x in column.to_pylist()]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices, texts_of
+from .common import held_by_worker, materialize, numbered, slices, texts_of, unused_name
 from .components import connected_components
 
 SHINGLE, PERMUTATIONS, ROWS = 5, 64, 4
@@ -32,7 +32,7 @@ BANDS = 2 * PERMUTATIONS // ROWS
 #: Least similarity, in hundredths.
 THRESHOLD = 75
 #: Words whose hashes a worker remembers; members of a block.
-WORDS, BLOCK = 500_000, 512
+WORDS, BLOCK = 400_000, 512
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,7 +87,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     df = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher = held_by_worker(("shingles",), Hasher)
         for batch in slices(batches, "text"):
             n, digests, keys = [], [], []
             for text in texts_of(batch.column("text")):
@@ -105,7 +105,7 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     df = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher = held_by_worker(("shingles",), Hasher)
         for batch in slices(batches, "text"):
             sets = pa.array([hasher.shingles(t).tobytes() for t in texts_of(batch.column("text"))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("rep"), sets], ["rep", "hashes"])
@@ -239,6 +239,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return linked.union(alone).select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def distinct_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near duplicates: that of the smallest id (null ids last), the first row among equal ids. Rows without words stay.
+
+    Rows are numbered once and each is a document of its own, so null and repeated ids are no exceptions. Columns stay as they are.
+    """
+    row = unused_name(df, "__row")
+    rows = numbered(df, row, "numbered")
+    own = rows.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    groups = materialize(near_duplicates(own, "row", "text").select("row", "component_id"), "groups")
+    several = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
+    held = groups.join(several, "component_id").join(own.select("row", "id"), "row")
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))
+    first = held.groupBy("component_id").agg(F.min(order).alias("first"))
+    gone = held.join(first, "component_id").filter(F.col("row") != F.col("first.row")).select(F.col("row").alias("__gone"))
+    return rows.join(gone, F.col(row) == F.col("__gone"), "left_anti").drop(row)
+
+
 def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with their components, of buckets that hold several components."""
     named = members.select("key", "band", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))

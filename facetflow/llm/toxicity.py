@@ -8,41 +8,47 @@ landmark coordinates; sentences of a toxic document carry its label if they scor
 instances). A document's score is a logistic function of its
 worst sentence, of all its sentences, and of these by its length.
 
-The model is fitted on the driver from at most ``PER_CLASS`` labelled documents of each class, chosen by a hash of their
+The model is fitted in one task from at most ``PER_CLASS`` labelled documents of each class, chosen by a hash of their
 ids; every text is scored whole.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from math import comb, log
+from math import comb, exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import slices, texts_of
+from .common import held_by_worker, slices, texts_of, unused_name
 
 #: Subsequence length and decay; kernel values below FLOOR count as none; the others are taken to POWER.
 LENGTH, DECAY, FLOOR, POWER = 4, 0.7, 0.3, 2
-#: Landmarks; labelled documents of each class at most; documents a landmark's family is counted in at most.
-LANDMARKS, PER_CLASS = 48, 700
-#: Kernel from which a term counts as of a landmark's family.
-NEAR = 0.5
+#: Landmarks of the Nyström map at most; labelled documents of each class that the model is fitted on at most.
+LANDMARKS, PER_CLASS = 64, 700
+#: Kernel from which a term counts as of a landmark's family; chance, over all candidates, that a family is toxic by accident.
+NEAR, CHANCE = 0.5, 0.01
+#: Of a landmark, the part of its gain that those taken before have to leave.
+APART = 0.2
+#: Letters of the shortest stem, with the mark of a word's start.
+STEM = 5
 #: Longest stretch of a token that is one term; longer tokens are cut with half of it overlapping.
 SPAN = 24
 #: Letters that a subsequence may stretch over: a whole term, so that every gap within one counts.
 STRETCH = SPAN
-#: Landmarks that a step of the recursion takes together; terms at a time.
-TOGETHER, AT_ONCE = 12, 16384
+#: Landmarks that a step of the recursion takes together; terms at a time, and numbers of terms and landmarks, which bounds memory.
+TOGETHER, AT_ONCE, CELLS = 12, 16384, 1 << 21
 #: Score from which a document is called toxic.
 REJECT = 0.7
 #: Terms that a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 #: Single letters set apart.
 SPACED = re.compile(r"(?<!\S)\w(?:[ *_-]{1,3}\w){3,}(?!\S)")
 
@@ -211,8 +217,9 @@ class Kernel:
     def of_terms(self, terms: list[str]) -> np.ndarray:
         out = np.zeros((len(terms), len(self.landmarks)), np.float32)
         order = sorted((k for k, x in enumerate(terms) if len(x) >= LENGTH), key=terms.__getitem__) if self.blocks else []
-        for start in range(0, len(order), AT_ONCE):
-            at = np.array(order[start : start + AT_ONCE])
+        together = max(64, min(AT_ONCE, CELLS // max(1, len(self.landmarks))))
+        for start in range(0, len(order), together):
+            at = np.array(order[start : start + together])
             own = [terms[k] for k in at]
             sizes = np.fromiter(map(len, own), np.int64, len(own))
             s = self.numbers(coded(own, int(sizes.max()), -1))
@@ -328,17 +335,46 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     return Model(landmarks, weights, float(b), logistic(np.array(evidence), y))
 
 
+def stems_of(terms: Iterable[str]) -> set[str]:
+    """Starts of terms, from STEM letters on, the mark of a word's start included: a stem stands for all words that it begins."""
+    return {t[:k] for t in terms if t[0] == "^" for k in range(STEM, len(t))}
+
+
 def choose_landmarks(docs: list[list[list[str]]], y: np.ndarray) -> list[str]:
-    """Terms that toxic documents hold much more often than clean ones, those first whose neighbours (by the kernel) are in many toxic documents; near ones of those chosen count less."""
+    """Terms and stems whose families (terms near by the kernel) stand in toxic documents more often than chance explains.
+
+    Stems are candidates if toxic documents hold them, as they are, more often than chance explains; terms, if two toxic
+    documents hold them, clean ones much more seldom, and terms near by make up for what is missing, at least when only the
+    term itself is looked for in clean documents. All terms of clean documents then decide. Landmarks are taken by gain, near
+    ones of those taken counting less.
+    """
     of_doc = [{x for s in d for w in s for x in terms_of(w)} for d in docs]
-    clean = Counter(t for d, bad in zip(of_doc, y, strict=True) if not bad for t in d)
-    dirty = Counter(t for d, bad in zip(of_doc, y, strict=True) if bad for t in d)
-    rate = y.sum() / max(1, (~y).sum())
-    own = sorted((t for t in dirty if dirty[t] >= 5 * rate * clean[t]), key=lambda t: (-dirty[t], t))[:1500]
+    n_bad, n_good = int(y.sum()), int((~y).sum())
+    clean, dirty, good_stems, bad_stems = Counter(), Counter(), Counter(), Counter()
+    for d, bad in zip(of_doc, y, strict=True):
+        (dirty if bad else clean).update(d)
+        (bad_stems if bad else good_stems).update(stems_of(d))
+    terms = sorted(t for t in dirty if dirty[t] >= 2 and dirty[t] * n_good >= 5 * n_bad * clean[t])
+    stems = sorted(t for t in bad_stems if bad_stems[t] >= 2)
+    tried = len(terms) + len(stems)
+    own = [t for t, n in zip(terms, family_support(terms, of_doc, y), strict=True) if is_telling(n, clean[t], n_bad, n_good, tried)]
+    own += [t for t in stems if is_telling(bad_stems[t], good_stems[t], n_bad, n_good, tried)]
     if not own:
         return []
-    own, gain = _telling(own, of_doc, y, clean, 1500)
-    own, gain = _telling([own[k] for k in np.argsort(-gain, kind="stable")[:300] if gain[k] > 0], of_doc, y, clean, None)
+    kernel, counts = Kernel(own), np.zeros((2, len(own)))
+    every = list(clean.keys() | dirty.keys())
+    near: list[set[int]] = [set() for _ in every]
+    for start in range(0, len(every), 4096):
+        part = every[start : start + 4096]
+        for k, m in zip(*np.nonzero(kernel.of_terms(part) >= NEAR**POWER), strict=True):
+            near[start + k].add(int(m))
+    families = {t: own_ for t, own_ in zip(every, near, strict=True) if own_}
+    for d, bad in zip(of_doc, y, strict=True):
+        if held := set().union(*(families[t] for t in d if t in families)):
+            counts[int(bad), list(held)] += 1
+    gain = counts[1] / n_bad - 3 * counts[0] / n_good
+    keep = [k for k in range(len(own)) if gain[k] > 0 and is_telling(counts[1, k], counts[0, k], n_bad, n_good, tried)]
+    own, gain = [own[k] for k in keep], gain[keep]
     if not own:
         return []
     alike = Kernel(own).of_terms(own)
@@ -349,29 +385,37 @@ def choose_landmarks(docs: list[list[list[str]]], y: np.ndarray) -> list[str]:
         if gain[k] * weight[k] <= 0:
             break
         chosen.append(own[k])
-        weight *= 1 - 0.75 * np.minimum(1, alike[:, k])
+        weight *= 1 - np.minimum(1, alike[:, k])
+        weight[weight < APART] = 0
         weight[k] = 0
     return chosen
 
 
-def _telling(own: list[str], of_doc: list[set[str]], y: np.ndarray, clean: Counter, most: int | None) -> tuple[list[str], np.ndarray]:
-    """Terms, and by how much more toxic than clean documents hold a term near to each; counted over the ``most`` common clean terms, or all."""
-    if not own:
-        return own, np.zeros(0)
-    kernel = Kernel(own)
-    rest = sorted(clean, key=lambda t: (-clean[t], t))[:most]
-    against = np.zeros(len(own))
-    for start in range(0, len(rest), 4096):
-        part = rest[start : start + 4096]
-        against += (kernel.of_terms(part) >= NEAR**POWER).T @ np.array([clean[t] for t in part], float)
-    place = {t: k for k, t in enumerate(own)}
-    near = kernel.of_terms(own) >= NEAR**POWER
+def family_support(own: list[str], of_doc: list[set[str]], y: np.ndarray) -> np.ndarray:
+    """In how many toxic documents a candidate near to each candidate stands."""
     support = np.zeros(len(own))
-    for d, bad in zip(of_doc, y, strict=True):
-        if bad and (have := [place[t] for t in d if t in place]):
-            support += near[have].any(0)
-    few = support < max(2, 0.01 * y.sum())
-    return own, np.where(few, 0, support / y.sum() - 3 * against / max(1, (~y).sum()))
+    if not own:
+        return support
+    place, held = {t: k for k, t in enumerate(own)}, [[] for _ in own]
+    for number, (d, bad) in enumerate(zip(of_doc, y, strict=True)):
+        if bad:
+            for t in d:
+                if t in place:
+                    held[place[t]].append(number)
+    for start in range(0, len(own), 256):
+        near = Kernel(own[start : start + 256]).of_terms(own) >= NEAR**POWER
+        for k in range(near.shape[1]):
+            support[start + k] = len({n for t in np.flatnonzero(near[:, k]).tolist() for n in held[t]})
+    return support
+
+
+def is_telling(bad: float, good: float, n_bad: int, n_good: int, tried: int) -> bool:
+    """Whether so many toxic of all documents that hold a family are more than chance gives in ``tried`` families: a binomial tail."""
+    bad, n, share = int(bad), int(bad + good), n_bad / (n_bad + n_good)
+    if not bad or bad <= n * share:
+        return False
+    tail = sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(share) + (n - k) * log(1 - share)) for k in range(bad, n + 1))
+    return tail * tried < CHANCE
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, c: float = 40.0) -> tuple[np.ndarray, float]:
@@ -393,9 +437,9 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, c: float = 40.0) -> tuple[np.nda
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Slopes and level of a logistic curve through documents' evidence, with softened targets (Platt); a clean document called toxic costs three times as much as the reverse."""
+    """Slopes and level of a logistic curve through documents' evidence, with softened targets (Platt); a clean document called toxic costs twice as much as the reverse."""
     target = np.where(y, (y.sum() + 1) / (y.sum() + 2), 1 / ((~y).sum() + 2))
-    weight = np.where(y, 50 / max(1, y.sum()), 150 / max(1, (~y).sum()))
+    weight = np.where(y, 50 / max(1, y.sum()), 100 / max(1, (~y).sum()))
     spread = x.std(0) + 1e-9
     a = np.hstack([x / spread, np.ones((len(x), 1))])
     w = np.zeros(a.shape[1])
@@ -416,27 +460,59 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits on at most PER_CLASS documents of each class that aren't held out; the sample's ids go to all executors."""
-    usable = labels.filter(~held_out(id_col) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).distinct()
-    order = F.xxhash64(F.col("_id").cast("string"))
-    sample = None
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """``id``, ``text``, ``y``: PER_CLASS rows of each class at most, in the order of a hash, none of them held out. An id with both labels counts as toxic."""
+    usable = labels.filter(~held_out(id_col) & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+    order = F.xxhash64(F.col("id").cast("string"))
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    parts = []
     for value in (0, 1):
-        part = usable.filter(F.col("_y") == value).orderBy(order, "_id").limit(PER_CLASS)
-        sample = part if sample is None else sample.union(part)
-    chosen = F.broadcast(docs.sparkSession.createDataFrame(sample.collect(), sample.schema))  # 2 * PER_CLASS ids at most
-    rows = docs.join(chosen, F.col(id_col) == F.col("_id")).select("_id", F.col(text_col).cast("string").alias("_t"), "_y").limit(4 * PER_CLASS).collect()
-    rows.sort(key=lambda r: (r["_id"], r["_y"], r["_t"] or ""))
-    return fit([r["_t"] or "" for r in rows], [r["_y"] for r in rows])
+        ids = F.broadcast(usable.filter(F.col("y") == value).orderBy(order, "id").limit(PER_CLASS))  # PER_CLASS ids at most
+        rows = texts.join(ids, F.col("doc") == F.col("id")).select("id", "text", "y")
+        parts.append(rows.orderBy(order, "id", F.xxhash64("text"), "text").limit(PER_CLASS))  # ids may have several rows
+    return parts[0].union(parts[1])
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``score``, for each row; null and empty texts score as texts without any near term."""
-    df = docs.select(id_col, F.col(text_col).cast("string").alias("_text"))
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Fits in one task, on labelled_sample(); only the model, some kilobytes, comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
-        for batch in slices(batches, "_text"):
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(scorer.scores(texts_of(batch.column("_text"))), pa.float64())], [id_col, "score"])
+        rows = [r for b in batches for r in b.to_pylist()]  # 2 * PER_CLASS at most
+        rows.sort(key=lambda r: (str(r["id"]), r["y"], r["text"] or ""))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r["text"] or "" for r in rows], [r["y"] for r in rows]))], pa.binary())], ["model"])
+
+    sample = labelled_sample(docs, labels, id_col, text_col, label_col)
+    made = sample.coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(bytes(made["model"])) if made else fit([], [])
+
+
+def scorer_of(model: bytes) -> Scorer:
+    """The worker process's, with what it remembers."""
+    return held_by_worker(("toxicity", model), lambda: Scorer(pickle.loads(model)))
+
+
+def with_score(docs: DataFrame, model: Model, score_col: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with a further column; null and empty texts score as texts without any near term."""
+    packed, text, rows = pickle.dumps(model), text_col, docs
+    if docs.schema[text_col].dataType != T.StringType():
+        rows = docs.withColumn(text := unused_name(docs, "text"), F.col(text_col).cast("string"))
+    kept = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = scorer_of(packed)
+        for batch in slices(batches, text):
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scorer.scores(texts_of(batch.column(text))), pa.float64())], [*kept, score_col])
+
+    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col`` and ``score``, for each row; null ids and repeated rows are kept, other columns play no part."""
+    own = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
+    return with_score(own, model, "score", "_text").select(id_col, "score")
+
 
-    return df.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, score double")
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows that score under REJECT, as they are: each row is judged by its own text, whatever its id."""
+    name = unused_name(docs, "score")
+    return with_score(docs, model, name, text_col).filter(F.col(name) < REJECT).drop(name)
