@@ -11,22 +11,26 @@ that still have a mergeable pair. Long ones (over ``WIDE`` bytes) get a tree of
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices, texts_of
+from .common import held_by_worker, slices
 
 #: Longest pre-token, in bytes, that is merged in the shared array.
 WIDE = 64
 #: Pre-tokens and chunks that a worker remembers; the memory is emptied when full.
 REMEMBERED = 1_000_000
+#: Pieces that the library encodes as one text.
+TOGETHER = 4096
 NONE = np.int32(2**31 - 1)
 
 
@@ -273,7 +277,7 @@ class Codec:
 
     A text is cut where no pre-token can cross: at ASCII white space if the vocabulary drops white space, else before
     single spaces between other characters. Only pieces that aren't remembered are encoded, by the segment trees, or
-    with ``library`` by the model of the tokenizers library.
+    with ``library`` by the tokenizers library as a whole.
     """
 
     def __init__(self, model: BpeModel, library: str | None = None):
@@ -283,63 +287,125 @@ class Codec:
         self.decimals = list(map(str, range(model.size)))
         # not at a white space character, in the wide sense, on either side
         self.cut = regex.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])") if not model.suffix else None
-        self.encode_words = model.encode_words
+        self.library = None
         if library:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has its own core only
             from tokenizers import Tokenizer
 
-            tokenizer = Tokenizer.from_file(library)  # kept: its model is a part of it
-            alphabet, tokenize = byte_alphabet(), tokenizer.model.tokenize
-            table = {b: c for b, c in enumerate(alphabet)}
-            packed = [i.to_bytes(4, "little") for i in range(model.size)]
-            self.encode_words = lambda words: [b"".join([packed[t.id] for t in tokenize(w.decode("latin-1").translate(table))]) if w else b"" for w in words]
+            self.library = Tokenizer.from_file(library)
+            self.library.no_truncation()
+            self.library.no_padding()
+            mark = byte_alphabet()[0x20]
+            # a token that ends a word, or that starts with a space
+            self.edge = np.array([t.endswith(model.suffix) if model.suffix else t.startswith(mark) for t in model.tokens])
 
     def learn(self, pieces: Iterable, store: dict, lead: str = "") -> None:
-        new = list(set(pieces).difference(store))
+        new = list((every := set(pieces)).difference(store))
         if len(store) + len(new) > REMEMBERED:
-            store.clear()
-            new = list(set(pieces))
+            # what came first comes often: a half of it stays
+            for piece in list(store)[REMEMBERED // 2 :]:
+                del store[piece]
+            new = list(every.difference(store))
         if self.cut is None:
             texts = b"\n".join(new).decode().split("\n") if new else []  # pieces without white space stay apart
         else:
             store.update((p, None) for p in new if lead and (not p or p[0].isspace()))
             new = [p for p in new if p not in store]
             texts = [lead + p for p in new]
+        if self.library:
+            store.update(zip(new, self.by_library(texts, bool(lead)), strict=True))
+            return
         split = self.model.split_many(texts)
         words = list({w for parts in split for w in parts})
         plain = [w.encode() if isinstance(w, str) else b"" for w in words]
-        ids = {w: x if isinstance(w, str) else w.to_bytes(4, "little") for w, x in zip(words, self.encode_words(plain), strict=True)}
+        ids = {w: x if isinstance(w, str) else w.to_bytes(4, "little") for w, x in zip(words, self.model.encode_words(plain), strict=True)}
         for piece, parts in zip(new, split, strict=True):
             store[piece] = ids[parts[0]] if len(parts) == 1 else b"".join(map(ids.__getitem__, parts))
 
-    def encode_raw(self, texts: list) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers; where white space is dropped, texts may be UTF-8 bytes."""
+    def by_library(self, texts: list[str], spaced: bool) -> list[bytes]:
+        """Ids of pieces by the tokenizers library. Many pieces make one text; its tokens that begin with a space, or end a word, tell them apart.
+
+        Where their number isn't that of the pieces, such as for pieces of several words, each piece is a text of its own.
+        """
+        out: list[bytes] = [b""] * len(texts)
         if self.cut is None:
-            split = [(t if isinstance(t, bytes) else t.encode()).split() for t in texts]
-            self.learn(chain.from_iterable(split), self.known)
-            known = self.known.__getitem__
-            return [b"".join(map(known, parts)) for parts in split]
-        split = [t.split(" ") for t in texts]
-        heads = [parts.pop(0) for parts in split]
-        self.learn(chain.from_iterable(split), self.known, " ")
-        self.learn(heads, self.heads)
-        known, out, rest = self.known.__getitem__, [], []
-        for k, (head, parts) in enumerate(zip(heads, split, strict=True)):
-            try:
-                out.append(self.heads[head] + b"".join(map(known, parts)))
-            except TypeError:  # runs of white space: to be cut between other characters only
-                out.append(b"")
-                rest.append(k)
-        if rest:
-            again = [self.cut.split(texts[k]) for k in rest]
-            heads = [parts.pop(0) for parts in again]
-            self.learn(chain.from_iterable(again), self.known, " ")
-            self.learn(heads, self.heads)
-            for k, head, parts in zip(rest, heads, again, strict=True):
-                out[k] = self.heads[head] + b"".join(map(known, parts))
+            together, alone = [k for k, t in enumerate(texts) if t.isalpha()], [k for k, t in enumerate(texts) if not t.isalpha()]
+        else:
+            together, alone = (range(len(texts)), []) if spaced else ([], range(len(texts)))
+        glue = "" if self.cut else " "
+        for start in range(0, len(together), TOGETHER):
+            part = together[start : start + TOGETHER]
+            ids = np.array(self.library.encode_batch_fast([glue.join([texts[k] for k in part])], add_special_tokens=False)[0].ids, np.int64)
+            edges = np.flatnonzero(self.edge[ids])
+            if len(edges) != len(part) or (self.cut and edges[0]):
+                alone = [*alone, *part]
+                continue
+            bounds = 4 * (np.append(edges, len(ids)) if self.cut else np.append(0, edges + 1))
+            raw, bounds = ids.astype("<u4").tobytes(), bounds.tolist()
+            for k, low, high in zip(part, bounds[:-1], bounds[1:], strict=True):
+                out[k] = raw[low:high]
+        if alone:
+            each = [e.ids for e in self.library.encode_batch_fast([texts[k] for k in alone], add_special_tokens=False)]
+            raw, at = np.fromiter(chain.from_iterable(each), "<u4").tobytes(), 0
+            for k, ids in zip(alone, each, strict=True):
+                out[k] = raw[at : (at := at + 4 * len(ids))]
         return out
 
+    def whole(self, text: str) -> bytes:
+        """Ids of a text with runs of white space: cut between other characters only."""
+        head, *parts = self.cut.split(text)
+        self.learn(parts, self.known, " ")
+        self.learn([head], self.heads)
+        return self.heads[head] + b"".join(map(self.known.__getitem__, parts))
+
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row (null: none), and where each text's begin, with the end of the last.
+
+        Arrow splits the texts and numbers their distinct pieces; only these are looked up one by one.
+        """
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        lists = pc.ascii_split_whitespace(texts) if self.cut is None else pc.split_pattern(texts, " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False).copy()
+        if self.cut is None:
+            own = coded.dictionary.cast(pa.binary()).to_pylist()
+            self.learn(filter(None, own), self.known)
+            self.known[b""] = b""
+            found = list(map(self.known.__getitem__, own))
+        else:
+            pieces = coded.dictionary.to_pylist()
+            heads = lists.values.take(pa.array(offsets[:-1])).to_pylist()
+            self.learn(heads, self.heads)
+            first = list(map(self.heads.__getitem__, heads))
+            self.learn(pieces, self.known, " ")
+            found = list(map(self.known.__getitem__, pieces))
+            odd = np.fromiter((x is None for x in found), bool, len(found))
+            code[offsets[:-1]] = len(found) + np.arange(len(first))
+            if odd.any():
+                odd = np.append(odd, np.zeros(len(first) + 1, bool))
+                for k in np.flatnonzero(np.add.reduceat(odd[code], offsets[:-1])).tolist():
+                    first[k] = self.whole(texts[k].as_py())
+                    code[offsets[k] + 1 : offsets[k + 1]] = len(found) + len(first)
+            found = [*(x or b"" for x in found), *first, b""]
+        table = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        n = sizes[code]
+        ends = np.cumsum(n, dtype=np.int64)
+        at = np.repeat(((np.cumsum(sizes, dtype=np.int64) - sizes)[code] - (ends - n)).astype(np.int32), n)  # a slice has few enough ids
+        at += np.arange(len(at), dtype=np.int32)
+        return table[at], np.append(0, ends)[offsets]
+
+    def encode_ended(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """As encode_flat(), with a further id behind each text."""
+        ids, bounds = self.encode_flat(texts)
+        return np.insert(ids, bounds[1:], np.uint32(end_id)), bounds + np.arange(len(bounds))
+
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(raw, "<u4") for raw in self.encode_raw(texts)]
+        ids, bounds = self.encode_flat(pa.array(texts, pa.string()))
+        return [ids[low:high] for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of ids; those outside the vocabulary have none."""
@@ -351,6 +417,11 @@ class Codec:
         return " ".join(map(self.model.tokens.__getitem__, ids))
 
 
+def shared_codec(path: str, library: bool = False) -> Codec:
+    """The worker process's codec: later tasks of the process find the vocabulary read and frequent pieces known."""
+    return held_by_worker(("codec", path, library), lambda: Codec(BpeModel(path), path if library else None))
+
+
 def kept_schema(df: DataFrame, *more: tuple[str, T.DataType]) -> T.StructType:
     names = {n for n, _ in more}
     return T.StructType([*(f for f in df.schema.fields if f.name not in names), *(T.StructField(n, t) for n, t in more)])
@@ -365,11 +436,10 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_c
     schema = kept_schema(df, (ids_col, T.ArrayType(T.IntegerType())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(BpeModel(tokenizer_path))
+        codec = shared_codec(tokenizer_path)
         for batch in slices(batches, text_col):
-            ids = codec.encode_many(texts_of(batch.column(text_col)))
-            ends = np.cumsum([0, *map(len, ids)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32) if ids else [], pa.int32()))
+            ids, bounds = codec.encode_flat(batch.column(text_col))
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([lists if n == ids_col else batch.column(n) for n in schema.names], schema.names)
 
     return df.mapInArrow(run, schema)
@@ -380,7 +450,7 @@ def bpe_decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_co
     schema = kept_schema(df, (text_col, T.StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(BpeModel(tokenizer_path))
+        codec = shared_codec(tokenizer_path)
         for batch in batches:
             texts = pa.array([codec.decode([i for i in ids or () if i is not None]) for ids in batch.column(ids_col).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts if n == text_col else batch.column(n) for n in schema.names], schema.names)
@@ -400,11 +470,13 @@ def bpe_round_trip(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     schema = T.StructType([df.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(BpeModel(tokenizer_path))
+        codec = shared_codec(tokenizer_path)
         decimals = codec.decimals.__getitem__
         for batch in slices(batches, text_col):
             n, ids_sha, text_sha = [], [], []
-            for ids in codec.encode_many(texts_of(batch.column(text_col))):
+            flat, bounds = codec.encode_flat(batch.column(text_col))
+            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                ids = flat[low:high]
                 n.append(len(ids))
                 ids_sha.append(sha256(" ".join(map(decimals, ids.tolist())).encode()).hexdigest())
                 text_sha.append(sha256(codec.decode(ids).encode()).hexdigest())

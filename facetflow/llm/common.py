@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Rows that are handed to Python code at a time; bounds the worker's memory.
 SLICE_BYTES = 4 << 20
 #: The same where texts are encoded: pieces of text that come again within a slice are looked up once.
-ENCODED_BYTES = 8 << 20
+ENCODED_BYTES = 12 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -49,11 +49,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, *partition_by: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` once as a shared Parquet table and read it again: cuts lineage, and survives the loss of executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import BpeModel
+from .bpe import shared_codec
 from .common import materialize, slices, texts_of
 
 #: Pre-tokens that are sent to all tasks at most; distinct pieces of text that a task counts before it passes them on.
@@ -36,10 +36,8 @@ class Splitter:
     """Whole texts to pieces that no pre-token crosses, and pieces to pre-tokens."""
 
     def __init__(self, tokenizer_path: str):
-        from .bpe import Codec
-
-        self.model = BpeModel(tokenizer_path)
-        self.cut = Codec(self.model).cut
+        codec = shared_codec(tokenizer_path)
+        self.model, self.cut = codec.model, codec.cut
 
     def pieces(self, text: str) -> list:
         if self.cut is None:
@@ -83,7 +81,7 @@ def vocabulary(df: DataFrame, tokenizer_path: str, text_col: str = "text") -> Da
         yield flushed()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = BpeModel(tokenizer_path)
+        model = shared_codec(tokenizer_path).model
         for batch in batches:
             words = batch.column("word").to_pylist()
             pieces = [len(x) // 4 for x in model.encode_words([w.encode() for w in words])]

@@ -7,8 +7,10 @@ Format (a folder of three Parquet tables, so that any store Spark reaches can ho
 * ``recipes``: in ascending order of document ids, over parts numbered in that order: ``part``, ``row``, the id,
   ``local_start`` (ids of the part before this document), ``n_tokens``, ``sizes``, ``digests`` (16 bytes for each chunk) and
   ``root``, the Merkle root of the digests.
-* ``manifest``: for each part ``base`` (ids of all earlier parts), ``documents``, ``n_tokens`` and ``root``, the Merkle root of
-  its documents' roots; in the row of part -1 the whole store's root and its width.
+* ``manifest``: for each part ``base`` (ids of all earlier parts), ``documents``, ``n_tokens`` and ``root``, the top of a hash
+  tree of fan-out ``FAN`` over its documents' roots; in the row of part -1 the whole store's root and its width.
+
+Readers recompute all roots, from the digests of recipes up to the store's, and hold them against what is written.
 
 Chunks end where a rolling hash of the last ``WINDOW`` ids has zeros on top, so equal passages give equal chunks wherever
 they stand. Documents are checked by CRC-32s of the chunks as read, shifted to their places and combined by xor: no
@@ -23,16 +25,19 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import BpeModel, Codec
-from .common import delete_path, materialize, slices, texts_of
+from .bpe import shared_codec
+from .common import ENCODED_BYTES, delete_path, materialize, slices
 
 #: Ids in the rolling hash; shortest and longest chunk; bits that are zero at a cut (2 to this power: the mean length).
 WINDOW, SHORTEST, LONGEST, BITS = 8, 64, 4096, 9
+#: Children of a node in the tree over a part's documents: no task holds more of them at once.
+FAN = 1024
 #: Digests that a writing task remembers, so as to send a payload once.
 SEEN = 1_000_000
 
@@ -85,8 +90,8 @@ def write_store(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
     """
     spark = df.sparkSession
     df = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    width = 2 if BpeModel(tokenizer_path).size <= 1 << 16 and end_id < 1 << 16 else 4
-    staged = materialize(_encoded(df, tokenizer_path, end_id, width), "staged")
+    width = 2 if shared_codec(tokenizer_path).model.size <= 1 << 16 and end_id < 1 << 16 else 4
+    staged = materialize(_encoded(df, tokenizer_path, end_id, width), "staged", compression="lz4")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     fresh = staged.select(F.explode(F.arrays_zip("fresh", "payloads")).alias("c")).select(F.col("c.fresh").alias("digest"), F.col("c.payloads").alias("payload"))
@@ -97,8 +102,7 @@ def write_store(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
     fields = [("part", T.IntegerType()), ("row", T.LongType()), ("id", staged.schema["id"].dataType), ("local_start", T.LongType()), ("n_tokens", T.LongType()), ("sizes", T.ArrayType(T.IntegerType())), ("digests", T.BinaryType()), ("root", T.BinaryType())]
     recipes.mapInArrow(_numbered, T.StructType([T.StructField(n, t) for n, t in fields])).write.option("compression", "zstd").parquet(f"{path}/recipes")
 
-    roots = spark.read.parquet(f"{path}/recipes").select("part", "row", "root", "n_tokens")
-    per_part = sorted(roots.groupBy("part").applyInArrow(_part_root, "part int, documents bigint, n_tokens bigint, root binary").collect())  # a row for each part
+    per_part = part_roots(spark.read.parquet(f"{path}/recipes").select("part", "row", "root", "n_tokens"))
     base, rows = 0, []
     for part, documents, n_tokens, root in per_part:
         rows.append((part, base, documents, n_tokens, bytes(root), width))
@@ -114,13 +118,10 @@ def _encoded(df: DataFrame, tokenizer_path: str, end_id: int, width: int) -> Dat
     schema = T.StructType([df.schema["id"], T.StructField("n_tokens", T.LongType()), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("digests", T.BinaryType()), T.StructField("fresh", T.ArrayType(T.BinaryType())), T.StructField("payloads", T.ArrayType(T.BinaryType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, end, kind = Codec(BpeModel(tokenizer_path), library=tokenizer_path), end_id.to_bytes(4, "little"), np.dtype(f"<u{width}")
+        codec, kind = shared_codec(tokenizer_path, True), np.dtype(f"<u{width}")
         seen: set[bytes] = set()
-        for batch in slices(batches, "text"):
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()] if codec.cut is None else texts_of(batch.column("text"))
-            raw = [x + end for x in codec.encode_raw(texts)]
-            ids = np.frombuffer(b"".join(raw), "<u4")
-            bounds = np.cumsum([0, *(len(x) // 4 for x in raw)])
+        for batch in slices(batches, "text", ENCODED_BYTES):
+            ids, bounds = codec.encode_ended(batch.column("text"), end_id)
             packed = ids.astype(kind).tobytes()
             n, sizes, digests, fresh, payloads = [], [], [], [], []
             for base, ends in zip(bounds[:-1].tolist(), cuts(ids, bounds), strict=True):
@@ -156,7 +157,7 @@ def _distinct(width: int):
                     keep.append(k)
                     last = digest
             kept = batch.take(pa.array(keep, pa.int32()))
-            n = pa.array([len(x) // width for x in kept.column("payload").to_pylist()], pa.int32())
+            n = pc.divide(pc.binary_length(kept.column("payload")), width).cast(pa.int32())
             yield pa.RecordBatch.from_arrays([kept.column("digest"), n, kept.column("payload")], ["digest", "n", "payload"])
 
     return run
@@ -174,9 +175,20 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, ["part", "row", "id", "local_start", "n_tokens", "sizes", "digests", "root"])
 
 
-def _part_root(table: pa.Table) -> pa.Table:
-    table = table.sort_by("row")
-    return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "documents": [table.num_rows], "n_tokens": [sum(table["n_tokens"].to_pylist())], "root": pa.array([merkle_root(table["root"].to_pylist())], pa.binary())})
+def part_roots(roots: DataFrame) -> list[tuple]:
+    """``part``, documents, tokens and root of each part, from ``part``, ``row``, ``root`` and ``n_tokens`` of its documents.
+
+    Level by level, FAN nodes make one; groups are bounded however many documents a part has.
+    """
+    level = roots.select("part", F.col("row").alias("at"), "root", F.lit(1).cast("long").alias("documents"), "n_tokens")
+    most = roots.agg(F.max("row")).first()[0]
+    while True:
+        children = F.array_sort(F.collect_list(F.struct("at", "root")))
+        node = F.unhex(F.sha2(F.array_join(F.transform(children, lambda c: F.hex(c["root"])), ""), 256))
+        level = level.groupBy("part", F.floor(F.col("at") / FAN).alias("at")).agg(node.alias("root"), F.sum("documents").alias("documents"), F.sum("n_tokens").alias("n_tokens"))
+        if (most := (most or 0) // FAN) == 0:
+            break
+    return sorted((r["part"], r["documents"], r["n_tokens"], bytes(r["root"])) for r in level.collect())  # a row for each part
 
 
 # -- reading ----------------------------------------------------------------------------------------------------------
@@ -207,23 +219,46 @@ def power_of(n_ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks as stored, each held against its digest: ``digest``, ``n``, ``crc32`` of its ids as unsigned 32-bit numbers, ``payload``."""
+def read_chunks(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """Chunks as stored, each held against its digest: ``digest``, ``n``, ``crc32`` of its ids as unsigned 32-bit numbers, and ``payload`` if asked for."""
     width = _manifest(spark, path).filter("part = -1").first()["width"]
-    schema = "digest binary, n int, crc32 bigint, payload binary"
+    schema = "digest binary, n int, crc32 bigint" + ", payload binary" * payload
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            column = batch.column("payload")
+            ends = np.append(0, np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))).tolist()
+            joined = b"".join(column.to_pylist())
+            raw, ids = memoryview(joined), memoryview(np.frombuffer(joined, f"<u{width}").astype("<u4")).cast("B")
             crc = []
-            for digest, payload in zip(batch.column("digest").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-                if blake2b(payload, digest_size=16).digest() != digest:
+            for digest, low, high in zip(batch.column("digest").to_pylist(), ends[:-1], ends[1:], strict=True):
+                if blake2b(raw[low:high], digest_size=16).digest() != digest:
                     raise ValueError(f"chunk {digest.hex()} is damaged")
-                crc.append(zlib.crc32(np.frombuffer(payload, f"<u{width}").astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("n"), pa.array(crc, pa.int64()), batch.column("payload")], ["digest", "n", "crc32", "payload"])
+                crc.append(zlib.crc32(ids[low * 4 // width : high * 4 // width]))
+            arrays = [batch.column("digest"), batch.column("n"), pa.array(crc, pa.int64()), column]
+            yield pa.RecordBatch.from_arrays(arrays[: 3 + payload], ["digest", "n", "crc32", "payload"][: 3 + payload])
 
     return spark.read.parquet(f"{path}/chunks").mapInArrow(run, schema)
 
 
+def checked(spark: SparkSession, path: str) -> None:
+    """Raises ValueError unless all roots come out as written: of documents from their digests, of parts and of the store from these."""
+    recipes = spark.read.parquet(f"{path}/recipes").select("part", "row", "n_tokens", "digests", "root")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roots = [merkle_root(d[i : i + 16] for i in range(0, len(d), 16)) for d in batch.column("digests").to_pylist()]
+            if roots != batch.column("root").to_pylist():
+                raise ValueError("the digests of a document don't make its root")
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("row"), pa.array(roots, pa.binary()), batch.column("n_tokens")], ["part", "row", "root", "n_tokens"])
+
+    found = part_roots(recipes.mapInArrow(run, "part int, row bigint, root binary, n_tokens bigint"))
+    manifest = {r["part"]: (r["documents"], r["n_tokens"], bytes(r["root"])) for r in _manifest(spark, path).collect()}  # a row for each part
+    total = (sum(r[1] for r in found), sum(r[2] for r in found), merkle_root(r[3] for r in found))
+    if {p: tuple(rest) for p, *rest in found} | {-1: total} != manifest:
+        raise ValueError("the roots of the store's parts aren't those of its manifest")
+
+
 def _manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/manifest")
 
@@ -260,8 +295,9 @@ def _placed_crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_digests(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """Each document as read back: ``id_col``, ``start``, ``n_tokens``, ``ids_crc32``. A chunk that is missing, damaged or of another size than its recipe says raises an error."""
-    held = read_chunks(spark, path).drop("payload")
+    """Each document as read back: ``id_col``, ``start``, ``n_tokens``, ``ids_crc32``. A chunk that is missing, damaged or of another size than its recipe says raises an error, and so does a root that doesn't come out."""
+    checked(spark, path)
+    held = read_chunks(spark, path, payload=False)
     joined = _references(spark, path).join(held.withColumnRenamed("digest", "_digest"), F.col("digest") == F.col("_digest"), "left")
     sound = joined.select("part", "row", "behind", F.when(F.col("n") == F.col("size"), F.col("n")).otherwise(F.raise_error(F.lit("a chunk is missing or has another size"))).cast("int").alias("n"), "crc32")
     crcs = sound.mapInArrow(_placed_crc, "part int, row bigint, placed bigint, n int").groupBy("part", "row").agg(F.bit_xor("placed").alias("ids_crc32"), F.sum("n").alias("n_tokens"))
@@ -286,16 +322,3 @@ def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> Da
     bases = F.broadcast(_manifest(spark, path).filter("part >= 0").select("part", "base"))
     heads = spark.read.parquet(f"{path}/recipes").select("part", "row", "id", "local_start").join(bases, "part")
     return heads.join(ids, ["part", "row"]).select(F.col("id").alias(id_col), (F.col("base") + F.col("local_start")).alias("start"), "ids")
-
-
-def verify(spark: SparkSession, path: str) -> bool:
-    """Recomputes the Merkle roots of documents, parts and the store."""
-    recipes = spark.read.parquet(f"{path}/recipes")
-
-    def again(table: pa.Table) -> pa.Table:
-        roots = pa.array([merkle_root(d[i : i + 16] for i in range(0, len(d), 16)) for d in table["digests"].to_pylist()], pa.binary())
-        return _part_root(table.set_column(table.schema.get_field_index("root"), "root", roots))
-
-    found = sorted(recipes.select("part", "row", "root", "n_tokens", "digests").groupBy("part").applyInArrow(again, "part int, documents bigint, n_tokens bigint, root binary").collect())
-    manifest = {r["part"]: bytes(r["root"]) for r in _manifest(spark, path).collect()}
-    return {p: bytes(r) for p, _, _, r in found} | {-1: merkle_root(bytes(r) for _, _, _, r in found)} == manifest
