@@ -40,10 +40,10 @@ def op5_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_edited_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No table holds media, so every vector is drawn; an edited copy of each one whose id is divisible by 20 is searched among all. Classes of equal pictures have a row for each id."""
+    """No table holds media, so every vector is drawn; an edited copy of each one whose id is divisible by 20 is searched among all. A row for each picture with its class."""
     vectors = read_table(spark, sf_dir, "embeddings")
     asked = image_match.drawn(vectors.filter(F.col("vec_id") % 20 == 0), "vec_id", "embedding", edited=True)
-    return image_match.copies_and_members(asked, image_match.drawn(vectors, "vec_id", "embedding"))
+    return image_match.copies(asked, image_match.drawn(vectors, "vec_id", "embedding"))
 
 
 def op7_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
