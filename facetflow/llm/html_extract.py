@@ -1,14 +1,22 @@
 """Main text of web pages, after removal of what a site repeats.
 
-Every element's subtree is hashed; hashes are counted per host over distinct pages (those whose texts, before any template
-goes, differ), and subtrees that stand on at least ``SHARE`` of a host's pages (and ``PAGES`` of them) are deleted as template. Elements whose tag or class says that they are
-no article text go as well. What is left of the article elements, or of the whole page without any, is the text.
+Two hashes stand for an element's subtree. The *content hash* covers its tags and texts. The *place hash* covers its tag, class,
+id and role and those of all elements around it, with its texts masked: it stays the same where a slot is filled anew on
+every page. Both are counted per host in Spark, over distinct pages (those whose texts, before any template goes, differ).
+
+* Subtrees whose content hash stands on at least ``SHARE`` of a host's pages (and ``PAGES`` of them) are deleted.
+* Slots are places that recur so often, that are named (by class, id or role) and hold no top heading. The host's text is traced
+  from the page's root down: into the place that stands once on a page and holds most of the text around it. Slots beside this
+  way that hold little text compared with its end are deleted.
+
+Hosts of fewer than ``PAGES`` distinct pages share their counts, as if they were one site. Besides, elements that HTML itself
+defines as no article text (navigation, forms, scripts) go. What is left is the text.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -21,6 +29,8 @@ from .common import materialize, slices, texts_of
 
 #: Share of a host's pages, and number of them, from which a subtree is a template's.
 SHARE, PAGES = 0.5, 3
+#: Part of the text around it that the way to the text has to keep, and part of the text from which a slot is no template.
+MOST, SLOT = 0.5, 0.25
 
 # Element names of HTML by their part.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -29,12 +39,11 @@ DROPPED = RAW | frozenset("head nav footer aside form button dialog menu audio v
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An open element of these ends when one of the others starts.
 ENDS = {"p": BLOCKS - frozenset("html body".split()), "li": frozenset(["li"]), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()), "tr": frozenset("tr tbody tfoot".split()), "td": frozenset("td th tr tbody tfoot".split()), "th": frozenset("td th tr tbody tfoot".split()), "option": frozenset(["option"])}
-#: Words of a class, id or role that mark what isn't article text.
-MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies footer header menu modal nav navbar navigation newsletter notice notices popup promo promoted related replies share sharing sidebar social sponsor sponsored subscribe toolbar widget search login signup complementary contentinfo".split())
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-MARKED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-WORD = re.compile(r"[a-z]+")
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|</?([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
+NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+DIGITS = re.compile(r"\d+")
+#: The place around all elements.
+ROOT = 0
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -42,20 +51,38 @@ def hash_of(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+class Template:
+    """What goes on the pages of a host: content hashes, and places. Made from its recurring ones: ``subtrees``, and (path, parent, chars, most, named, heading) for places."""
+
+    def __init__(self, subtrees: Iterable[int] = (), places: Iterable[dict] = ()):
+        self.subtrees = frozenset(subtrees)
+        of = {p["path"]: p for p in places}
+        below: dict[int, list[dict]] = {}
+        for p in of.values():
+            below.setdefault(p["parent"], []).append(p)
+        way, at = {ROOT}, ROOT
+        chars = of[ROOT]["chars"] if ROOT in of else 0
+        while inner := [p for p in below.get(at, ()) if p["most"] == 1 and p["chars"] >= MOST * chars]:
+            p = max(inner, key=lambda p: (p["chars"], p["path"]))
+            at, chars = p["path"], p["chars"]
+            way.add(at)
+        self.places = frozenset(p["path"] for p in of.values() if p["named"] and not p["heading"] and p["path"] not in way and p["chars"] <= SLOT * chars)
+
+
 class Page:
-    """One pass over a page: hashes of subtrees, and the text that is left without those in ``template``."""
+    """One pass over a page: hashes of subtrees and places, and the text that is left without what ``template`` names."""
 
-    def __init__(self, html: str, template: frozenset[int] = frozenset()):
-        self.template = template
+    def __init__(self, html: str, template: Template | None = None):
+        self.template = template or Template()
         self.hashes: set[int] = set()
+        #: by place: the one around it, times, characters of text, whether it is named and holds a top heading
+        self.places: dict[int, list] = {ROOT: [None, 1, 0, False, False]}
         self.out: list[str | None] = []  # None ends a block
-        self.main: list[str | None] = []
-        self.articles = 0
-        #: open elements: name, first of its output, parts of its hash, whether it goes
-        self.open: list[tuple[str, int, list[str], bool]] = [("", 0, [], False)]
+        #: open elements: name, first of its output, parts of its hash, whether it goes, its place, characters, whether a heading is inside
+        self.open: list[list] = [["", 0, [], False, ROOT, 0, False]]
         self.counts: dict[str, int] = {}
-        at = 0
-        while m := TOKEN.search(html, at):
+        at, last = 0, html.rfind(">") + 1  # no tag ends behind it
+        while m := TOKEN.search(html, at, last):
             self.text(html[at : m.start()])
             at = m.end()
             if not (name := (m[1] or "").lower()):
@@ -69,19 +96,22 @@ class Page:
                 continue
             self.start(name, m[2])
             if name in RAW and not m[0].endswith("/>"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+                end = re.compile(rf"</{re.escape(name)}\s*+>", re.I).search(html, at)
                 at = end.end() if end else len(html)
                 self.close()
-        self.text(html[at:])
+        rest = html[at:]
+        self.text(rest[: rest.find("<!--")] if "<!--" in rest else rest)
         while len(self.open) > 1:
             self.close()
+        self.places[ROOT][2] = self.open[0][5]
 
     def text(self, raw: str) -> None:
         if raw:
             clean = unescape(raw) if "&" in raw else raw
             self.out.append(clean)
             if not clean.isspace():
-                self.open[-1][2].append(" ".join(clean.split()))
+                self.open[-1][2].append(words := " ".join(clean.split()))
+                self.open[-1][5] += len(words)
 
     def start(self, name: str, attributes: str) -> None:
         while (top := self.open[-1][0]) in ENDS and name in ENDS[top]:
@@ -99,75 +129,86 @@ class Page:
         if name in VOID or attributes.endswith("/"):
             self.open[-1][2].append(f"<{name}>")
             return
-        inside = self.articles > 0
-        goes = name in DROPPED or (name == "header" and not inside)
-        if not goes and attributes and name not in ("html", "body", "main", "article"):
-            marked = " ".join("".join(x) for x in MARKED.findall(attributes)).lower()
-            goes = bool(marked) and not MARKS.isdisjoint(WORD.findall(marked))
-        if name in ("article", "main") and not goes:
-            self.articles += 1
-        self.open.append((name, len(self.out), [name], goes))
+        names = " ".join(sorted(f"{m[0].lower()}={DIGITS.sub('0', ' '.join(sorted(''.join(m[1:]).lower().split())))}" for m in NAMED.findall(attributes))) if attributes else ""
+        around = self.open[-1][4]
+        place = hash_of(f"{around} {name} {names}")
+        held = self.places.setdefault(place, [around, 0, 0, bool(names), False])
+        held[1] += 1
+        inside = self.counts.get("article") or self.counts.get("main")
+        goes = name in DROPPED or (name == "header" and not inside) or place in self.template.places
+        self.open.append([name, len(self.out), [name], goes, place, 0, name == "h1"])
         self.counts[name] = self.counts.get(name, 0) + 1
 
     def close(self) -> str:
-        name, first, parts, goes = self.open.pop()
+        name, first, parts, goes, place, chars, heading = self.open.pop()
         self.counts[name] -= 1
         own = hash_of("\0".join(parts))
-        self.open[-1][2].append(str(own))
-        if len(parts) > 1 and name not in ("html", "body", "article", "main"):
+        top = self.open[-1]
+        top[2].append(str(own))
+        if len(parts) > 1 and name not in ("html", "body"):
             self.hashes.add(own)
-            goes = goes or own in self.template
+            goes = goes or own in self.template.subtrees
+        if name not in DROPPED:
+            top[5] += chars
+            top[6] = top[6] or heading
+            self.places[place][2] += chars
+            self.places[place][4] |= heading
         if goes:
             del self.out[first:]
         if name in BLOCKS:
             self.out.append(None)
-        if name in ("article", "main") and not goes and self.articles:
-            self.articles -= 1
-            if not self.articles and not any(x[3] for x in self.open):
-                self.main += [None, *self.out[first:]]
         return name
 
     def result(self) -> str:
-        for found in (self.main, self.out):
-            blocks, own = [], []
-            for part in [*found, None]:
-                if part is not None:
-                    own.append(part)
-                elif own:
-                    if words := "".join(own).split():
-                        blocks.append(" ".join(words))
-                    own = []
-            if blocks:
-                return "\n\n".join(blocks)
-        return ""
+        blocks, own = [], []
+        for part in [*self.out, None]:
+            if part is not None:
+                own.append(part)
+            elif own:
+                if words := "".join(own).split():
+                    blocks.append(" ".join(words))
+                own = []
+        return "\n\n".join(blocks)
+
+
+SUBTREES = "host string, page long, copy long, subtrees array<long>, places array<struct<path:long,parent:long,times:int,chars:long,named:boolean,heading:boolean>>"
 
 
 def subtrees(pages: DataFrame, html_col: str) -> DataFrame:
-    """For each page its ``host``, hashes of its text (``page``) and html (``copy``), and its ``subtrees``."""
-    fields = {"host": pa.string(), "page": pa.int64(), "copy": pa.int64(), "subtrees": pa.list_(pa.int64())}
+    """For each page its ``host``, hashes of its text (``page``) and html (``copy``), its ``subtrees`` and its ``places``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = pa.list_(pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("times", pa.int32()), ("chars", pa.int64()), ("named", pa.bool_()), ("heading", pa.bool_())]))
         for batch in slices(batches, html_col):
             rows = []
             for host, html in zip(batch.column("host").to_pylist(), texts_of(batch.column(html_col)), strict=True):
                 page = Page(html)
-                rows.append((host, hash_of(page.result()), hash_of(html), sorted(page.hashes)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(fields.values())], list(fields))
+                rows.append((host, hash_of(page.result()), hash_of(html), sorted(page.hashes), [{"path": k, "parent": v[0], "times": v[1], "chars": v[2], "named": v[3], "heading": v[4]} for k, v in page.places.items()]))
+            types = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), place)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["host", "page", "copy", "subtrees", "places"])
 
-    return pages.mapInArrow(run, "host string, page long, copy long, subtrees array<long>")
+    return pages.mapInArrow(run, SUBTREES)
 
 
-def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host`` and its ``template``: hashes of subtrees that recur. A host has fewer of them than 1 / SHARE pages have subtrees, however many pages it has.
+def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> tuple[DataFrame, DataFrame]:
+    """``host`` and its ``site`` (itself, or '' for hosts of few pages); ``site`` with its recurring ``subtrees`` and ``places``.
 
-    Pages of one host and one text are copies and count as one, whose subtrees are those of the copy with the smallest hash.
+    A site has fewer of these than 1 / SHARE pages have elements, however many pages it has. Pages of one host and one text are
+    copies and count as one, whose elements are those of the copy with the smallest hash.
     """
-    hosted = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias(html_col)).filter("host <> ''")
-    distinct = materialize(subtrees(hosted, html_col).groupBy("host", "page").agg(F.min_by("subtrees", "copy").alias("subtrees")), "distinct-pages")
-    totals = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= PAGES)
-    counted = distinct.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= PAGES)
-    often = counted.join(totals, "host").filter(F.col("n") >= SHARE * F.col("pages"))
-    return materialize(often.groupBy("host").agg(F.collect_list("subtree").alias("template")), "templates")
+    hosted = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias(html_col))
+    each = materialize(subtrees(hosted, html_col), "subtrees")
+    # copies are told by hashes alone; only the chosen ones' elements are read again
+    first = each.groupBy("host", "page").agg(F.min("copy").alias("copy"))
+    sizes = first.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    sites = materialize(sizes.select("host", F.when((F.col("n") >= PAGES) & (F.col("host") != ""), F.col("host")).otherwise("").alias("site"), "n"), "sites")
+    distinct = materialize(each.join(first, ["host", "page", "copy"]).join(sites.select("host", "site"), "host").groupBy("site", "host", "page").agg(F.first("subtrees").alias("subtrees"), F.first("places").alias("places")).select("site", "subtrees", "places"), "distinct-pages")
+    totals = sites.groupBy("site").agg(F.sum("n").alias("pages")).filter(F.col("pages") >= PAGES)
+    keys = distinct.select("site", F.explode(F.concat(F.transform("subtrees", lambda h: F.struct(F.lit(0).alias("kind"), h.alias("path"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("times"), F.lit(0).cast("long").alias("chars"), F.lit(False).alias("named"), F.lit(False).alias("heading"))), F.transform("places", lambda p: F.struct(F.lit(1).alias("kind"), p["path"].alias("path"), p["parent"].alias("parent"), p["times"].alias("times"), p["chars"].alias("chars"), p["named"].alias("named"), p["heading"].alias("heading"))))).alias("e")).select("site", "e.*")
+    counted = keys.groupBy("site", "kind", "path").agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("parent"), F.max("times").alias("most"), F.sum("chars").alias("chars"), F.bool_or("named").alias("named"), F.bool_or("heading").alias("heading")).filter(F.col("n") >= PAGES)
+    often = counted.join(totals, "site").filter(F.col("n") >= SHARE * F.col("pages"))
+    kept = often.groupBy("site").agg(F.collect_list(F.when(F.col("kind") == 0, F.col("path"))).alias("subtrees"), F.collect_list(F.when(F.col("kind") == 1, F.struct("path", "parent", "most", "chars", "named", "heading"))).alias("places"))
+    return sites.select("host", "site"), materialize(kept, "templates")
 
 
 def host_of(url_col: str):
@@ -177,19 +218,29 @@ def host_of(url_col: str):
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``pages`` without ``html_col``, with ``text_col``: blocks in page order, joined by an empty line.
 
-    Null and empty html give an empty text, as does a page without article text. Pages without a host (null or odd url)
-    have no template. Repeated rows are kept; they and other copies of a text count as one page of a host. A column named as the new one is replaced.
+    Null and empty html give an empty text, as does a page without article text. Pages without a host (null or odd url) count
+    with the hosts of few pages. Repeated rows are kept; they and other copies of a text count as one page of a host. A
+    column named as the new one is replaced.
     """
-    found = templates(pages, url_col, html_col)
+    sites, found = templates(pages, url_col, html_col)
     fields = [f for f in pages.schema.fields if f.name not in (html_col, text_col)]
     schema = T.StructType([*fields, T.StructField(text_col, T.StringType())])
     kept = [f.name for f in fields]
-    rows = pages.select(*kept, F.col(html_col).cast("string").alias("_html"), host_of(url_col).alias("_host"))
-    rows = rows.join(found, F.col("_host") == F.col("host"), "left").select(*kept, "_html", "template")
+    of_host = sites.join(found, "site").select(F.col("host").alias("__host"), F.struct("subtrees", "places").alias("__template"))
+    rows = pages.select(F.struct(*(F.col(c) for c in kept)).alias("__own"), F.col(html_col).cast("string").alias("__html"), host_of(url_col).alias("__at"))
+    rows = rows.join(of_host, F.col("__at") == F.col("__host"), "left").select("__own", "__html", "__at", "__template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_html"):
-            texts = [Page(html, frozenset(t or ())).result() for html, t in zip(texts_of(batch.column("_html")), batch.column("template").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], schema.names)
+        made: dict[str, Template] = {}
+        for batch in slices(batches, "__html"):
+            texts, column = [], batch.column("__template")
+            for k, (host, html) in enumerate(zip(batch.column("__at").to_pylist(), texts_of(batch.column("__html")), strict=True)):
+                if host not in made:
+                    if len(made) > 1000:
+                        made.clear()
+                    made[host] = Template(**(column[k].as_py() or {}))
+                texts.append(Page(html, made[host]).result())
+            own = batch.column("__own")
+            yield pa.RecordBatch.from_arrays([*(own.field(k) for k in range(len(kept))), pa.array(texts, pa.string())], schema.names)
 
     return rows.mapInArrow(run, schema)
