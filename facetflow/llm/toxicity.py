@@ -19,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 from math import comb, exp, lgamma, log
 
 import numpy as np
@@ -32,11 +33,13 @@ from .common import held_by_worker, slices, texts_of, unused_name
 #: Subsequence length and decay; kernel values below FLOOR count as none; the others are taken to POWER.
 LENGTH, DECAY, FLOOR, POWER = 4, 0.7, 0.3, 2
 #: Landmarks of the Nyström map at most; labelled documents of each class that the model is fitted on at most.
-LANDMARKS, PER_CLASS = 64, 700
+LANDMARKS, PER_CLASS = 48, 700
 #: Kernel from which a term counts as of a landmark's family; chance, over all candidates, that a family is toxic by accident.
 NEAR, CHANCE = 0.5, 0.01
 #: Of a landmark, the part of its gain that those taken before have to leave.
 APART = 0.2
+#: Part of the toxic documents that hold a candidate, two of them at least.
+RARE = 0.005
 #: Letters of the shortest stem, with the mark of a word's start.
 STEM = 5
 #: Longest stretch of a token that is one term; longer tokens are cut with half of it overlapping.
@@ -48,7 +51,7 @@ TOGETHER, AT_ONCE, CELLS = 12, 16384, 1 << 21
 #: Score from which a document is called toxic.
 REJECT = 0.7
 #: Terms that a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Single letters set apart.
 SPACED = re.compile(r"(?<!\S)\w(?:[ *_-]{1,3}\w){3,}(?!\S)")
 
@@ -189,8 +192,11 @@ class Kernel:
         for k, x in enumerate(numbers):
             np.add.at(self.held[:, k], x, 1)
         self.zero = np.zeros(len(landmarks), np.float32)
-        self.known: dict[str, np.ndarray | None] = {}
-        self.terms: dict[str, np.ndarray | None] = {}
+        #: tokens and terms that some landmark is near to, and those that none is
+        self.known: dict[str, np.ndarray] = {}
+        self.terms: dict[str, np.ndarray] = {}
+        self.far: set[str] = set()
+        self.far_terms: set[str] = set()
 
     def numbers(self, points: np.ndarray) -> np.ndarray:
         """A number for each letter, from code points; 0 is a letter that no landmark holds."""
@@ -236,22 +242,34 @@ class Kernel:
         return out**POWER  # a power of a kernel is a kernel
 
     def learn(self, tokens: Iterable[str]) -> None:
-        """None for tokens that no landmark is near to."""
+        """Puts what some landmark is near to in ``known``."""
+        new = set(tokens)
+        new -= self.far
+        new -= self.known.keys()
+        if len(self.far) > REMEMBERED:
+            self.far.clear()
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(set(tokens).difference(self.known))
-        split = [terms_of(x) for x in new]
-        if len(self.terms) > REMEMBERED:
+            new = set(tokens)
+        split = {x: terms_of(x) for x in new}
+        if len(self.far_terms) + len(self.terms) > REMEMBERED:
+            self.far_terms.clear()
             self.terms.clear()
-        fresh = list({x for parts in split for x in parts}.difference(self.terms))
-        self.terms.update(dict.fromkeys(fresh))
+        fresh = {x for parts in split.values() for x in parts}
+        fresh -= self.far_terms
+        fresh -= self.terms.keys()
         if fresh and self.landmarks:
-            values = self.of_terms(fresh)
+            order = list(fresh)
+            values = self.of_terms(order)
             for k in np.flatnonzero(values.any(1)).tolist():
-                self.terms[fresh[k]] = values[k].copy()
-        for token, parts in zip(new, split, strict=True):
-            found = [v for x in parts if (v := self.terms[x]) is not None]
-            self.known[token] = np.maximum.reduce(found) if found else None
+                self.terms[order[k]] = values[k].copy()
+        self.far_terms |= fresh - self.terms.keys()
+        near = self.terms
+        for token, parts in split.items():
+            if found := [near[x] for x in parts if x in near]:
+                self.known[token] = np.maximum.reduce(found)
+            else:
+                self.far.add(token)
 
 
 class Model:
@@ -279,15 +297,15 @@ class Scorer:
     def scores(self, texts: list[str]) -> list[float]:
         split = [t.lower().split() for t in texts]
         spaced = [apart_in(t.lower()) for t in texts]
-        self.kernel.learn({w for parts in (*split, *spaced) for w in parts})
+        self.kernel.learn({*chain.from_iterable(split), *chain.from_iterable(spaced)})
         known, model = self.kernel.known, self.model
         none = model.chance((0.0, 0.0, 0.0))
         out = []
         for text, tokens, apart in zip(texts, split, spaced, strict=True):
-            if all(known[w] is None for w in tokens) and all(known[w] is None for w in apart):
+            if known.keys().isdisjoint(tokens) and known.keys().isdisjoint(apart):
                 out.append(none)
                 continue
-            margins = [float(np.maximum.reduce(found) @ model.weights) for s in sentences_of(text) if (found := [v for w in s if (v := known[w]) is not None])]
+            margins = [float(np.maximum.reduce(found) @ model.weights) for s in sentences_of(text) if (found := [known[w] for w in s if w in known])]
             out.append(model.chance(evidence_of(margins, len(tokens))))
         return out
 
@@ -308,7 +326,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     for k, d in enumerate(docs):
         held = {}
         for s in d:
-            found = [v for w in s if (v := kernel.known[w]) is not None]
+            found = [kernel.known[w] for w in s if w in kernel.known]
             z = np.maximum.reduce(found) if found else kernel.zero
             held[z.tobytes()] = z  # equal sentences of a document count once
         rows += list(held.values()) or [kernel.zero]
@@ -330,7 +348,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     weights = (white @ w).astype(np.float32)
     evidence = []
     for d in docs:
-        margins = [float(np.maximum.reduce(found) @ weights) for s in d if (found := [v for t in s if (v := kernel.known[t]) is not None])]
+        margins = [float(np.maximum.reduce(found) @ weights) for s in d if (found := [kernel.known[t] for t in s if t in kernel.known])]
         evidence.append(evidence_of(margins, sum(map(len, d))))
     return Model(landmarks, weights, float(b), logistic(np.array(evidence), y))
 
@@ -343,7 +361,7 @@ def stems_of(terms: Iterable[str]) -> set[str]:
 def choose_landmarks(docs: list[list[list[str]]], y: np.ndarray) -> list[str]:
     """Terms and stems whose families (terms near by the kernel) stand in toxic documents more often than chance explains.
 
-    Stems are candidates if toxic documents hold them, as they are, more often than chance explains; terms, if two toxic
+    Stems are candidates if toxic documents hold them, as they are, more often than chance explains; terms, if a few toxic
     documents hold them, clean ones much more seldom, and terms near by make up for what is missing, at least when only the
     term itself is looked for in clean documents. All terms of clean documents then decide. Landmarks are taken by gain, near
     ones of those taken counting less.
@@ -354,40 +372,42 @@ def choose_landmarks(docs: list[list[list[str]]], y: np.ndarray) -> list[str]:
     for d, bad in zip(of_doc, y, strict=True):
         (dirty if bad else clean).update(d)
         (bad_stems if bad else good_stems).update(stems_of(d))
-    terms = sorted(t for t in dirty if dirty[t] >= 2 and dirty[t] * n_good >= 5 * n_bad * clean[t])
-    stems = sorted(t for t in bad_stems if bad_stems[t] >= 2)
+    few = max(2, RARE * n_bad)
+    terms = sorted(t for t in dirty if dirty[t] >= few and dirty[t] * n_good >= 5 * n_bad * clean[t])
+    stems = sorted(t for t in bad_stems if bad_stems[t] >= few)
     tried = len(terms) + len(stems)
-    own = [t for t, n in zip(terms, family_support(terms, of_doc, y), strict=True) if is_telling(n, clean[t], n_bad, n_good, tried)]
-    own += [t for t in stems if is_telling(bad_stems[t], good_stems[t], n_bad, n_good, tried)]
+    support = family_support(terms, of_doc, y)
+    whole = {t: n / n_bad for t, n in zip(terms, support, strict=True) if is_telling(n, clean[t], n_bad, n_good, tried)}
+    starts = {t: bad_stems[t] / n_bad - good_stems[t] / n_good for t in stems if is_telling(bad_stems[t], good_stems[t], n_bad, n_good, tried)}
+    own = [t for part in (whole, starts) for t in set_apart(list(part), np.array(list(part.values())))]
     if not own:
         return []
     kernel, counts = Kernel(own), np.zeros((2, len(own)))
     every = list(clean.keys() | dirty.keys())
-    near: list[set[int]] = [set() for _ in every]
+    families: dict[str, list[int]] = {}
     for start in range(0, len(every), 4096):
         part = every[start : start + 4096]
         for k, m in zip(*np.nonzero(kernel.of_terms(part) >= NEAR**POWER), strict=True):
-            near[start + k].add(int(m))
-    families = {t: own_ for t, own_ in zip(every, near, strict=True) if own_}
+            families.setdefault(part[k], []).append(int(m))
     for d, bad in zip(of_doc, y, strict=True):
-        if held := set().union(*(families[t] for t in d if t in families)):
+        if held := {m for t in d if t in families for m in families[t]}:
             counts[int(bad), list(held)] += 1
     gain = counts[1] / n_bad - 3 * counts[0] / n_good
     keep = [k for k in range(len(own)) if gain[k] > 0 and is_telling(counts[1, k], counts[0, k], n_bad, n_good, tried)]
-    own, gain = [own[k] for k in keep], gain[keep]
-    if not own:
-        return []
-    alike = Kernel(own).of_terms(own)
-    weight = np.ones(len(own))
+    return set_apart([own[k] for k in keep], gain[keep])[:LANDMARKS]
+
+
+def set_apart(own: list[str], gain: np.ndarray) -> list[str]:
+    """Candidates by what those taken before leave of their gain, as long as that is APART of it at least."""
     chosen: list[str] = []
-    while len(chosen) < LANDMARKS:
-        k = int((gain * weight).argmax())
-        if gain[k] * weight[k] <= 0:
-            break
-        chosen.append(own[k])
-        weight *= 1 - np.minimum(1, alike[:, k])
-        weight[weight < APART] = 0
-        weight[k] = 0
+    if own:
+        alike, left = np.minimum(1, Kernel(own).of_terms(own)), np.ones(len(own))
+        while (gain * left).max() > 0:
+            k = int((gain * left).argmax())
+            chosen.append(own[k])
+            left *= 1 - alike[:, k]
+            left[left < APART] = 0
+            left[k] = 0
     return chosen
 
 
