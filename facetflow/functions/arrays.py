@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Most vertices of a simplex: its closure has 2 to this power faces.
-MOST_VERTICES = 16
+#: Bits of a subset's number that one array lists; larger sets are listed in two steps.
+LISTED = 12
 
 
 def key_of(vertices: Column | str) -> Column:
@@ -14,10 +14,16 @@ def key_of(vertices: Column | str) -> Column:
     return F.array_join(F.transform(vertices, lambda v: v.cast("string")), "-")
 
 
-def all_faces(vertices: Column) -> Column:
-    """All non-empty subsets of a sorted array, itself included."""
-    masks = F.sequence(F.lit(1), (F.call_function("shiftleft", F.lit(1), F.size(vertices)) - 1).cast("int"))
-    return F.transform(masks, lambda m: F.filter(vertices, lambda v, i: F.call_function("shiftright", m, i).bitwiseAND(1) == 1))
+def subset_numbers(n: Column) -> tuple[Column, Column]:
+    """Two arrays, of high and of low parts, that together number all subsets of ``n`` things, the empty one included."""
+    power = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
+    low = F.least(n, F.lit(LISTED))
+    upto = lambda k: F.sequence(F.lit(0).cast("bigint"), power(k) - 1)
+    return F.transform(upto(n - low), lambda h: h * (1 << LISTED)), upto(low)
+
+
+def subset(vertices: Column, number: Column) -> Column:
+    return F.filter(vertices, lambda v, i: F.call_function("shiftright", number, i).bitwiseAND(1) == 1)
 
 
 def facets(vertices: Column) -> Column:

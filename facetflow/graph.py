@@ -33,13 +33,14 @@ def checked_vertices(vertices: int | Iterable[int]) -> list[int]:
     return sorted(out)
 
 
-def check_keys(df: DataFrame, column: str = "vertices") -> None:
-    """One aggregate over a whole table of vertex arrays; raises what checked_vertices() would, and ValueError for a repeated vertex."""
+def check_keys(df: DataFrame, column: str = "vertices") -> int | None:
+    """One aggregate over a whole table of vertex arrays; raises what checked_vertices() would, and ValueError for a repeated vertex. Gives the largest vertex."""
     v = F.col(column)
     bad = df.agg(
         F.max(v.isNull() | (F.size(v) == 0) | F.exists(v, lambda x: x.isNull())).alias("empty"),
         F.max(F.exists(v, lambda x: x < 0)).alias("negative"),
         F.max(F.size(F.array_distinct(v)) < F.size(v)).alias("repeated"),
+        F.max(F.array_max(v)).alias("top"),
     ).first()
     if bad["empty"]:
         raise ValueError("a node has a vertex at least, and no null ones")
@@ -47,6 +48,7 @@ def check_keys(df: DataFrame, column: str = "vertices") -> None:
         raise IndexError("vertices aren't negative")
     if bad["repeated"]:
         raise ValueError("a vertex stands twice in a node")
+    return bad["top"]
 
 
 def dense_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -62,8 +64,8 @@ def dense_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
 class Graph:
     """``nodes`` (vertices, dim, idx, nid, data, is_simplex, in_mask, out_mask) and ``links`` between neighbouring dimensions.
 
-    A link with ``is_in`` is walked upwards, one with ``is_out`` downwards. ``nid`` numbers nodes by dimension, then by vertices;
-    a vertex's own number is its ``nid`` as long as none has been removed.
+    A link with ``is_in`` is walked upwards, one with ``is_out`` downwards. ``nid`` numbers nodes by dimension, then by vertices,
+    without holes; a vertex's own number is its ``nid`` as long as none has been removed.
     """
 
     def __init__(self, nodes: DataFrame, links: DataFrame):
@@ -89,16 +91,15 @@ class Graph:
         Without relations every node is linked both ways with all its facets, which have to be rows too. Vertices up to the
         largest one are filled in, without data and not as simplices.
         """
-        rows = rows.withColumn("given", F.lit(True)) if "given" not in rows.columns else rows
+        rows = written(rows.withColumn("given", F.lit(True)) if "given" not in rows.columns else rows, "rows")
+        top = check_keys(rows)
         if fill:
-            top = rows.agg(F.max(F.array_max("vertices"))).first()[0]
             if top is not None:
                 gaps = rows.sparkSession.range(top + 1).select(F.array("id").alias("vertices")).join(rows.select("vertices"), "vertices", "left_anti")
                 rows = rows.unionByName(gaps.withColumn("given", F.lit(False)), allowMissingColumns=True)
         rows = rows.withColumn("dim", (F.size("vertices") - 1).cast("int"))
         nodes = dense_index(rows.select("vertices", "dim", "data", "given"), ["dim", "vertices"], "nid")
-        firsts = F.broadcast(nodes.groupBy("dim").agg(F.min("nid").alias("_first")))  # a row for each dimension
-        nodes = nodes.join(firsts, "dim").withColumn("idx", F.col("nid") - F.col("_first"))
+        nodes = with_idx(nodes)
         named = nodes.select("vertices", "nid")
         if relations is None:
             pairs = nodes.filter("dim > 0").select("nid", "dim", F.explode(facets(F.col("vertices"))).alias("f")).select(F.col("nid").alias("upper_nid"), (F.col("dim") - 1).alias("lower_dim"), F.col("f.pos").alias("missing_pos"), F.col("f.face").alias("vertices"))
@@ -113,6 +114,21 @@ class Graph:
         return cls(*with_masks(nodes, links))
 
 
+def with_idx(nodes: DataFrame) -> DataFrame:
+    """``idx`` from ``nid``: numbers within a dimension."""
+    firsts = F.broadcast(nodes.groupBy("dim").agg(F.min("nid").alias("_first")))  # a row for each dimension
+    return nodes.join(firsts, "dim").withColumn("idx", F.col("nid") - F.col("_first")).drop("_first")
+
+
+def renumbered(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Numbers without holes, after nodes have gone."""
+    fresh = dense_index(nodes.drop("idx").withColumnRenamed("nid", "_old"), ["dim", "vertices"], "nid")
+    names = fresh.select("_old", "nid")
+    for end in ("lower_nid", "upper_nid"):
+        links = links.join(names.select(F.col("_old").alias(end), F.col("nid").alias(f"_{end}")), end).drop(end).withColumnRenamed(f"_{end}", end)
+    return with_idx(fresh.drop("_old")), written(links, "links")
+
+
 def with_masks(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Masks from links, and the simplex flag dimension by dimension: all facets linked both ways, and all of them simplices."""
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("lower_dim") + 1 - F.col("missing_pos"))

@@ -32,6 +32,14 @@ def adjacency_matrices(graph: Graph, dists: Iterable[int], rel_dims: Iterable[in
     return out.select("k", "i", "j", "value")
 
 
+def adjacency_matrix(graph: Graph, dists: Iterable[int], rel_dims: Iterable[int], dims: Iterable[int] | None = None, src_weights: DataFrame | None = None, dst_weights: DataFrame | None = None) -> DataFrame:
+    """The sum of adjacency_matrices(); IndexError if there is none to add."""
+    dists, rel_dims = list(dists), list(rel_dims)
+    if not dists and not rel_dims:
+        raise IndexError("there is no matrix to add")
+    return summed(adjacency_matrices(graph, dists, rel_dims, dims, src_weights, dst_weights))
+
+
 def summed(matrices: DataFrame) -> DataFrame:
     """The sum over all k: ``i``, ``j``, ``value``."""
     return matrices.groupBy("i", "j").agg(F.sum("value").alias("value"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import facets
-from ..graph import Graph, check_keys, checked_vertices, with_masks
+from ..graph import Graph, check_keys, checked_vertices, renumbered, with_masks
 from ..scratch import written
 from ..sources.builders import closure
 from .lookup import node
@@ -77,7 +77,7 @@ def set_item(graph: Graph, rows: DataFrame) -> Graph:
 
 
 def remove_nodes(graph: Graph, keys: DataFrame, with_cofaces: bool = False) -> Graph:
-    """Nodes (``vertices``) go, with all nodes above them if asked; else those above stop being simplices. ValueError if one is missing. Numbers of the others stay."""
+    """Nodes (``vertices``) go, with all nodes above them if asked; else those above stop being simplices. ValueError if one is missing. The others are numbered anew, without holes."""
     keys = keys.select(F.array_sort("vertices").alias("vertices")).distinct()
     if not keys.join(graph.nodes, "vertices", "left_anti").isEmpty():
         raise ValueError("a node to remove isn't there")
@@ -91,8 +91,8 @@ def remove_nodes(graph: Graph, keys: DataFrame, with_cofaces: bool = False) -> G
     gone = written(gone.distinct(), "gone")
     nodes = graph.nodes.join(gone, "nid", "left_anti")
     links = graph.links.join(gone.select(F.col("nid").alias("lower_nid")), "lower_nid", "left_anti").join(gone.select(F.col("nid").alias("upper_nid")), "upper_nid", "left_anti")
-    links = written(links.select(graph.links.columns), "links")
-    return Graph(*with_masks(nodes.withColumn("given", F.col("is_simplex")), links))
+    nodes, links = renumbered(nodes.withColumn("given", F.col("is_simplex")), links.select(graph.links.columns))
+    return Graph(*with_masks(nodes, links))
 
 
 def remove_relation(graph: Graph, one, other, dir_in: bool | None = None) -> Graph:
@@ -132,20 +132,36 @@ def generalize_data(graph: Graph, dists: Iterable[int], rel_dims: Iterable[int],
     return start.select("nid").join(values.groupBy(F.col("src").alias("nid")).agg(func.alias("data")), "nid", "left")
 
 
-def propagate_data(graph: Graph, updates: DataFrame, dists: Iterable[int], rel_dims: Iterable[int], add: bool = False) -> Graph:
-    """Updates (``vertices``, ``data``, ``seq``) reach all related nodes: summed to what is there with ``add``, else the last one replaces it. KeyError if a node is missing."""
+def generalized(graph: Graph, dists: Iterable[int], rel_dims: Iterable[int], func: Column, sources: DataFrame | None = None) -> Graph:
+    """generalize_data() stored in the graph: the nodes asked for (all without ``sources``) get the aggregate as their data, those without related nodes null."""
+    got = generalize_data(graph, dists, rel_dims, func, sources).select(F.col("nid").alias("_n"), F.col("data").alias("_v"))
+    kind = graph.nodes.schema["data"].dataType
+    nodes = graph.nodes.join(got, F.col("nid") == F.col("_n"), "left").withColumn("data", F.when(F.col("_n").isNotNull(), F.col("_v").cast(kind)).otherwise(F.col("data")))
+    return Graph(written(nodes.drop("_n", "_v"), "generalized"), graph.links)
+
+
+def propagate_data(graph: Graph, updates: DataFrame, dists: Iterable[int], rel_dims: Iterable[int], add: bool = False, update: Callable[[Column, Column], Column] | None = None) -> Graph:
+    """Updates (``vertices``, ``data``, ``seq``) reach all related nodes: summed to what is there with ``add``, else the last one replaces it. KeyError if a node is missing.
+
+    ``update`` (old data, update's data) gives the new data instead: it is applied to a node once for each update that
+    reaches it, in the order of ``seq``; one that reaches it several times is applied so often.
+    """
     at = updates.select(F.array_sort("vertices").alias("vertices"), F.col("data").alias("value"), "seq").join(graph.nodes.select("vertices", "nid"), "vertices", "left")
     if not at.filter("nid is null").isEmpty():
         raise KeyError("a node isn't there")
     pairs = related_nodes(graph, dists, rel_dims, at.select("nid").distinct())
     hits = pairs.join(at, F.col("src") == F.col("nid")).select("dst", "value", "seq")
-    if add:
+    kind = graph.nodes.schema["data"].dataType
+    if update is not None:
+        # the updates of one node only: as many as it has related nodes
+        got = hits.groupBy("dst").agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("_v"))
+        new = F.when(F.col("_v").isNull(), F.col("data")).otherwise(F.aggregate("_v", F.col("data"), lambda old, x: update(old, x["value"]).cast(kind)))
+    elif add:
         got = hits.groupBy("dst").agg(F.sum("value").alias("_v"))
         new = F.when(F.col("_v").isNull(), F.col("data")).otherwise(F.coalesce("data", F.lit(0)) + F.col("_v"))
     else:
         got = hits.groupBy("dst").agg(F.max_by(F.struct("value"), "seq").alias("_v"))
         new = F.when(F.col("_v").isNull(), F.col("data")).otherwise(F.col("_v.value"))
-    kind = graph.nodes.schema["data"].dataType
     return Graph(graph.nodes.join(got, F.col("nid") == F.col("dst"), "left").withColumn("data", new.cast(kind)), graph.links)
 
 

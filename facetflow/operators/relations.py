@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..graph import Graph
 from ..scratch import written
@@ -15,10 +16,21 @@ def as_list(values: int | Iterable[int]) -> list[int]:
     return [values] if isinstance(values, int) else list(values)
 
 
-def hops(graph: Graph) -> DataFrame:
-    """``src``, ``dst``: nodes of one dimension with a node above that leads from one to the other."""
-    up, down = graph.up, graph.down.withColumnRenamed("src", "mid")
-    return up.withColumnRenamed("dst", "mid").join(down, "mid").filter("src <> dst").select("src", "dst").distinct()
+#: Parts that the nodes of a dimension are dealt into where each is held against all: one key would mean one task.
+SPREAD = 64
+
+
+def dims_of(graph: Graph, sources: DataFrame) -> list[int]:
+    own = sources if "dim" in sources.columns else sources.join(graph.nodes.select("nid", "dim"), "nid")
+    return [r["dim"] for r in own.select("dim").distinct().collect()]  # a row for each dimension
+
+
+def hops(graph: Graph, dims: Iterable[int] | None = None) -> DataFrame:
+    """``src``, ``dst``: nodes of one dimension (of ``dims``) with a node above that leads from one to the other."""
+    links = graph.links if dims is None else graph.links.filter(F.col("lower_dim").isin(list(dims)))
+    up = links.filter("is_in").select(F.col("lower_nid").alias("src"), F.col("upper_nid").alias("mid"))
+    down = links.filter("is_out").select(F.col("upper_nid").alias("mid"), F.col("lower_nid").alias("dst"))
+    return up.join(down, "mid").filter("src <> dst").select("src", "dst").distinct()
 
 
 def distances(hop: DataFrame, nodes: DataFrame, wanted: int | Iterable[int]) -> DataFrame:
@@ -57,7 +69,7 @@ def distances(hop: DataFrame, nodes: DataFrame, wanted: int | Iterable[int]) ->
 def neighbor_relations(graph: Graph, dist: int | Iterable[int] = 1, sources: DataFrame | None = None) -> DataFrame:
     """``src``, ``dst``, ``dist`` by node number; ``sources`` (``nid``) restricts where it starts."""
     start = (graph.nodes if sources is None else sources).select(F.col("nid").alias("src"))
-    return distances(hops(graph), start, dist)
+    return distances(hops(graph, None if sources is None else dims_of(graph, sources)), start, dist)
 
 
 def incidence_relations(graph: Graph, rel_dim: int | Iterable[int] = 1, sources: DataFrame | None = None) -> DataFrame:
@@ -100,8 +112,10 @@ def non_adjacency(graph: Graph, rel_dim: int = 0, sources: DataFrame | None = No
     The result is by nature all pairs but a few, so name the ``sources`` (``nid``, ``dim``) on large graphs.
     """
     start = graph.nodes if sources is None else sources
-    a = start.select(F.col("nid").alias("src"), (F.col("dim") + rel_dim).alias("d"))
-    candidates = a.join(graph.nodes.select(F.col("nid").alias("dst"), F.col("dim").alias("d")), "d").select("src", "dst")
+    parts = F.sequence(F.lit(0), F.lit(SPREAD - 1))
+    a = start.select(F.col("nid").alias("src"), (F.col("dim") + rel_dim).alias("d"), F.explode(parts).alias("part"))
+    b = graph.nodes.select(F.col("nid").alias("dst"), F.col("dim").alias("d"), F.pmod(F.xxhash64("nid"), F.lit(SPREAD)).cast("int").alias("part"))
+    candidates = a.join(b, ["d", "part"]).select("src", "dst")
     related = neighbor_relations(graph, 1, start) if rel_dim == 0 else incidence_relations(graph, rel_dim, start)
     out = candidates.join(related.select("src", "dst"), ["src", "dst"], "left_anti")
     return out if include_self or rel_dim else out.filter("src <> dst")
@@ -115,3 +129,21 @@ def adjacency_list(graph: Graph, rel: int = 1, incidence: bool = False, sources:
         return found
     a, b = (graph.nodes.select(F.col("nid").alias(c), F.col("vertices").alias(f"_{c}")) for c in ("src", "dst"))
     return found.join(a, "src").join(b, "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
+
+
+def adjacency_lists(graph: Graph, rel: int = 1, incidence: bool = False, sources: DataFrame | None = None) -> DataFrame:
+    """``src``, ``offset`` (entries of all earlier nodes' lists), ``targets``: a sorted list for each node, empty where nothing is related. By nature a node's list is one row."""
+    start = (graph.nodes if sources is None else sources).select(F.col("nid").alias("src"))
+    lists = adjacency_list(graph, rel, incidence, sources).groupBy(F.col("src").alias("_s")).agg(F.array_sort(F.collect_list("dst")).alias("targets"))
+    every = start.join(lists, F.col("src") == F.col("_s"), "left").select("src", F.coalesce("targets", F.array().cast("array<bigint>")).alias("targets"))
+    return running_offsets(every, "src", F.size("targets"))
+
+
+def running_offsets(df: DataFrame, order: str, size) -> DataFrame:
+    """Adds ``offset``: the sum of sizes before each row in an order; by ranges, so that no task sees all rows."""
+    dealt = written(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()).withColumn("_size", size.cast("bigint")), "ranges")
+    sums = dealt.groupBy("_part").agg(F.sum("_size").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sums.select("_part", before.alias("_start")))  # a row for each partition
+    own = F.coalesce(F.sum("_size").over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("_before", own).join(starts, "_part").withColumn("offset", F.col("_start") + F.col("_before")).drop("_part", "_size", "_before", "_start")

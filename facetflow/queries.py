@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.arrays import arg_max, key_of, linear, log_softmax
 from .graph import Graph
+from .scratch import folder, written
 from .operators import degrees, lookup, matrices, mutate, paths, relations, stats
 from .plans import layers
 from .sources import builders
@@ -135,9 +137,9 @@ def total_index(spark, sf_dir):
     return complex_graph(spark, sf_dir).nodes.select(key_of("vertices").alias("face"), "nid", "idx")
 
 
-@query(f"WITH {FACES} SELECT a.v * 2 AS pos, data FROM (SELECT s_suppkey AS v FROM supplier WHERE s_suppkey % 3 = 0) a JOIN F ON F.f = [a.v]")
+@query(f"WITH {FACES} SELECT o.id * 2 AS pos, data FROM G o JOIN F ON F.f = o.vs")
 def get_many(spark, sf_dir):
-    asked = table(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0").select((F.col("s_suppkey") * 2).alias("pos"), F.array("s_suppkey").alias("vertices"))
+    asked = simplices(spark, sf_dir).select((F.col("l_orderkey") * 2).alias("pos"), "vertices")
     return lookup.get_many(complex_graph(spark, sf_dir), asked).select("pos", F.col("data").cast("bigint").alias("data"))
 
 
@@ -183,10 +185,10 @@ def incidence_down(spark, sf_dir):
     return named(relations.incidence_relations(g, [-1, -2]), g, "src", "dst").select("src", "dst", F.col("rel_dim").cast("bigint").alias("rel_dim"))
 
 
-@query(f"WITH {FIRST} SELECT a.v AS src, b.v AS dst FROM N a, N b WHERE a.v % 10 = 0 AND a.v <> b.v AND NOT EXISTS (SELECT 1 FROM S WHERE s = a.v AND t = b.v)")
+@query(f"WITH {FIRST} SELECT a.v AS src, b.v AS dst FROM N a, N b WHERE a.v <> b.v AND NOT EXISTS (SELECT 1 FROM S WHERE s = a.v AND t = b.v)")
 def non_adjacency(spark, sf_dir):
     g = first_graph(spark, sf_dir)
-    return relations.non_adjacency(g, 0, g.nodes.filter("dim = 0 AND nid % 10 = 0"))
+    return relations.non_adjacency(g, 0, lookup.within(g, [0]))
 
 
 @query(f"WITH {FACES} SELECT DISTINCT array_to_string(a.f, '-') AS src, array_to_string(b.f, '-') AS dst FROM F a JOIN F u ON len(a.f) = 2 AND len(u.f) = 3 AND list_has_all(u.f, a.f) JOIN F b ON len(b.f) = 2 AND list_has_all(u.f, b.f) AND a.f <> b.f")
@@ -267,15 +269,16 @@ def generalize_data(spark, sf_dir):
     return mutate.generalize_data(g, [1], [1], F.sum("data").cast("bigint"), lookup.within(g, [0]))
 
 
-@query(f"WITH {FIRST}, U AS (SELECT v, 10.0 * v AS x FROM N WHERE v % 5 = 0) SELECT v AS nid, CAST(sum(x) AS DOUBLE) AS data FROM (SELECT v, x FROM U UNION ALL SELECT t, x FROM U JOIN S ON s = v) GROUP BY v")
+@query(f"WITH {FIRST}, U AS (SELECT v, 10.0 * v AS x FROM N) SELECT v AS nid, CAST(sum(x) AS DOUBLE) AS data FROM (SELECT v, x FROM U UNION ALL SELECT t, x FROM U JOIN S ON s = v) GROUP BY v")
 def propagate_data(spark, sf_dir):
-    updates = table(spark, sf_dir, "supplier").filter("s_suppkey % 5 = 0").select(F.array("s_suppkey").alias("vertices"), (10.0 * F.col("s_suppkey")).alias("data"), F.lit(0).alias("seq"))
+    updates = table(spark, sf_dir, "supplier").select(F.array("s_suppkey").alias("vertices"), (10.0 * F.col("s_suppkey")).alias("data"), F.lit(0).alias("seq"))
     return mutate.propagate_data(first_graph(spark, sf_dir), updates, [0, 1], [], add=True).nodes.filter("dim = 0 AND data IS NOT NULL").select("nid", "data")
 
 
 @query(f"WITH {FIRST} SELECT a.a || '-' || a.b || '-' || c.b AS face FROM P a JOIN P b ON b.a = a.b JOIN P c ON c.a = a.a AND c.b = b.b")
 def triangle_completion(spark, sf_dir):
-    return mutate.completions(first_graph(spark, sf_dir).nodes, 1).select(key_of("vertices").alias("face"))
+    edges = written(builders.keyed_edges(undirected_edges(spark, sf_dir), "a", "b", "w"), "edges")
+    return mutate.completions(edges.select("vertices", F.lit(1).alias("dim"), F.lit(True).alias("is_simplex")), 1).select(key_of("vertices").alias("face"))
 
 
 @query(f"WITH {FACES}, T AS (SELECT f FROM F WHERE len(f) = 3) SELECT a.f[1] || '-' || a.f[2] || '-' || a.f[3] || '-' || b.f[3] AS face FROM T a JOIN T b ON a.f[1] = b.f[1] AND a.f[2] = b.f[2] AND a.f[3] < b.f[3] JOIN T c ON c.f = [a.f[1], a.f[3], b.f[3]] JOIN T d ON d.f = [a.f[2], a.f[3], b.f[3]]")
@@ -319,10 +322,10 @@ def sssp(spark, sf_dir):
     return _paths(paths.shortest_paths(arcs, arcs.agg(F.min("src").alias("src"))))
 
 
-@query(f"WITH RECURSIVE {FIRST}, Q AS (SELECT v FROM N WHERE v < 50), {PATHS} SELECT src, v AS dst, d.dist AS dist, CAST(d.hops AS BIGINT) AS hops FROM sp")
-def apsp_sample(spark, sf_dir):
+@query(f"WITH RECURSIVE {FIRST}, Q AS (SELECT v FROM N), {PATHS} SELECT src, v AS dst, d.dist AS dist, CAST(d.hops AS BIGINT) AS hops FROM sp")
+def all_pairs(spark, sf_dir):
     arcs = paths.arcs_of(first_graph(spark, sf_dir))
-    return _paths(paths.all_pairs(arcs, suppliers(spark, sf_dir).filter("id < 50").select(F.col("id").alias("src"))))
+    return _paths(paths.all_pairs(arcs, suppliers(spark, sf_dir).select(F.col("id").alias("src"))))
 
 
 @query("SELECT CAST(r * 6 + c AS BIGINT) AS dst, CAST(r + c AS DOUBLE) AS dist, CAST(r + c AS BIGINT) AS hops FROM (SELECT unnest(range(5)) AS r), (SELECT unnest(range(6)) AS c)")
@@ -338,15 +341,30 @@ def _pairs(spark, sf_dir):
     return n, ids.select(F.col("id").alias("i"), F.pmod(F.col("id") * 7 + 3, F.lit(n)).alias("j"))
 
 
-@query()
+GOALS = "A AS (SELECT v AS i, (v * 7 + 3) % (SELECT count(*) FROM N) AS j FROM N), L AS (SELECT A.i, A.j, sp.d.dist AS dist FROM A LEFT JOIN sp ON sp.src = A.i AND sp.v = A.j)"
+
+
+@query(f"WITH RECURSIVE {FIRST}, Q AS (SELECT v FROM N), {PATHS}, {GOALS} SELECT L.i AS i, L.j AS j, L.dist AS dist, CAST(sum(CASE WHEN L.i <> L.j AND (L.dist IS NULL OR sp.d.dist < L.dist OR (sp.d.dist = L.dist AND sp.v < L.j)) THEN 1 ELSE 0 END) AS BIGINT) AS iters FROM L JOIN sp ON sp.src = L.i GROUP BY L.i, L.j, L.dist")
 def astar_pairs(spark, sf_dir):
     n, pairs = _pairs(spark, sf_dir)
-    return paths.astar_pairs(paths.arcs_of(first_graph(spark, sf_dir)), n, pairs)
+    return paths.astar_pairs(paths.arcs_of(first_graph(spark, sf_dir)), n, pairs).withColumn("iters", F.col("iters").cast("bigint"))
+
+
+@query(f"WITH RECURSIVE {FIRST}, Q AS (SELECT v FROM N), {PATHS}, {GOALS} SELECT count(*) AS correct, CAST(0 AS BIGINT) AS better, count(*) AS equal FROM L")
+def astar_ranking(spark, sf_dir):
+    n, pairs = _pairs(spark, sf_dir)
+    found = paths.astar_pairs(paths.arcs_of(first_graph(spark, sf_dir)), n, pairs)
+    return paths.ranking(found, found)
 
 
-@query(f"WITH RECURSIVE {FIRST}, Q AS (SELECT v FROM N), {PATHS} SELECT N.v AS i, (N.v * 7 + 3) % (SELECT count(*) FROM N) AS j, sp.d.dist AS dist FROM N LEFT JOIN sp ON sp.src = N.v AND sp.v = (N.v * 7 + 3) % (SELECT count(*) FROM N)")
-def astar_distance(spark, sf_dir):
-    return astar_pairs(spark, sf_dir).select("i", "j", "dist")
+@query("SELECT CAST(3 * k AS BIGINT) AS i, CAST(23 - 4 * k AS BIGINT) AS j, CAST(abs((23 - 4 * k) // 6 - 3 * k // 6) + abs((23 - 4 * k) % 6 - 3 * k % 6) AS DOUBLE) AS dist FROM (SELECT unnest(range(6)) AS k)")
+def astar_grid(spark, sf_dir):
+    """A heuristic that is never wrong by more than a detour: the city-block distance of grid points."""
+    g, index, back = builders.grid(spark, 4, 6)
+    points = spark.range(24).select(F.col("id").alias("v"), F.array(F.floor(F.col("id") / 6).cast("double"), (F.col("id") % 6).cast("double")).alias("data"))
+    pairs = spark.range(6).select((3 * F.col("id")).alias("i"), (23 - 4 * F.col("id")).alias("j"))
+    blocks = lambda v, goal, x, y: F.abs(x[0] - y[0]) + F.abs(x[1] - y[1])
+    return paths.astar_pairs(paths.arcs_of(g), 24, pairs, blocks, points, verify=True).select("i", "j", "dist")
 
 
 @query("SELECT a.vec_id AS i, b.vec_id AS j, round(sqrt(list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 6) AS gap FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 3 + 1) % (SELECT count(*) FROM embeddings)")
@@ -454,6 +472,204 @@ def random_plane(spark, sf_dir):
     return g.nodes.filter("dim = 1").select(key_of("vertices").alias("face"), "data")
 
 
+# -- changes, lookups and relations beyond the basics ------------------------------------------------------------------------
+
+TRIPLES = "T AS (SELECT [v, v + 1, v + 2] AS f, CAST(v AS DOUBLE) AS data FROM N WHERE v + 2 <= (SELECT max(v) FROM N)), E AS (SELECT DISTINCT unnest([[f[1], f[2]], [f[1], f[3]], [f[2], f[3]]]) AS f FROM T)"
+
+
+@query(f"WITH {FIRST}, {TRIPLES} SELECT array_to_string(f, '-') AS face, data, true AS is_simplex FROM (SELECT [v] AS f, CAST(NULL AS DOUBLE) AS data FROM N UNION ALL SELECT coalesce(p.f, E.f), p.w FROM (SELECT [a, b] AS f, w FROM P) p FULL JOIN E ON p.f = E.f UNION ALL SELECT f, data FROM T)")
+def put_simplices(spark, sf_dir):
+    ids = suppliers(spark, sf_dir).select("id")
+    top = ids.agg(F.max("id")).first()[0]
+    rows = ids.filter(F.col("id") + 2 <= top).select(F.array("id", F.col("id") + 1, F.col("id") + 2).alias("vertices"), F.col("id").cast("double").alias("data"), F.lit(0).alias("seq"))
+    return mutate.put_simplices(first_graph(spark, sf_dir), rows).nodes.select(key_of("vertices").alias("face"), "data", "is_simplex")
+
+
+@query(f"WITH {FIRST} SELECT a || '-' || b || '-' || (b + 1) AS face, CAST(1 AS BIGINT) AS in_mask, CAST(CASE WHEN a % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS out_mask, false AS is_simplex FROM P WHERE b + 1 <= (SELECT max(v) FROM N)")
+def put_relations(spark, sf_dir):
+    g = first_graph(spark, sf_dir)
+    top = suppliers(spark, sf_dir).agg(F.max("id")).first()[0]
+    a, b = F.get("vertices", 0), F.get("vertices", 1)
+    rows = g.nodes.filter((F.col("dim") == 1) & (b + 1 <= top)).select(F.col("vertices").alias("lower"), F.array(a, b, b + 1).alias("upper"), F.lit(True).alias("is_in"), (a % 2 == 0).alias("is_out"))
+    return mutate.put_relations(g, rows).nodes.filter("dim = 2").select(key_of("vertices").alias("face"), "in_mask", "out_mask", "is_simplex")
+
+
+LEAST = "M AS (SELECT a, b FROM P ORDER BY a, b LIMIT 1)"
+
+
+def _least_edge(spark, sf_dir):
+    row = undirected_edges(spark, sf_dir).orderBy("a", "b").first()
+    return row["a"], row["b"]
+
+
+@query(f"WITH {FIRST}, {LEAST} SELECT s AS src, t AS dst FROM S, M WHERE NOT (least(s, t) = M.a AND greatest(s, t) = M.b)")
+def remove_relation(spark, sf_dir):
+    a, b = _least_edge(spark, sf_dir)
+    h = mutate.remove_relation(first_graph(spark, sf_dir), (a,), (a, b))
+    return relations.neighbor_relations(h, 1, lookup.within(h, [0])).select("src", "dst")
+
+
+@query(f"WITH {FIRST}, {LEAST} SELECT s AS src, t AS dst FROM S, M WHERE NOT (s = M.a AND t = M.b)")
+def remove_relation_upwards(spark, sf_dir):
+    a, b = _least_edge(spark, sf_dir)
+    h = mutate.remove_relation(first_graph(spark, sf_dir), (a,), (a, b), dir_in=True)
+    return relations.neighbor_relations(h, 1, lookup.within(h, [0])).select("src", "dst")
+
+
+@query(f"WITH {FIRST} SELECT CAST(0 AS BIGINT) AS k, t - CASE WHEN t > 3 THEN 1 ELSE 0 END AS i, s - CASE WHEN s > 3 THEN 1 ELSE 0 END AS j, CAST(1 AS DOUBLE) AS value FROM S WHERE s <> 3 AND t <> 3")
+def matrix_after_removal(spark, sf_dir):
+    h = mutate.remove_nodes(first_graph(spark, sf_dir), spark.createDataFrame([([3],)], "vertices array<bigint>"), with_cofaces=True)
+    return _coo(matrices.adjacency_matrices(h, [1], [], [0]), "k", "i", "j")
+
+
+@query(f"WITH {FIRST} SELECT v AS nid, CAST(2 * v AS DOUBLE) AS data FROM N")
+def set_item(spark, sf_dir):
+    rows = suppliers(spark, sf_dir).select(F.array("id").alias("vertices"), (2.0 * F.col("id")).alias("data"), F.lit(0).alias("seq"))
+    return mutate.set_item(first_graph(spark, sf_dir), rows).nodes.filter("dim = 0").select("nid", "data")
+
+
+@query(f"WITH {FIRST}, H AS (SELECT v AS dst, v AS seq, CAST(v AS DOUBLE) AS x FROM N UNION ALL SELECT t, s, CAST(s AS DOUBLE) FROM S) SELECT dst AS nid, round(list_reduce(list_prepend(CAST(0 AS DOUBLE), list(x ORDER BY seq)), lambda old, x: old * 0.5 + x), 6) AS data FROM H GROUP BY dst")
+def propagate_update(spark, sf_dir):
+    updates = suppliers(spark, sf_dir).select(F.array("id").alias("vertices"), F.col("id").cast("double").alias("data"), F.col("id").alias("seq"))
+    g = mutate.propagate_data(first_graph(spark, sf_dir), updates, [0, 1], [], update=lambda old, x: F.coalesce(old, F.lit(0.0)) * 0.5 + x)
+    return g.nodes.filter("dim = 0").select("nid", F.round("data", 6).alias("data"))
+
+
+@query(f"WITH {FACES} SELECT a.f[1] AS nid, CAST(sum(b.data) AS BIGINT) AS data FROM F a LEFT JOIN F b ON len(b.f) = 2 AND list_contains(b.f, a.f[1]) WHERE len(a.f) = 1 GROUP BY a.f[1]")
+def generalize_stored(spark, sf_dir):
+    g = complex_graph(spark, sf_dir)
+    return mutate.generalized(g, [], [1], F.sum("data").cast("bigint"), lookup.within(g, [0])).nodes.filter("dim = 0").select(F.col("vertices")[0].alias("nid"), F.col("data").cast("bigint").alias("data"))
+
+
+@query(f"WITH {FIRST}, {LEAST} SELECT t AS v FROM S, M WHERE s = M.a")
+def neighbors_of_one(spark, sf_dir):
+    a, _ = _least_edge(spark, sf_dir)
+    return relations.neighbors(first_graph(spark, sf_dir), a).select(F.col("vertices")[0].alias("v"))
+
+
+@query(f"WITH {FACES} SELECT array_to_string(f, '-') AS face FROM F WHERE len(f) = 3 AND list_contains(f, 3)")
+def incidence_of_one(spark, sf_dir):
+    return relations.incidence_neighbors(complex_graph(spark, sf_dir), 3, 2).select(key_of("vertices").alias("face"))
+
+
+@query(f"WITH {FIRST} SELECT v AS src, CAST(sum(count(t)) OVER (ORDER BY v) - count(t) AS BIGINT) AS \"offset\", coalesce(string_agg(CAST(t AS VARCHAR), ' ' ORDER BY t), '') AS targets FROM N LEFT JOIN S ON s = v GROUP BY v")
+def adjacency_lists(spark, sf_dir):
+    g = first_graph(spark, sf_dir)
+    return relations.adjacency_lists(g, 1, sources=lookup.within(g, [0])).select("src", F.col("offset").cast("bigint").alias("offset"), F.array_join(F.col("targets").cast("array<string>"), " ").alias("targets"))
+
+
+@query(f"WITH {FACES}, A AS (SELECT f FROM F WHERE len(f) = 2), U AS (SELECT a.f AS f, u.f AS u FROM A a JOIN F u ON len(u.f) = 3 AND list_has_all(u.f, a.f)) SELECT array_to_string(A.f, '-') AS face, kind, CAST(k AS BIGINT) AS k, CAST(n AS DOUBLE) AS degree FROM (SELECT A.f AS f, 'i' AS kind, 1 AS k, count(U.u) AS n FROM A LEFT JOIN U ON U.f = A.f GROUP BY A.f UNION ALL SELECT f, 'i', -1, 2 FROM A UNION ALL SELECT A.f, 'n', 1, count(DISTINCT b.f) FROM A LEFT JOIN U ON U.f = A.f LEFT JOIN U b ON b.u = U.u AND b.f <> A.f GROUP BY A.f) A")
+def degree_lists_by_dimension(spark, sf_dir):
+    g = complex_graph(spark, sf_dir)
+    edges = g.nodes.filter("dim = 1")
+    found = degrees.degree_lists(g, [1], [1, -1], edges).join(edges.select("nid", key_of("vertices").alias("face")), "nid")
+    return found.select("face", "kind", F.col("k").cast("bigint").alias("k"), F.col("degree").cast("double").alias("degree"))
+
+
+PLACES = "L AS (SELECT f, row_number() OVER (ORDER BY len(f), f) - 1 AS pos FROM F WHERE len(f) <= 2)"
+
+
+@query(f"WITH {FACES}, {PLACES} SELECT CAST(CASE WHEN len(b.f) > len(a.f) THEN 0 ELSE 1 END AS BIGINT) AS k, b.pos AS i, a.pos AS j, CAST(1 AS DOUBLE) AS value FROM L a JOIN L b ON abs(len(a.f) - len(b.f)) = 1 AND (list_has_all(b.f, a.f) OR list_has_all(a.f, b.f))")
+def incidence_matrices(spark, sf_dir):
+    return _coo(matrices.adjacency_matrices(complex_graph(spark, sf_dir), [], [1, -1], [0, 1]), "k", "i", "j")
+
+
+@query(f"WITH {FACES} SELECT array_to_string(a.f, '-') AS src, array_to_string(b.f, '-') AS dst FROM F a JOIN F b ON len(a.f) = 1 AND len(b.f) = 2 AND NOT list_contains(b.f, a.f[1])")
+def non_incidence(spark, sf_dir):
+    g = complex_graph(spark, sf_dir)
+    return named(relations.non_adjacency(g, 1, lookup.within(g, [0])), g, "src", "dst").select("src", "dst")
+
+
+@query(f"WITH RECURSIVE {FIRST}, {near(2)} SELECT dst AS i, src AS j, CAST(count(*) AS DOUBLE) AS value FROM D WHERE dst >= 4 AND dst < 12 GROUP BY dst, src")
+def partial_matrix(spark, sf_dir):
+    return _coo(matrices.tile(matrices.adjacency_matrix(first_graph(spark, sf_dir), [0, 1, 2], [], [0]), 4, 8), "i", "j")
+
+
+@query(f"WITH RECURSIVE {FIRST}, {near(2)} SELECT CAST(CASE dist WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END AS BIGINT) AS k, dst AS i, src AS j, CAST(1 AS DOUBLE) AS value FROM D")
+def concat_tiles(spark, sf_dir):
+    g = first_graph(spark, sf_dir)
+    n = lookup.size(g, 0)
+    one, two = written(matrices.adjacency_matrices(g, [1], [], [0]), "tiles"), written(matrices.adjacency_matrices(g, [0, 2], [], [0]), "tiles")
+    whole = None
+    for part in matrices.concat_tiles((matrices.tiles(one, n, -(-n // 3)), 1), (matrices.tiles(two, n, -(-n // 3)), 2)):
+        whole = part if whole is None else whole.union(part)
+    return _coo(whole, "k", "i", "j")
+
+
+@query(f"WITH {FIRST} SELECT a.v AS i, b.v AS j FROM N a JOIN N b ON a.v < b.v")
+def vertex_pairs(spark, sf_dir):
+    return stats.vertex_pairs(suppliers(spark, sf_dir), "id").select("i", "j")
+
+
+@query(f"WITH {FACES} SELECT 'nodes' AS what, CAST(count(*) AS VARCHAR) AS value FROM F UNION ALL SELECT 'edges', CAST(count(*) FILTER (len(f) = 2) AS VARCHAR) FROM F UNION ALL SELECT 'has 3', CAST(count(*) FILTER (f = [3]) > 0 AS VARCHAR) FROM F UNION ALL SELECT 'has 3 and 3000000', 'false' UNION ALL SELECT 'data of 3', CAST(max(data) FILTER (f = [3]) AS VARCHAR) FROM F")
+def single_lookups(spark, sf_dir):
+    g = complex_graph(spark, sf_dir)
+    rows = [("nodes", lookup.size(g)), ("edges", lookup.size(g, 1)), ("has 3", lookup.contains(g, 3)), ("has 3 and 3000000", lookup.contains(g, (3, 3000000))), ("data of 3", lookup.get(g, 3))]
+    return spark.createDataFrame([(k, str(v).lower()) for k, v in rows], "what string, value string")
+
+
+@query(f"WITH {FACES} SELECT '(' || array_to_string(f, ', ') || '): ' || data AS text FROM F")
+def shown_nodes(spark, sf_dir):
+    return lookup.shown(complex_graph(spark, sf_dir))
+
+
+# -- more sources, layers, statistics ---------------------------------------------------------------------------------------
+
+
+def _roads(spark, sf_dir, directed):
+    nodes = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 10 + 7).alias("osm_id"), F.col("s_acctbal").alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+    arcs = spark.sql(ARCS, lineitem=table(spark, sf_dir, "lineitem")).filter("s < t").select((F.col("s") * 10 + 7).alias("u"), (F.col("t") * 10 + 7).alias("v"), F.col("w").alias("length"))
+    return paths.arcs_of(builders.road_network(nodes, arcs, directed))
+
+
+@query(f"WITH {THIRD} SELECT s AS src, t AS dst, w FROM S WHERE s < t")
+def directed_roads(spark, sf_dir):
+    return _roads(spark, sf_dir, True)
+
+
+@query(f"WITH {THIRD} SELECT s AS src, t AS dst, w FROM S WHERE s < t UNION ALL SELECT t, s, w FROM S WHERE s < t")
+def undirected_roads(spark, sf_dir):
+    return _roads(spark, sf_dir, False)
+
+
+@query(f"""WITH {FACES}, K AS (SELECT id, vs, w + 3 AS c FROM G WHERE w + 3 > 4 AND len(vs) <= 3), U AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS r FROM (SELECT DISTINCT unnest(vs) AS v FROM K)),
+ R AS (SELECT id, c, list_sort(list(r)) AS vs FROM (SELECT id, c, unnest(vs) AS v FROM K) JOIN U USING (v) GROUP BY id, c), Y AS (SELECT vs, c, unnest(range(1, CAST(pow(2, len(vs)) AS BIGINT))) AS m FROM R)
+ SELECT array_to_string(list_filter(vs, lambda v, i: (m >> CAST(i - 1 AS INTEGER)) & 1 = 1), '-') AS face, CAST(sum(c) AS BIGINT) AS data FROM Y GROUP BY 1""")
+def collaborations(spark, sf_dir):
+    papers = simplices(spark, sf_dir).select(F.col("vertices").alias("authors"), (F.col("w") + 3).alias("citations"))
+    return builders.from_collaborations(papers, 4, 3).nodes.select(key_of("vertices").alias("face"), F.col("data").cast("bigint").alias("data"))
+
+
+@query(f"WITH {MESSAGES}, T AS (SELECT node, c, greatest(sum(x), 0) AS x FROM M GROUP BY node, c) SELECT V.j AS node, CAST(V.c AS BIGINT) AS c, round(greatest((V.x + coalesce(T.x, 0)) / 2, 0), 6) + 0.0 AS x FROM V LEFT JOIN T ON T.node = V.j AND T.c = V.c")
+def layer_by_tiles(spark, sf_dir):
+    f, m = features(spark, sf_dir), written(embedding_matrices(spark, sf_dir), "matrices")
+    n = f.count()
+    rows = -(-n // 3)
+    tiles = lambda: ((matrices.tile(m, first, rows), min(rows, n - first)) for first in range(0, n, rows))
+    return entries(layers.PartialForward(layers.MultiGraphLayer())(f, tiles, n), "node")
+
+
+@query("WITH V AS (SELECT vec_id AS j, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS c FROM embeddings), C AS (SELECT count(*) AS n FROM embeddings), A AS (SELECT vec_id AS j, (7 * vec_id + 13 * q) % n AS i, n // 2 AS h FROM embeddings, C, (SELECT unnest(range(20)) AS q)), T AS (SELECT i AS node, c, greatest(sum(x), 0) AS x FROM A JOIN V USING (j) WHERE i < h AND j < h GROUP BY i, c) SELECT V.j AS node, CAST(V.c AS BIGINT) AS c, round(greatest((V.x + coalesce(T.x, 0)) / 2, 0), 6) + 0.0 AS x FROM V JOIN C ON V.j < C.n // 2 LEFT JOIN T ON T.node = V.j AND T.c = V.c")
+def hasty_layer(spark, sf_dir):
+    f = features(spark, sf_dir)
+    half = f.count() // 2
+    rows = f.filter(F.col("node") < half).select("node")
+    return entries(layers.MultiGraphLayer().hasty(f, matrices.tile(embedding_matrices(spark, sf_dir), 0, half), rows), "node")
+
+
+@query("SELECT round(avg(CASE WHEN l_linenumber = l_suppkey % 7 + 1 THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM lineitem")
+def accuracy(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select("l_linenumber", (F.col("l_suppkey") % 7 + 1).alias("guess"))
+    return stats.accuracy(df, "guess", "l_linenumber").select(F.round("accuracy", 9).alias("accuracy"))
+
+
+@query("SELECT CAST(l_linenumber AS VARCHAR) AS value, count(*) AS n FROM lineitem GROUP BY 1")
+def error_lines(spark, sf_dir):
+    path = f"{folder(spark)}/facetflow/lines-{uuid.uuid4().hex}"
+    stats.write_errors(table(spark, sf_dir, "lineitem"), "l_linenumber", path)
+    return spark.read.text(path).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact hop distances 0..3 of all vertices, with the degree at each distance and its inverse."""
     g = first_graph(spark, sf_dir)

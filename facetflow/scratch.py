@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` written as Parquet under ``spark.checkpoint.dir`` (set here only if unset) and read again."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; set here only where it is unset, in local mode: on a cluster a machine's own folder is no use."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="facetflow-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/facetflow/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` written as Parquet under the shared folder and read again; removed when the driver's Python ends."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/facetflow/{name}-{uuid.uuid4().hex}"
+
+    def clean() -> None:
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001  the session may be gone already
+            pass
+
+    atexit.register(clean)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

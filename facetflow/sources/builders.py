@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.arrays import MOST_VERTICES, all_faces
+from ..functions.arrays import subset, subset_numbers
 from ..graph import Graph, check_keys, dense_index
 from ..scratch import written
 
@@ -17,34 +18,48 @@ def empty(spark: SparkSession, data_type: str = "double") -> Graph:
     return Graph.assembled(spark.createDataFrame([], f"vertices array<bigint>, data {data_type}"), fill=False)
 
 
+def keyed_edges(edges: DataFrame, src: str = "src", dst: str = "dst", data: str | None = None, seq: str | None = None) -> DataFrame:
+    """``vertices`` and ``data`` of each edge, both directions as one; loops and null ends are left out; the last row (by ``seq``) gives the data."""
+    return _merged(_arc_rows(edges, src, dst, data, seq))
+
+
+def _arc_rows(edges: DataFrame, src: str, dst: str, data: str | None, seq: str | None) -> DataFrame:
+    return edges.filter(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))).select(F.col(src).cast("bigint").alias("s"), F.col(dst).cast("bigint").alias("t"), (F.col(data) if data else F.lit(None).cast("double")).alias("data"), (F.col(seq) if seq else F.lit(0)).alias("seq"))
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(F.array_sort(F.array("s", "t")).alias("vertices")).agg(F.max_by("data", "seq").alias("data"))
+
+
 def from_edges(edges: DataFrame, src: str = "src", dst: str = "dst", data: str | None = None, directed: bool = False, seq: str | None = None, vertices: DataFrame | None = None) -> Graph:
     """Edges, undirected or as directed arcs; loops are left out; the last row (by ``seq``) of an edge gives its data.
 
-    ``vertices`` (``id``, ``data``) may name more vertices and their data.
+    ``vertices`` (``id``, ``data``) may name more vertices and their data. The source is read once: its rows are written.
     """
-    rows = edges.filter(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))).select(F.col(src).cast("bigint").alias("s"), F.col(dst).cast("bigint").alias("t"), (F.col(data) if data else F.lit(None).cast("double")).alias("data"), (F.col(seq) if seq else F.lit(0)).alias("seq"))
-    pair = F.array_sort(F.array("s", "t"))
-    keyed = rows.groupBy(pair.alias("vertices")).agg(F.max_by("data", "seq").alias("data"))
+    rows = written(_arc_rows(edges, src, dst, data, seq), "arcs")
     ends = rows.select(F.explode(F.array("s", "t")).alias("v")).distinct().select(F.array("v").alias("vertices"))
     if vertices is not None:
         own = vertices.select(F.array(F.col("id").cast("bigint")).alias("vertices"), "data")
         ends = ends.join(own, "vertices", "full")
-    nodes = keyed.unionByName(ends, allowMissingColumns=True)
-    check_keys(nodes)
+    nodes = _merged(rows).unionByName(ends, allowMissingColumns=True)
     if not directed:
         return Graph.assembled(nodes)
+    pair = F.array_sort(F.array("s", "t"))
     up = rows.select(F.array("s").alias("lower"), pair.alias("upper"), F.lit(True).alias("is_in"), F.lit(False).alias("is_out"))
     down = rows.select(F.array("t").alias("lower"), pair.alias("upper"), F.lit(False).alias("is_in"), F.lit(True).alias("is_out"))
     return Graph.assembled(nodes, up.union(down))
 
 
 def closure(simplices: DataFrame, value: str | None = None, update: Column | None = None) -> DataFrame:
-    """All faces (``vertices``) of simplices. With ``value``: each face's ``data`` is the sum over the simplices that hold it, or ``update``."""
-    sizes = simplices.agg(F.max(F.size("vertices"))).first()[0] or 0
-    if sizes > MOST_VERTICES:
-        raise ValueError(f"a simplex of {sizes} vertices has too many faces; {MOST_VERTICES} vertices are the most")
+    """All faces (``vertices``) of simplices. With ``value``: each face's ``data`` is the sum over the simplices that hold it, or ``update``.
+
+    Faces are exploded from numbers of subsets, in two steps for large simplices, so no row holds them all.
+    """
     keep = [F.col(value).alias("_value")] if value else []
-    each = simplices.select(F.explode(all_faces(F.array_sort("vertices"))).alias("vertices"), *keep)
+    high, low = subset_numbers(F.size("own"))
+    parts = simplices.select(F.array_sort("vertices").alias("own"), *keep).select("own", *(["_value"] if value else []), F.explode(high).alias("_high"))
+    each = parts.select("own", *(["_value"] if value else []), F.explode(F.transform(low, lambda k: k + F.col("_high"))).alias("_number")).filter("_number > 0")
+    each = each.select(subset(F.col("own"), F.col("_number")).alias("vertices"), *(["_value"] if value else []))
     if not value:
         return each.distinct()
     return each.groupBy("vertices").agg((update if update is not None else F.sum("_value")).alias("data"))
@@ -52,11 +67,12 @@ def closure(simplices: DataFrame, value: str | None = None, update: Column | Non
 
 def from_simplices(simplices: DataFrame, value: str | None = None, spread: bool = False, seq: str | None = None) -> Graph:
     """Simplices with all their faces. ``value`` stays with the simplex itself (the last by ``seq``), or is summed over all its faces with ``spread``."""
-    check_keys(simplices)
+    columns = [F.array_sort("vertices").alias("vertices"), (F.col(value) if value else F.lit(None).cast("double")).alias("value"), (F.col(seq) if seq else F.lit(0)).alias("seq")]
+    rows = written(simplices.select(*columns), "simplices")
+    check_keys(rows)  # before anything is expanded
     if spread:
-        return Graph.assembled(closure(simplices, value))
-    order = F.col(seq) if seq else F.lit(0)
-    own = simplices.groupBy(F.array_sort("vertices").alias("vertices")).agg(F.max_by(F.struct((F.col(value) if value else F.lit(None).cast("double")).alias("data")), order)["data"].alias("data"))
+        return Graph.assembled(closure(rows, "value"))
+    own = rows.groupBy("vertices").agg(F.max_by(F.struct(F.col("value").alias("data")), F.col("seq"))["data"].alias("data"))
     faces = closure(own.select("vertices")).join(own.select("vertices"), "vertices", "left_anti")
     return Graph.assembled(own.unionByName(faces, allowMissingColumns=True))
 
@@ -108,8 +124,12 @@ def grid(spark: SparkSession, rows: int, cols: int):
     return graph, (lambda r, c: r * cols + c), (lambda i: (i // cols, i % cols))
 
 
-def plane(spark: SparkSession, v: int, e: int, d: int = 2, low: float = 0.0, high: float = 1.0, var: float = 0.0, connected: bool = True, seed: int = 0) -> tuple[Graph, DataFrame]:
-    """A random geometric graph of ``v`` points and ``e`` edges; an edge's length is the distance of its ends plus the size of a normal error.
+def euclidean(p: Column, q: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(p, q, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+
+def plane(spark: SparkSession, v: int, e: int, d: int = 2, low: float = 0.0, high: float = 1.0, var: float = 0.0, connected: bool = True, seed: int = 0, metric: Callable[[Column, Column], Column] = euclidean) -> tuple[Graph, DataFrame]:
+    """A random geometric graph of ``v`` points and ``e`` edges; an edge's length is the distance of its ends (by ``metric``, of two arrays) plus the size of a normal error.
 
     A connected one has a random tree (each point holds on to an earlier one). Returns the graph and the points.
     """
@@ -133,7 +153,7 @@ def plane(spark: SparkSession, v: int, e: int, d: int = 2, low: float = 0.0, hig
         factor *= 4
     pairs = tree.union(drawn) if drawn is not None else tree
     a, b = (points.select(F.col("id").alias(c), F.col("data").alias(f"p_{c}")) for c in ("src", "dst"))
-    gap = F.sqrt(F.aggregate(F.zip_with("p_src", "p_dst", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    gap = metric(F.col("p_src"), F.col("p_dst"))
     edges = pairs.join(a, "src").join(b, "dst").select("src", "dst", gap.alias("gap")).withColumn("w", F.col("gap") + F.abs(F.randn(seed + 7) * F.col("gap") * var))
     return from_edges(written(edges, "edges"), data="w", vertices=points.select("id", F.lit(math.nan).alias("data"))), points
 

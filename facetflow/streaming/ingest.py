@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..functions.arrays import all_faces
+from ..sources.builders import closure
 
 
 def stream_faces(simplices: DataFrame, path: str, checkpoint: str, value: str = "w") -> StreamingQuery:
     """Appends each batch's partial sums (``vertices``, ``data``, ``batch``) to a table; a batch that runs again replaces its own rows."""
 
     def put(batch: DataFrame, number: int) -> None:
-        faces = batch.select(F.explode(all_faces(F.array_sort("vertices"))).alias("vertices"), F.col(value).alias("_v"))
-        faces.groupBy("vertices").agg(F.sum("_v").alias("data")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        closure(batch, value).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return simplices.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
