@@ -272,6 +272,32 @@ class BpeModel:
             start = end
 
 
+class Memory:
+    """Ids of pieces that were encoded before, one behind the other in an array; ``at`` has a piece's number in the order of coming."""
+
+    def __init__(self):
+        self.at: dict = {}
+        self.starts, self.ids = np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32)
+
+    def put(self, pieces: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, used = len(self.at), int(self.starts[len(self.at)])
+        if n + len(pieces) + 1 > len(self.starts):
+            self.starts = np.resize(self.starts, 2 * (n + len(pieces) + 1))
+        if used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * (used + len(ids)))
+        self.ids[used : used + len(ids)] = ids
+        self.starts[n + 1 : n + 1 + len(pieces)] = used + np.cumsum(sizes)
+        self.at.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+
+    def fit(self, more: int) -> bool:
+        """Makes room: of more than REMEMBERED pieces the later half goes, as what came first comes often. Whether any went."""
+        if len(self.at) + more <= REMEMBERED:
+            return False
+        for piece in list(self.at)[REMEMBERED // 2 :]:
+            del self.at[piece]
+        return True
+
+
 class Codec:
     """Encodes and decodes whole texts; remembers the ids of pieces of text that come again.
 
@@ -282,8 +308,8 @@ class Codec:
 
     def __init__(self, model: BpeModel, library: str | None = None):
         self.model = model
-        self.known: dict = {}  # ids of a piece; in the second kind of vocabulary, of the piece behind a space
-        self.heads: dict = {}  # ids of what stands before the first cut there
+        self.known = Memory()  # pieces; in the second kind of vocabulary, those behind a space
+        self.heads = Memory()  # what stands before the first cut there
         self.decimals = list(map(str, range(model.size)))
         # not at a white space character, in the wide sense, on either side
         self.cut = regex.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])") if not model.suffix else None
@@ -299,35 +325,35 @@ class Codec:
             # a token that ends a word, or that starts with a space
             self.edge = np.array([t.endswith(model.suffix) if model.suffix else t.startswith(mark) for t in model.tokens])
 
-    def learn(self, pieces: Iterable, store: dict, lead: str = "") -> None:
-        new = list((every := set(pieces)).difference(store))
-        if len(store) + len(new) > REMEMBERED:
-            # what came first comes often: a half of it stays
-            for piece in list(store)[REMEMBERED // 2 :]:
-                del store[piece]
-            new = list(every.difference(store))
+    def learn(self, pieces: Iterable, store: Memory, lead: str = "") -> None:
+        """Remembers all of the pieces (not empty ones, and behind a space none that start with white space)."""
+        every = set(pieces)
+        new = list(every.difference(store.at))
+        if store.fit(len(new)):
+            new = list(every.difference(store.at))
+        if not new:
+            return
         if self.cut is None:
-            texts = b"\n".join(new).decode().split("\n") if new else []  # pieces without white space stay apart
+            texts = b"\n".join(new).decode().split("\n")  # pieces without white space stay apart
         else:
-            store.update((p, None) for p in new if lead and (not p or p[0].isspace()))
-            new = [p for p in new if p not in store]
-            texts = [lead + p for p in new]
+            texts = [lead + p for p in new] if lead else new
         if self.library:
-            store.update(zip(new, self.by_library(texts, bool(lead)), strict=True))
+            for part, ids, sizes in self.by_library(texts, bool(lead)):
+                store.put([new[k] for k in part], ids, sizes)
             return
         split = self.model.split_many(texts)
         words = list({w for parts in split for w in parts})
         plain = [w.encode() if isinstance(w, str) else b"" for w in words]
         ids = {w: x if isinstance(w, str) else w.to_bytes(4, "little") for w, x in zip(words, self.model.encode_words(plain), strict=True)}
-        for piece, parts in zip(new, split, strict=True):
-            store[piece] = ids[parts[0]] if len(parts) == 1 else b"".join(map(ids.__getitem__, parts))
+        found = [b"".join(map(ids.__getitem__, parts)) for parts in split]
+        store.put(new, np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4)
 
-    def by_library(self, texts: list[str], spaced: bool) -> list[bytes]:
-        """Ids of pieces by the tokenizers library. Many pieces make one text; its tokens that begin with a space, or end a word, tell them apart.
+    def by_library(self, texts: list[str], spaced: bool) -> Iterator[tuple[Iterable[int], np.ndarray, np.ndarray]]:
+        """Ids of pieces by the tokenizers library: indexes of some, their ids in a row, and their numbers of ids.
 
-        Where their number isn't that of the pieces, such as for pieces of several words, each piece is a text of its own.
+        Many pieces make one text; its tokens that begin with a space, or end a word, tell them apart. Where their number
+        isn't that of the pieces, such as for pieces of several words, each piece is a text of its own.
         """
-        out: list[bytes] = [b""] * len(texts)
         if self.cut is None:
             together, alone = [k for k, t in enumerate(texts) if t.isalpha()], [k for k, t in enumerate(texts) if not t.isalpha()]
         else:
@@ -335,28 +361,26 @@ class Codec:
         glue = "" if self.cut else " "
         for start in range(0, len(together), TOGETHER):
             part = together[start : start + TOGETHER]
-            ids = np.array(self.library.encode_batch_fast([glue.join([texts[k] for k in part])], add_special_tokens=False)[0].ids, np.int64)
+            ids = np.array(self.library.encode_batch_fast([glue.join([texts[k] for k in part])], add_special_tokens=False)[0].ids, np.uint32)
             edges = np.flatnonzero(self.edge[ids])
             if len(edges) != len(part) or (self.cut and edges[0]):
                 alone = [*alone, *part]
-                continue
-            bounds = 4 * (np.append(edges, len(ids)) if self.cut else np.append(0, edges + 1))
-            raw, bounds = ids.astype("<u4").tobytes(), bounds.tolist()
-            for k, low, high in zip(part, bounds[:-1], bounds[1:], strict=True):
-                out[k] = raw[low:high]
+            else:
+                yield part, ids, np.diff(np.append(edges, len(ids)) if self.cut else np.append(0, edges + 1))
         if alone:
             each = [e.ids for e in self.library.encode_batch_fast([texts[k] for k in alone], add_special_tokens=False)]
-            raw, at = np.fromiter(chain.from_iterable(each), "<u4").tobytes(), 0
-            for k, ids in zip(alone, each, strict=True):
-                out[k] = raw[at : (at := at + 4 * len(ids))]
-        return out
+            sizes = np.fromiter(map(len, each), np.int64, len(each))
+            yield alone, np.fromiter(chain.from_iterable(each), np.uint32, int(sizes.sum())), sizes
 
-    def whole(self, text: str) -> bytes:
+    def whole(self, text: str) -> np.ndarray:
         """Ids of a text with runs of white space: cut between other characters only."""
         head, *parts = self.cut.split(text)
-        self.learn(parts, self.known, " ")
         self.learn([head], self.heads)
-        return self.heads[head] + b"".join(map(self.known.__getitem__, parts))
+        self.learn(parts, self.known, " ")
+        at = self.heads.at[head]
+        out = [self.heads.ids[self.heads.starts[at] : self.heads.starts[at + 1]]]
+        out += [self.known.ids[self.known.starts[k] : self.known.starts[k + 1]] for k in map(self.known.at.__getitem__, parts)]
+        return np.concatenate(out)
 
     def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (null: none), and where each text's begin, with the end of the last.
@@ -372,31 +396,34 @@ class Codec:
         code = coded.indices.to_numpy(zero_copy_only=False).copy()
         if self.cut is None:
             own = coded.dictionary.cast(pa.binary()).to_pylist()
-            self.learn(filter(None, own), self.known)
-            self.known[b""] = b""
-            found = list(map(self.known.__getitem__, own))
+            self.learn(own, self.known)
+            number = np.fromiter(map(self.known.at.__getitem__, own), np.int64, len(own))
+            table, starts, ends = self.known.ids, self.known.starts[number], self.known.starts[number + 1]
         else:
-            pieces = coded.dictionary.to_pylist()
-            heads = lists.values.take(pa.array(offsets[:-1])).to_pylist()
+            pieces, heads = coded.dictionary.to_pylist(), lists.values.take(pa.array(offsets[:-1])).to_pylist()
+            odd = np.fromiter((not p or p[0].isspace() for p in pieces), bool, len(pieces))
             self.learn(heads, self.heads)
-            first = list(map(self.heads.__getitem__, heads))
-            self.learn(pieces, self.known, " ")
-            found = list(map(self.known.__getitem__, pieces))
-            odd = np.fromiter((x is None for x in found), bool, len(found))
-            code[offsets[:-1]] = len(found) + np.arange(len(first))
+            first = np.fromiter(map(self.heads.at.__getitem__, heads), np.int64, len(heads))
+            more = [self.heads.ids[low:high] for low, high in zip(self.heads.starts[first].tolist(), self.heads.starts[first + 1].tolist(), strict=True)]
+            code[offsets[:-1]] = len(pieces) + np.arange(len(first))
             if odd.any():
-                odd = np.append(odd, np.zeros(len(first) + 1, bool))
-                for k in np.flatnonzero(np.add.reduceat(odd[code], offsets[:-1])).tolist():
-                    first[k] = self.whole(texts[k].as_py())
-                    code[offsets[k] + 1 : offsets[k + 1]] = len(found) + len(first)
-            found = [*(x or b"" for x in found), *first, b""]
-        table = np.frombuffer(b"".join(found), "<u4")
-        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
-        n = sizes[code]
-        ends = np.cumsum(n, dtype=np.int64)
-        at = np.repeat(((np.cumsum(sizes, dtype=np.int64) - sizes)[code] - (ends - n)).astype(np.int32), n)  # a slice has few enough ids
+                strange = np.append(odd, np.zeros(len(first), bool))
+                for k in np.flatnonzero(np.add.reduceat(strange[code], offsets[:-1])).tolist():
+                    more[k] = self.whole(texts[k].as_py())
+                    code[offsets[k] + 1 : offsets[k + 1]] = len(pieces) + len(first)  # nothing more
+            sound = [p for p, bad in zip(pieces, odd.tolist(), strict=True) if not bad]
+            self.learn(sound, self.known, " ")
+            number = np.zeros(len(pieces), np.int64)
+            number[~odd] = np.fromiter(map(self.known.at.__getitem__, sound), np.int64, len(sound))
+            used, sizes = int(self.known.starts[len(self.known.at)]), np.array([*map(len, more), 0], np.int64)
+            behind = used + np.cumsum(sizes)
+            table = np.concatenate([self.known.ids[:used], *more])
+            starts, ends = np.append(self.known.starts[number], behind - sizes), np.append(self.known.starts[number + 1], behind)
+        n = (ends - starts)[code]
+        total = np.cumsum(n)
+        at = np.repeat((starts[code] - (total - n)).astype(np.int32), n)  # a slice has few enough ids
         at += np.arange(len(at), dtype=np.int32)
-        return table[at], np.append(0, ends)[offsets]
+        return table[at], np.append(0, total)[offsets]
 
     def encode_ended(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """As encode_flat(), with a further id behind each text."""
