@@ -172,3 +172,50 @@ def test_collaborations(spark):
     papers = spark.createDataFrame([([7, 9, 9], 10), ([9, None, 11], 6), ([], 50), ([1, 2], 3)], "authors array<bigint>, citations bigint")
     g = builders.from_collaborations(papers)
     assert {tuple(r["vertices"]): r["data"] for r in g.nodes.collect()} == {(0,): 10, (1,): 16, (2,): 6, (0, 1): 10, (1, 2): 6}
+
+
+def test_numbers_have_no_holes_after_removal(spark):
+    path = builders.from_edges(edges(spark, [(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0)]), data="w")
+    rest = mutate.remove_nodes(path, spark.createDataFrame([([0],)], "vertices array<bigint>"), with_cofaces=True)
+    assert sorted((r["nid"], r["idx"], tuple(r["vertices"])) for r in rest.nodes.collect()) == [(0, 0, (1,)), (1, 1, (2,)), (2, 2, (3,)), (3, 0, (1, 2)), (4, 1, (2, 3))]
+    assert matrices.dense(matrices.adjacency_matrices(rest, [1], [], [0]), 1, 3)[0].tolist() == [[0, 1, 0], [1, 0, 1], [0, 1, 0]]
+    assert keys(relations.neighbors(rest, 2)) == [(1,), (3,)]
+
+
+def test_large_simplices(spark):
+    """More vertices than one list of subsets takes."""
+    rows = spark.createDataFrame([(list(range(14)), 2.0), (list(range(12, 15)), 1.0)], "vertices array<bigint>, w double")
+    faces = builders.closure(rows, "w")
+    assert faces.count() == 2**14 - 1 + 7 - 3 and faces.agg(F.sum("data")).first()[0] == 2.0 * (2**14 - 1) + 7
+    assert faces.filter("vertices = array(12L, 13L)").first()["data"] == 3.0
+    assert builders.closure(rows).count() == faces.count()
+
+
+def test_updates_by_function_and_stored_aggregates(spark, square):
+    rows = spark.createDataFrame([([0], 5.0, 1), ([2], 3.0, 0)], "vertices array<bigint>, data double, seq int")
+    changed = mutate.propagate_data(mutate.set_item(square, simplices(spark, [([1], 2.0, 0)])), rows, [1], [], update=lambda old, x: F.coalesce(old, F.lit(1.0)) * x + 1)
+    assert {r["nid"]: r["data"] for r in changed.nodes.filter("dim = 0").collect()} == {0: 1.0 * 3 + 1, 1: (2.0 * 3 + 1) * 5 + 1, 2: 1.0 * 5 + 1, 3: None}
+    stored = mutate.generalized(square, [], [1], F.sum("data"), lookup.within(square, [0]))
+    assert {r["nid"]: r["data"] for r in stored.nodes.filter("dim = 0").collect()} == {0: 2.0, 1: 3.0, 2: 2.0, 3: 1.0}
+    assert lookup.get(stored, (0, 1)) == 1.0
+    replaced = mutate.propagate_data(square, rows, [0, 1], [])
+    assert {r["nid"]: r["data"] for r in replaced.nodes.filter("dim = 0").collect()} == {0: 5.0, 1: 5.0, 2: 5.0, 3: None}
+
+
+def test_lists_of_neighbours(square):
+    rows = relations.adjacency_lists(square, sources=lookup.within(square, [0])).orderBy("src").collect()
+    assert [(r["src"], r["offset"], r["targets"]) for r in rows] == [(0, 0, [1, 2]), (1, 2, [0, 2, 3]), (2, 5, [0, 1]), (3, 7, [1])]
+
+
+def test_nothing_to_add(square):
+    with pytest.raises(IndexError):
+        matrices.adjacency_matrix(square, [], [])
+    assert matrices.adjacency_matrix(square, [1], [1], [0]).count() == 8
+
+
+def test_any_metric(spark):
+    g, points = builders.plane(spark, 8, 12, seed=2, metric=lambda p, q: F.abs(p[0] - q[0]) + F.abs(p[1] - q[1]))
+    at = {r["id"]: r["data"] for r in points.collect()}
+    for r in g.nodes.filter("dim = 1").collect():
+        (a, b), (c, d) = (at[v] for v in r["vertices"])
+        assert r["data"] == pytest.approx(abs(a - c) + abs(b - d))

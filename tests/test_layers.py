@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +55,51 @@ def test_streamed_faces(spark, tmp_path):
     ingest.stream_faces(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     found = {tuple(r["vertices"]): r["data"] for r in ingest.current_faces(spark, str(tmp_path / "out")).collect()}
     assert found == {(0,): 2, (1,): 5, (2,): 3, (0, 1): 2, (1, 2): 3}
+
+
+@pytest.mark.parametrize("loss", training.LOSSES)
+def test_sums_are_those_of_all_rows(spark, loss):
+    rng = np.random.default_rng(1)
+    x, w, b = rng.normal(size=(40, 3)), rng.normal(size=(3, 2)), rng.normal(size=2)
+    y = rng.integers(0, 2, 40) if loss == "softmax" else rng.normal(size=(40, 2))
+    kind = "int" if loss == "softmax" else "array<double>"
+    rows = spark.createDataFrame([(v.tolist(), t.tolist(), "train") for v, t in zip(x, y, strict=True)], f"features array<double>, label {kind}, part string").repartition(3)
+    g, total, n = training.step_sums(rows, w, b, loss)["train"]
+    assert n == 40 and total == pytest.approx(training.loss_and_slope(x @ w + b, y, loss)[0])
+    near = 1e-6
+    for i, j in ((0, 0), (2, 1)):
+        moved = w.copy()
+        moved[i, j] += near
+        assert g[i, j] == pytest.approx((training.loss_and_slope(x @ moved + b, y, loss)[0] - training.loss_and_slope(x @ (w - moved + w) + b, y, loss)[0]) / (2 * near), abs=1e-4)
+
+
+def test_validation_and_masks(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 2))
+    parts = ["train", "valid", None, "test"]
+    rows = spark.createDataFrame([(v.tolist(), [float(v[0] * 2 - v[1]) if k % 4 < 2 else 1e9], parts[k % 4]) for k, v in enumerate(x)], "features array<double>, label array<double>, part string")
+    head = training.train_head(rows, 1, "squared", epochs=60, rate=0.2, decay=0.0, patience=5, seed=1)
+    assert len(head.validation) == len(head.losses) <= 60 and min(head.validation) == head.validation[head.best - 1] < 0.05
+    assert head.weights.ravel() == pytest.approx([2, -1], abs=0.2)
+    with pytest.raises(ValueError):
+        training.train_head(rows, 1, "other")
+    with pytest.raises(ValueError):
+        training.train_head(rows.filter("part = 'test'"), 1, "squared")
+
+
+def test_initial_values(spark):
+    table = layers.embedding_table(spark.range(50).withColumnRenamed("id", "node"), 4, seed=1)
+    values = np.array([r["features"] for r in table.orderBy("node").collect()])
+    r = (1 / 200) ** 0.5
+    assert values.shape == (50, 4) and np.abs(values).max() <= r and np.abs(values).max() > 0.8 * r and abs(values.mean()) < 0.2 * r
+    again = np.array([x["features"] for x in layers.embedding_table(spark.range(50).withColumnRenamed("id", "node"), 4, seed=1).orderBy("node").collect()])
+    assert (values == again).all()
+    w = np.array(layers.uniform_weights(3, 5, seed=2))
+    assert w.shape == (3, 5) and np.abs(w).max() <= (1 / 15) ** 0.5
+
+
+def test_activations(spark):
+    from facetflow.functions.arrays import leaky_relu, relu
+
+    row = spark.createDataFrame([([-2.0, 0.0, 3.0],)], "x array<double>").select(relu(F.col("x")).alias("a"), leaky_relu(F.col("x"), 0.1).alias("b")).first()
+    assert row["a"] == [0.0, 0.0, 3.0] and row["b"] == pytest.approx([-0.2, 0.0, 3.0])
