@@ -28,9 +28,9 @@ from .common import held_by_worker, slices
 #: Longest pre-token, in bytes, that is merged in the shared array.
 WIDE = 64
 #: Pre-tokens and chunks that a worker remembers; the memory is emptied when full.
-REMEMBERED = 1_000_000
-#: Pieces that the library encodes as one text.
-TOGETHER = 4096
+REMEMBERED = 700_000
+#: Pieces that the library encodes as one text; marks that stand behind words.
+TOGETHER, MARKS = 4096, frozenset(".,;:!?")
 NONE = np.int32(2**31 - 1)
 
 
@@ -355,18 +355,21 @@ class Codec:
         isn't that of the pieces, such as for pieces of several words, each piece is a text of its own.
         """
         if self.cut is None:
-            together, alone = [k for k, t in enumerate(texts) if t.isalpha()], [k for k, t in enumerate(texts) if not t.isalpha()]
+            # a run of letters is one word, and one more with a mark behind it
+            words = [1 if t.isalpha() else 2 if t[-1:] in MARKS and t[:-1].isalpha() else 0 for t in texts]
+            together, alone = [k for k, n in enumerate(words) if n], [k for k, n in enumerate(words) if not n]
         else:
+            words = [1] * len(texts)
             together, alone = (range(len(texts)), []) if spaced else ([], range(len(texts)))
         glue = "" if self.cut else " "
         for start in range(0, len(together), TOGETHER):
             part = together[start : start + TOGETHER]
             ids = np.array(self.library.encode_batch_fast([glue.join([texts[k] for k in part])], add_special_tokens=False)[0].ids, np.uint32)
-            edges = np.flatnonzero(self.edge[ids])
-            if len(edges) != len(part) or (self.cut and edges[0]):
+            edges, ends = np.flatnonzero(self.edge[ids]), np.cumsum([words[k] for k in part])
+            if len(edges) != ends[-1] or (self.cut and edges[0]):
                 alone = [*alone, *part]
             else:
-                yield part, ids, np.diff(np.append(edges, len(ids)) if self.cut else np.append(0, edges + 1))
+                yield part, ids, np.diff(np.append(edges, len(ids)) if self.cut else np.append(0, edges[ends - 1] + 1))
         if alone:
             each = [e.ids for e in self.library.encode_batch_fast([texts[k] for k in alone], add_special_tokens=False)]
             sizes = np.fromiter(map(len, each), np.int64, len(each))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Rows that are handed to Python code at a time; bounds the worker's memory.
 SLICE_BYTES = 4 << 20
 #: The same where texts are encoded: pieces of text that come again within a slice are looked up once.
-ENCODED_BYTES = 8 << 20
+ENCODED_BYTES = 6 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:

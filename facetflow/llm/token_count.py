@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import shared_codec
-from .common import materialize, slices, texts_of
+from .common import ENCODED_BYTES, materialize, slices
 
 #: Pre-tokens that are sent to all tasks at most; distinct pieces of text that a task counts before it passes them on.
 HEAD, COUNTED = 1 << 20, 800_000
@@ -39,18 +40,41 @@ class Splitter:
         codec = shared_codec(tokenizer_path)
         self.model, self.cut = codec.model, codec.cut
 
-    def pieces(self, text: str) -> list:
-        if self.cut is None:
-            return text.encode().split()
-        parts = text.split(" ")
-        # a part that is empty or starts with white space belongs to a longer run of it
-        if all(p and not p[0].isspace() for p in parts[1:]):
-            return [parts[0], *(f" {p}" for p in parts[1:])]
+    def pieces(self, text: str) -> list[str]:
+        """Of a text with runs of white space: cut between other characters only."""
         first, *rest = self.cut.split(text)
         return [first, *(f" {p}" for p in rest)]
 
+    def coded(self, texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
+        """Distinct pieces of all texts, and for each piece of each text the text's place and the piece's. Arrow splits and numbers them."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        lists = pc.ascii_split_whitespace(texts) if self.cut is None else pc.split_pattern(texts, " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        found = lists.values.dictionary_encode()
+        code, pieces = found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary.to_pylist()
+        owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
+        if self.cut is None:
+            real = np.fromiter(map(bool, pieces), bool, len(pieces))[code]
+            return pieces, owner[real], code[real]
+        # a part that is empty or starts with white space belongs to a longer run of it
+        odd = np.fromiter((not p or p[0].isspace() for p in pieces), bool, len(pieces))
+        names = [f" {p}" for p in pieces]
+        heads = lists.values.take(pa.array(offsets[:-1])).to_pylist()
+        within = np.ones(len(code), bool)
+        within[offsets[:-1]] = False
+        strange = np.unique(owner[within & odd[code]])
+        code[offsets[:-1]] = len(names) + np.arange(len(heads))
+        names += heads
+        if len(strange):
+            kept = ~np.isin(owner, strange)
+            more = [self.pieces(texts[k].as_py()) for k in strange.tolist()]
+            owner = np.concatenate([owner[kept], np.repeat(strange, list(map(len, more)))])
+            code = np.concatenate([code[kept], len(names) + np.arange(sum(map(len, more)))])
+            names += chain.from_iterable(more)
+        return names, owner, code
+
     def pre_tokens(self, pieces: list) -> list[list[str | int]]:
-        return self.model.split_many([p.decode() if isinstance(p, bytes) else p for p in pieces])
+        return self.model.split_many(pieces)
 
 
 def hash_of(word: str) -> int:
@@ -74,8 +98,12 @@ def vocabulary(df: DataFrame, tokenizer_path: str, text_col: str = "text") -> Da
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
 
-        for batch in slices(batches, "text"):
-            seen.update(chain.from_iterable(map(splitter.pieces, texts_of(batch.column("text")))))
+        for batch in slices(batches, "text", ENCODED_BYTES):
+            pieces, _, code = splitter.coded(batch.column("text"))
+            times = np.bincount(code, minlength=len(pieces)).tolist()
+            for piece, n in zip(pieces, times, strict=True):
+                if n:
+                    seen[piece] += n
             if len(seen) > COUNTED:
                 yield flushed()
         yield flushed()
@@ -129,36 +157,32 @@ def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
                 if others := [named[w] for w in parts if isinstance(w, str) and size[w] < 0]:
                     rare[piece] = others
 
-        for batch in slices(batches, "text"):
-            texts = texts_of(batch.column("text"))
-            split = list(map(splitter.pieces, texts))
-            new = list(set(chain.from_iterable(split)).difference(known))
+        for batch in slices(batches, "text", ENCODED_BYTES):
+            names, owner, code = splitter.coded(batch.column("text"))
+            n = batch.num_rows
+            new = [p for p in set(names) if p not in known]
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
                 rare.clear()
-                new = list(set(chain.from_iterable(split)))
+                new = list(set(names))
             learn(new)
-            rows, at, total, keys, times = [], [], [], [], []
-            for k, parts in enumerate(split):
-                # a row of its own for what is known; its key is as good as random, to spread such rows
-                rows.append(row)
-                at.append(k)
-                total.append(sum(map(known.__getitem__, parts)))
-                keys.append((row * 0x9E3779B97F4A7C15 & (1 << 64) - 1) - (1 << 63))
-                times.append(0)
-                others: Counter[int] = Counter()
-                for piece, n in Counter(filter(rare.__contains__, parts)).items():
-                    for h in rare[piece]:
-                        others[h] += n
-                rows += [row] * len(others)
-                at += [None] * len(others)
-                total += [0] * len(others)
-                keys += others.keys()
-                times += others.values()
-                row += 1
-            take = pa.array(at, pa.int32())
-            sizes = pa.array([len(t.encode()) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), batch.column("id").take(take), sizes.take(take), pa.array(total, pa.int64()), pa.array(keys, pa.int64()), pa.array(times, pa.int32())], schema.names)
+            held = np.fromiter(map(known.__getitem__, names), np.int64, len(names))
+            total = np.bincount(owner, weights=held[code], minlength=n).astype(np.int64)
+            # a row of its own for what is known; its key is as good as random, to spread such rows
+            number = row + np.arange(n, dtype=np.int64)
+            row += n
+            with np.errstate(over="ignore"):
+                spread = (number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            scarce = np.fromiter(map(rare.__contains__, names), bool, len(names))
+            pairs, times = np.unique(np.stack([owner, code])[:, scarce[code]], axis=1, return_counts=True) if scarce.any() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+            hashes_of = [rare[names[c]] for c in pairs[1].tolist()]
+            width = np.fromiter(map(len, hashes_of), np.int64, len(hashes_of))
+            others = np.fromiter(chain.from_iterable(hashes_of), np.int64, int(width.sum()))
+            nil = np.zeros(len(others), np.int64)
+            take = pa.array(np.concatenate([np.arange(n), nil]), pa.int64(), mask=np.arange(n + len(others)) >= n)
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
+            columns = [np.concatenate([number, np.repeat(number[pairs[0]], width)]), np.concatenate([total, nil]), np.concatenate([spread, others]), np.concatenate([np.zeros(n, np.int32), np.repeat(times, width).astype(np.int32)])]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), batch.column("id").take(take), sizes.take(take), *map(pa.array, columns[1:])], schema.names)
 
     rows = source.mapInArrow(count, schema)
     rest = words.filter(F.col("n") < least).select(F.col("hash").alias("_h"), "pieces") if least > 1 else words.limit(0).select(F.col("hash").alias("_h"), "pieces")

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -194,6 +195,8 @@ def part_roots(roots: DataFrame) -> list[tuple]:
 # -- reading ----------------------------------------------------------------------------------------------------------
 
 POLYNOMIAL = np.uint32(0xEDB88320)
+#: Bits of a number that one table of powers covers.
+DIGITS = 12
 
 
 def shifted(crc: np.ndarray, power: np.ndarray) -> np.ndarray:
@@ -206,16 +209,27 @@ def shifted(crc: np.ndarray, power: np.ndarray) -> np.ndarray:
 
 
 def power_of(n_ids: np.ndarray) -> np.ndarray:
-    """x to the power of the bits of so many ids (32 each), modulo the polynomial."""
-    out, square = np.full(len(n_ids), 1 << 31, np.uint32), np.array([1 << 30], np.uint32)  # 1, and x
-    for _ in range(5):
-        square = shifted(square, square)
-    left = n_ids.astype(np.int64).copy()
+    """x to the power of the bits of so many ids (32 each), modulo the polynomial: from tables of DIGITS bits of the number each."""
+    left, out = n_ids.astype(np.int64), np.full(len(n_ids), 1 << 31, np.uint32)  # 1
+    place = 0
     while left.any():
-        odd = np.flatnonzero(left & 1)
-        out[odd] = shifted(out[odd], np.repeat(square, len(odd)))
+        some = np.flatnonzero(left & ((1 << DIGITS) - 1))
+        out[some] = shifted(out[some], powers(place)[left[some] & ((1 << DIGITS) - 1)])
+        left >>= DIGITS
+        place += 1
+    return out
+
+
+@lru_cache(maxsize=8)
+def powers(place: int) -> np.ndarray:
+    """x to the power of 32 times 0, 1, 2, ... times 2 to the power of DIGITS * ``place``."""
+    square = np.array([1 << 30], np.uint32)  # x
+    for _ in range(5 + DIGITS * place):
+        square = shifted(square, square)
+    out = np.array([1 << 31], np.uint32)
+    for _ in range(DIGITS):
+        out = np.append(out, shifted(out, np.repeat(square, len(out))))
         square = shifted(square, square)
-        left >>= 1
     return out
 
 
