@@ -10,12 +10,16 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.arrays import linear, plus, relu, scaled, times
 from ..operators.matrices import product
 
+#: Numbers of a weight matrix that are written into a plan at most.
+LITERALS = 4096
 #: Widest features whose sums are columns; wider ones are summed entry by entry.
 WIDE = 128
 
@@ -128,25 +132,48 @@ def weighted_graph_agg(messages: DataFrame, weights: DataFrame, width: int, acti
     return out.select("node", (activation or (lambda x: x))(F.col("features")).alias("features"))
 
 
+def projected(df: DataFrame, column: str, weights: list[list[float]], bias: list[float] | None, name: str) -> DataFrame:
+    """``df`` with ``name``: arrays of ``column`` times a weight matrix (rows: inputs), plus a bias.
+
+    Small matrices are part of the plan. Larger ones would make it huge: they go to the tasks once and are multiplied by
+    the batch. A null array gives null; arrays of another length raise ValueError.
+    """
+    if len(weights) * len(weights[0]) <= LITERALS:
+        return df.withColumn(name, F.when(F.col(column).isNotNull(), linear(F.col(column), weights, bias)))
+    shared = df.sparkSession.sparkContext.broadcast((np.array(weights, float), np.array(bias if bias else 0.0, float)))
+    kept = [c for c in df.columns if c != name]
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(name, T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, b = shared.value
+        for batch in batches:
+            lists = batch.column(column)
+            there = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
+            x = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(there), -1) @ w + b if len(there) else np.zeros((0, w.shape[1]))
+            sizes = np.zeros(batch.num_rows, np.int64)
+            sizes[there] = w.shape[1]
+            made = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32(), mask=np.append(sizes == 0, False)), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), made], schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def linear_graph_agg(messages: DataFrame, weights: list[list[list[float]]], bias: list[list[float]] | None = None, activation: Callable[[Column], Column] | None = relu) -> DataFrame:
     """Sum over matrices of message times a weight matrix for each k, plus a bias, through an activation."""
-    x = F.col("features")
-    made = None
-    for k, w in enumerate(weights):
-        own = linear(x, w, bias[k] if bias else None)
-        made = F.when(F.col("k") == k, own) if made is None else made.when(F.col("k") == k, own)
-    out = vector_sum(messages.select("node", made.alias("features")), ["node"], "features", len(weights[0][0]))
+    parts = [projected(messages.filter(F.col("k") == k), "features", w, bias[k] if bias else None, "made") for k, w in enumerate(weights)]
+    made = reduce(DataFrame.unionByName, parts).select("node", F.col("made").alias("features"))
+    out = vector_sum(made, ["node"], "features", len(weights[0][0]))
     return out.select("node", (activation or (lambda v: v))(F.col("features")).alias("features"))
 
 
 def linear_update(features: DataFrame, messages: DataFrame, graph_weights: list[list[float]] | None, message_weights: list[list[float]], graph_bias: list[float] | None = None, message_bias: list[float] | None = None, activation: Callable[[Column], Column] | None = relu) -> DataFrame:
     """activation(features times weights plus message times weights); without graph weights the features count for nothing."""
-    zero = F.array(*[F.lit(0.0)] * len(message_weights))
-    joined = features.join(messages.withColumnRenamed("features", "_m"), "node", "left")
-    out = linear(F.coalesce("_m", zero), message_weights, message_bias)
+    zero = F.array_repeat(F.lit(0.0), len(message_weights))
+    joined = features.join(messages.withColumnRenamed("features", "_m"), "node", "left").withColumn("_m", F.coalesce("_m", zero))
+    joined = projected(joined, "_m", message_weights, message_bias, "_out")
     if graph_weights:
-        out = plus(linear(F.col("features"), graph_weights, graph_bias), out)
-    return joined.select("node", (activation or (lambda v: v))(out).alias("features"))
+        joined = projected(joined, "features", graph_weights, graph_bias, "_own").withColumn("_out", plus(F.col("_own"), F.col("_out")))
+    return joined.select("node", (activation or (lambda v: v))(F.col("_out")).alias("features"))
 
 
 def adjacency_scale(matrices: DataFrame, before: DataFrame | None = None, after: DataFrame | None = None) -> DataFrame:

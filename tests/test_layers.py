@@ -103,3 +103,16 @@ def test_activations(spark):
 
     row = spark.createDataFrame([([-2.0, 0.0, 3.0],)], "x array<double>").select(relu(F.col("x")).alias("a"), leaky_relu(F.col("x"), 0.1).alias("b")).first()
     assert row["a"] == [0.0, 0.0, 3.0] and row["b"] == pytest.approx([-0.2, 0.0, 3.0])
+
+
+def test_large_weights_go_by_the_batch(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x, w, b = rng.normal(size=(5, 6)), rng.normal(size=(6, 4)), rng.normal(size=4)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9, None)], "node bigint, features array<double>")
+    found = []
+    for most in (4096, 1):
+        monkeypatch.setattr(layers, "LITERALS", most)
+        found.append({r["node"]: r["y"] for r in layers.projected(rows, "features", w.tolist(), b.tolist(), "y").collect()})
+    for got in found:
+        assert got.pop(9) is None
+        assert np.array([got[i] for i in range(5)]) == pytest.approx(x @ w + b)
