@@ -31,8 +31,8 @@ SHINGLE, PERMUTATIONS, ROWS = 5, 64, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Least similarity, in hundredths.
 THRESHOLD = 75
-#: Words whose hashes a worker remembers; members of a block.
-WORDS, BLOCK = 400_000, 512
+#: Words whose hashes a worker remembers; members of a block, and shingles from which a member counts as several.
+WORDS, BLOCK, LONG = 400_000, 512, 4096
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -196,7 +196,8 @@ def settle_blocks(open_: DataFrame, classes: DataFrame, sets: DataFrame) -> Data
     In each bucket the members outside its largest component (side 0) meet all members (side 1), a block of each at a time:
     pairs within the largest component take part in nothing.
     """
-    counts = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    open_ = open_.join(classes.select("rep", F.greatest(F.lit(1.0), F.col("n_shingles") / LONG).alias("weight")), "rep")  # bounds a block's bytes
+    counts = open_.groupBy("key", "component").agg(F.sum("weight").alias("n"))
     sizes = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("rest"))
     sizes = sizes.select("key", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("js"), F.ceil(F.col("rest") / BLOCK).cast("int").alias("is"))
     dealt = materialize(open_.join(sizes, "key"), "dealt")
@@ -216,7 +217,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     sketch = materialize(sketches(df, id_col, text_col), "sketches")
     alive = sketch.filter("digest is not null and doc_id is not null")
-    classes = materialize(alive.groupBy("digest").agg(F.min(F.struct("doc_id", "keys")).alias("m")).select("digest", F.col("m.doc_id").alias("rep"), F.col("m.keys").alias("keys")), "classes")
+    classes = materialize(alive.groupBy("digest").agg(F.min(F.struct("doc_id", "keys", "n_shingles")).alias("m")).select("digest", F.col("m.doc_id").alias("rep"), F.col("m.keys").alias("keys"), F.col("m.n_shingles").alias("n_shingles")), "classes")
     bands = classes.select("rep", F.posexplode("keys").alias("band", "key"))
     shared = bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "pivot")
     members = materialize(bands.join(shared, "key"), "members")
