@@ -12,6 +12,9 @@ from ..graph import Graph
 from .degrees import degree_list, degree_lists, related
 from .lookup import within
 
+#: Numbers of dense matrices that the driver takes.
+DENSE = 100_000_000
+
 
 def adjacency_matrices(graph: Graph, dists: Iterable[int], rel_dims: Iterable[int], dims: Iterable[int] | None = None, src_weights: DataFrame | None = None, dst_weights: DataFrame | None = None) -> DataFrame:
     """A matrix for each distance, then for each relative dimension, in the order of the lists; a repeated entry gives a matrix again.
@@ -84,7 +87,9 @@ def concat_tiles(*sources: tuple[Iterator[DataFrame], int]) -> Iterator[DataFram
 
 
 def dense(matrices: DataFrame, count: int, n: int) -> np.ndarray:
-    """A small matrix table as float32 array (k, i, j), on the driver."""
+    """A small matrix table as float32 array (k, i, j), on the driver. ValueError for more than DENSE numbers."""
+    if count * n * n > DENSE:
+        raise ValueError(f"{count} dense matrices of {n} x {n} are too many numbers for the driver")
     out = np.zeros((count, n, n), np.float32)
     for r in matrices.collect():
         out[r["k"], r["i"], r["j"]] += r["value"]
@@ -95,7 +100,7 @@ def mean_operator(graph: Graph, most: int, dims: Iterable[int] | None = (0,)) ->
     """For each distance k from 1: (neighbours at k, and the node itself) over 1 + degree at k."""
     places = within(graph, dims)
     ks = list(range(1, most + 1))
-    own = graph.spark.range(1, most + 1).select(F.col("id").cast("int").alias("k")).crossJoin(places.select("pos"))  # the diagonal: most entries a node
+    own = places.select(F.explode(F.sequence(F.lit(1), F.lit(most))).alias("k"), "pos")  # the diagonal: so many entries a node
     entries = adjacency_matrices(graph, ks, [], dims).select((F.col("k") + 1).alias("k"), "i", "j").union(own.select("k", F.col("pos").alias("i"), F.col("pos").alias("j")))
     degrees = degree_lists(graph, ks, [], places, power=-1.0, add=1.0).join(places, "nid").select(F.col("pos").alias("i"), "k", "degree")
     return entries.join(degrees, ["k", "i"]).select("k", "i", "j", F.col("degree").alias("value"))

@@ -670,6 +670,17 @@ def error_lines(spark, sf_dir):
     return spark.read.text(path).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT o_orderpriority AS value, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM orders GROUP BY 1")
+def priority_shares(spark, sf_dir):
+    return stats.shares(table(spark, sf_dir, "orders"), "o_orderpriority").select("value", "n", F.round("share", 9).alias("share"))
+
+
+@query("SELECT CAST(l_linenumber AS BIGINT) AS step, round(avg(l_quantity), 6) AS l_quantity_mean, round(stddev_pop(l_quantity), 6) AS l_quantity_std, round(avg(l_tax), 6) AS l_tax_mean, round(stddev_pop(l_tax), 6) AS l_tax_std FROM lineitem GROUP BY 1")
+def value_curve(spark, sf_dir):
+    out = stats.curve(table(spark, sf_dir, "lineitem"), "l_linenumber", "l_quantity", "l_tax")
+    return out.select(F.col("step").cast("bigint").alias("step"), *(F.round(c, 6).alias(c) for c in out.columns[1:]))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact hop distances 0..3 of all vertices, with the degree at each distance and its inverse."""
     g = first_graph(spark, sf_dir)

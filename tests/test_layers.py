@@ -116,3 +116,17 @@ def test_large_weights_go_by_the_batch(spark, monkeypatch):
     for got in found:
         assert got.pop(9) is None
         assert np.array([got[i] for i in range(5)]) == pytest.approx(x @ w + b)
+
+
+def test_zeroed_values_and_their_parts(spark):
+    nodes = spark.range(3000).select(F.col("id").alias("nid"), (F.col("id") % 4).cast("int").alias("dim"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("data"))
+    rows = stats.zeroed(nodes, 2, 0.3, seed=1).collect()
+    assert len(rows) == 3000
+    for r in rows:
+        assert r["truth"] == (r["nid"] if r["nid"] % 5 else 0) and r["value"] == (0 if r["chosen"] else r["truth"])
+        assert not r["chosen"] or r["nid"] % 4 < 2
+        assert (r["part"] is not None) == r["chosen"]
+    chosen = [r for r in rows if r["chosen"]]
+    assert len(chosen) == pytest.approx(450, rel=0.15)
+    assert sum(r["part"] == "train" for r in chosen) == pytest.approx(0.6 * len(chosen), rel=0.15)
+    assert {r["nid"] for r in chosen} == {r["nid"] for r in stats.zeroed(nodes, 2, 0.3, seed=1).collect() if r["chosen"]}
