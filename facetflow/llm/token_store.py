@@ -95,11 +95,11 @@ def write_store(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
     staged = materialize(_encoded(df, tokenizer_path, end_id, width), "staged", compression="lz4")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    fresh = staged.select(F.explode(F.arrays_zip("fresh", "payloads")).alias("c")).select(F.col("c.fresh").alias("digest"), F.col("c.payloads").alias("payload"))
+    fresh = staged.filter("digest is not null").select("digest", "payload")
     chunks = fresh.repartition(parts, "digest").sortWithinPartitions("digest").mapInArrow(_distinct(width), "digest binary, n int, payload binary")
     chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
 
-    recipes = staged.select("id", "n_tokens", "sizes", "digests").repartitionByRange(parts, "id").sortWithinPartitions("id")
+    recipes = staged.filter("n_tokens is not null").select("id", "n_tokens", "sizes", "digests").repartitionByRange(parts, "id").sortWithinPartitions("id")
     fields = [("part", T.IntegerType()), ("row", T.LongType()), ("id", staged.schema["id"].dataType), ("local_start", T.LongType()), ("n_tokens", T.LongType()), ("sizes", T.ArrayType(T.IntegerType())), ("digests", T.BinaryType()), ("root", T.BinaryType())]
     recipes.mapInArrow(_numbered, T.StructType([T.StructField(n, t) for n, t in fields])).write.option("compression", "zstd").parquet(f"{path}/recipes")
 
@@ -116,7 +116,8 @@ def write_store(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
 
 
 def _encoded(df: DataFrame, tokenizer_path: str, end_id: int, width: int) -> DataFrame:
-    schema = T.StructType([df.schema["id"], T.StructField("n_tokens", T.LongType()), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("digests", T.BinaryType()), T.StructField("fresh", T.ArrayType(T.BinaryType())), T.StructField("payloads", T.ArrayType(T.BinaryType()))])
+    """A row for each document (``n_tokens`` and what follows) and one for each chunk that its task has not seen before (``digest``, ``payload``)."""
+    schema = T.StructType([df.schema["id"], T.StructField("n_tokens", T.LongType()), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("digests", T.BinaryType()), T.StructField("digest", T.BinaryType()), T.StructField("payload", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, kind = shared_codec(tokenizer_path, True), np.dtype(f"<u{width}")
@@ -126,7 +127,7 @@ def _encoded(df: DataFrame, tokenizer_path: str, end_id: int, width: int) -> Dat
             packed = ids.astype(kind).tobytes()
             n, sizes, digests, fresh, payloads = [], [], [], [], []
             for base, ends in zip(bounds[:-1].tolist(), cuts(ids, bounds), strict=True):
-                own, new, held, start = [], [], [], 0
+                own, start = [], 0
                 for stop in ends:
                     payload = packed[(base + start) * width : (base + stop) * width]
                     own.append(digest := blake2b(payload, digest_size=16).digest())
@@ -134,16 +135,17 @@ def _encoded(df: DataFrame, tokenizer_path: str, end_id: int, width: int) -> Dat
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(digest)
-                        new.append(digest)
-                        held.append(payload)
+                        fresh.append(digest)
+                        payloads.append(payload)
                     start = stop
                 n.append(ends[-1])
                 sizes.append(np.diff([0, *ends]).tolist())
                 digests.append(b"".join(own))
-                fresh.append(new)
-                payloads.append(held)
-            arrays = [batch.column("id"), pa.array(n, pa.int64()), pa.array(sizes, pa.list_(pa.int32())), pa.array(digests, pa.binary()), pa.array(fresh, pa.list_(pa.binary())), pa.array(payloads, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays(arrays, schema.names)
+            arrays = [batch.column("id"), pa.array(n, pa.int64()), pa.array(sizes, pa.list_(pa.int32())), pa.array(digests, pa.binary())]
+            none = [pa.nulls(len(n), pa.binary())] * 2
+            yield pa.RecordBatch.from_arrays([*arrays, *none], schema.names)
+            if fresh:
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(fresh), a.type) for a in arrays), pa.array(fresh, pa.binary()), pa.array(payloads, pa.binary())], schema.names)
 
     return df.mapInArrow(run, schema)
 
