@@ -277,7 +277,7 @@ class Memory:
 
     def __init__(self):
         self.at: dict = {}
-        self.starts, self.ids = np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32)
+        self.starts, self.ids = np.zeros(2, np.int64), np.zeros(1 << 16, np.uint32)
 
     def put(self, pieces: list, ids: np.ndarray, sizes: np.ndarray) -> None:
         n, used = len(self.at), int(self.starts[len(self.at)])
@@ -321,26 +321,10 @@ class Codec:
             self.library = Tokenizer.from_file(library)
             self.library.no_truncation()
             self.library.no_padding()
-            self.lean = self._lean(library) if model.suffix else None
             mark = byte_alphabet()[0x20]
             # a token that ends a word, or that starts with a space
             self.edge = np.array([t.endswith(model.suffix) if model.suffix else t.startswith(mark) for t in model.tokens])
 
-    def _lean(self, path: str):
-        """The library's tokenizer without what does nothing to ASCII letters in their normal case: its normal forms, and its pattern, which takes a run of letters as one."""
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
-
-        with open(path, encoding="utf-8") as f:
-            steps = set(regex.findall(r'"type": *"(\w+)"', json.dumps(json.load(f).get("normalizer") or {})))
-        if not steps <= {"Sequence", "NFC", "Replace", "Lowercase"} or self.model.pattern.findall("word") != ["word"]:
-            return None
-        lean = Tokenizer.from_file(path)
-        lean.no_truncation()
-        lean.no_padding()
-        lean.normalizer = normalizers.Sequence([])
-        lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        return lean
-
     def learn(self, pieces: Iterable, store: Memory, lead: str = "") -> None:
         """Remembers all of the pieces (not empty ones, and behind a space none that start with white space)."""
         every = set(pieces)
@@ -370,27 +354,22 @@ class Codec:
         Many pieces make one text; its tokens that begin with a space, or end a word, tell them apart. Where their number
         isn't that of the pieces, such as for pieces of several words, each piece is a text of its own.
         """
-        plain: list[int] = []
         if self.cut is None:
             # a run of letters is one word, and one more with a mark behind it
             words = [1 if t.isalpha() else 2 if t[-1:] in MARKS and t[:-1].isalpha() else 0 for t in texts]
-            plain = [k for k, n in enumerate(words) if n == 1 and texts[k].isascii()] if self.lean else []
-            rest = set(plain)
-            together, alone = [k for k, n in enumerate(words) if n and k not in rest], [k for k, n in enumerate(words) if not n]
+            together, alone = [k for k, n in enumerate(words) if n], [k for k, n in enumerate(words) if not n]
         else:
             words = [1] * len(texts)
             together, alone = (range(len(texts)), []) if spaced else ([], range(len(texts)))
         glue = "" if self.cut else " "
-        for group, coder in ((plain, self.lean), (together, self.library)):
-            for start in range(0, len(group), TOGETHER):
-                part = group[start : start + TOGETHER]
-                joined = glue.join([texts[k] for k in part])
-                ids = np.array(coder.encode_batch_fast([joined.lower() if group is plain and self.model.lower else joined], add_special_tokens=False)[0].ids, np.uint32)
-                edges, ends = np.flatnonzero(self.edge[ids]), np.cumsum([words[k] for k in part])
-                if len(edges) != ends[-1] or (self.cut and edges[0]):
-                    alone = [*alone, *part]
-                else:
-                    yield part, ids, np.diff(np.append(edges, len(ids)) if self.cut else np.append(0, edges[ends - 1] + 1))
+        for start in range(0, len(together), TOGETHER):
+            part = together[start : start + TOGETHER]
+            ids = np.array(self.library.encode_batch_fast([glue.join([texts[k] for k in part])], add_special_tokens=False)[0].ids, np.uint32)
+            edges, ends = np.flatnonzero(self.edge[ids]), np.cumsum([words[k] for k in part])
+            if len(edges) != ends[-1] or (self.cut and edges[0]):
+                alone = [*alone, *part]
+            else:
+                yield part, ids, np.diff(np.append(edges, len(ids)) if self.cut else np.append(0, edges[ends - 1] + 1))
         if alone:
             each = [e.ids for e in self.library.encode_batch_fast([texts[k] for k in alone], add_special_tokens=False)]
             sizes = np.fromiter(map(len, each), np.int64, len(each))
