@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, image_match, minhash, packing, secrets, token_count, token_store, toxicity, vector_search
+from . import bpe, html_extract, image_match, minhash, online_packing, packing, resample, secrets, token_count, token_store, toxicity, vector_search, whitening
 from .common import read_table, scratch_path
 
 
@@ -68,6 +68,18 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, path)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return online_packing.pack_online(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_secret_ownership": op2_secret_ownership,
@@ -79,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_token_store": op10_token_store,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_online_packing": op13_online_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -95,4 +110,35 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM pairs QUALIFY rank <= 10""",
+    "op12_importance_resampling": r"""
+        WITH RECURSIVE steps AS (
+            SELECT range AS b, range AS c, 0 AS k FROM range(256)
+            UNION ALL
+            SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM steps WHERE k < 8
+        ), crc AS (
+            SELECT list(c ORDER BY b) AS t FROM steps WHERE k = 8
+        ), words AS (
+            SELECT 0 AS target, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+            UNION ALL
+            SELECT 1, NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+        ), times AS (
+            SELECT target, id, word, count(*) AS n FROM (SELECT target, id, unnest(w) AS word FROM words) GROUP BY ALL
+        ), vocabulary AS (
+            SELECT word, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(octet_length(encode(word))), lambda i: CAST('0x' || substr(hex(encode(word)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+                       lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]))) % 10000 AS bucket
+            FROM (SELECT DISTINCT word FROM times), crc
+        ), totals AS (
+            SELECT bucket, sum(CASE WHEN target = 0 THEN n ELSE 0 END) AS s, sum(CASE WHEN target = 1 THEN n ELSE 0 END) AS t FROM times JOIN vocabulary USING (word) GROUP BY bucket
+        ), gains AS (
+            SELECT bucket, floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(sum(s) OVER () + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(sum(t) OVER () + 10000 AS DOUBLE)))) AS gain FROM totals
+        ), weights AS (
+            SELECT id, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight FROM times JOIN vocabulary USING (word) JOIN gains USING (bucket) WHERE target = 0 GROUP BY id
+        ), scored AS (
+            SELECT doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+            FROM (SELECT id AS doc_id, w FROM words WHERE target = 0) LEFT JOIN weights ON id = doc_id
+        ), ranked AS (
+            SELECT *, row_number() OVER (ORDER BY n_features < 20, score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS fit FROM scored
+        )
+        SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CAST(CASE WHEN place <= 10 * fit // 100 THEN place END AS BIGINT) AS rank FROM ranked""",
 }
