@@ -29,11 +29,12 @@ def words_of(text: Column) -> Column:
 
 def runs_of(words: Column, longest: int) -> Column:
     """All runs of 1 to ``longest`` consecutive words, joined by one space, with repeats."""
-    runs = [words]
-    for k in range(2, longest + 1):
+
+    def of(k: int) -> Column:
         starts = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - (k - 1))).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(starts, lambda i, k=k: F.array_join(F.slice(words, i, k), " ")))
-    return F.concat(*runs) if longest > 1 else words
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, k), " "))
+
+    return F.concat(words, *(of(k) for k in range(2, longest + 1))) if longest > 1 else words
 
 
 def bucketed(df: DataFrame, text_col: str, longest: int, buckets: int) -> DataFrame:
