@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Bits of a subset's number that one array lists; larger sets are listed in two steps.
 LISTED = 12
+#: Bits of a word of a mask.
+MASK_BITS = 62
 
 
 def key_of(vertices: Column | str) -> Column:
@@ -33,8 +35,15 @@ def facets(vertices: Column) -> Column:
 
 
 def full_mask(dim: Column) -> Column:
-    """Mask of a node whose facets are all linked."""
-    return F.when(dim == 0, F.lit(0)).otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), dim + 1) - 1).cast("bigint")
+    """Mask of a node whose facets are all linked: words of MASK_BITS bits, the lowest first, so a node may have any number of vertices. A vertex has [0]."""
+    ones = (1 << MASK_BITS) - 1
+    last = F.call_function("shiftleft", F.lit(1).cast("bigint"), dim % MASK_BITS + 1) - 1
+    words = F.transform(F.sequence(F.lit(0), F.floor(dim / MASK_BITS).cast("int")), lambda w: F.when(w < F.floor(dim / MASK_BITS), F.lit(ones)).otherwise(last))
+    return F.when(dim == 0, F.array(F.lit(0))).otherwise(words).cast("array<bigint>")
+
+
+def no_bits(mask: Column | str) -> Column:
+    return ~F.exists(mask, lambda w: w != 0)
 
 
 def relu(x: Column) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .functions.arrays import facets, full_mask
+from .functions.arrays import MASK_BITS, facets, full_mask
 from .scratch import written
 
 NODE_COLUMNS = ["vertices", "dim", "idx", "nid", "data", "is_simplex", "in_mask", "out_mask"]
@@ -64,7 +64,7 @@ def dense_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
 class Graph:
     """``nodes`` (vertices, dim, idx, nid, data, is_simplex, in_mask, out_mask) and ``links`` between neighbouring dimensions.
 
-    A link with ``is_in`` is walked upwards, one with ``is_out`` downwards. ``nid`` numbers nodes by dimension, then by vertices,
+    Masks are arrays of words (see ``full_mask``), a bit for each facet that is linked. A link with ``is_in`` is walked upwards, one with ``is_out`` downwards. ``nid`` numbers nodes by dimension, then by vertices,
     without holes; a vertex's own number is its ``nid`` as long as none has been removed.
     """
 
@@ -114,6 +114,57 @@ class Graph:
         return cls(*with_masks(nodes, links))
 
 
+class EdgeGraph(Graph):
+    """A graph of edges that is numbered only when its nodes or links are asked for.
+
+    What concerns vertices alone needs no numbering: a vertex's number is the vertex itself, and its neighbours at distance 1
+    are the ends of its arcs. ``arcs``: ``s``, ``t``, ``data``, ``seq`` as given; ``top`` the largest vertex (None: no vertices).
+    """
+
+    def __init__(self, arcs: DataFrame, top: int | None, directed: bool, build: Callable[[], Graph]):
+        self.arcs, self.top, self.directed, self._build = arcs, top, directed, build
+        self._whole: Graph | None = None
+        self._vertices: DataFrame | None = None
+
+    def whole(self) -> Graph:
+        if self._whole is None:
+            self._whole = self._build()
+        return self._whole
+
+    @property
+    def nodes(self) -> DataFrame:
+        return self.whole().nodes
+
+    @property
+    def links(self) -> DataFrame:
+        return self.whole().links
+
+    @property
+    def spark(self) -> SparkSession:
+        return self.arcs.sparkSession
+
+    def vertices(self) -> DataFrame:
+        """``nid``, ``dim``, ``pos``: all vertices up to the largest one."""
+        if self._vertices is None:
+            ids = self.spark.range(0 if self.top is None else self.top + 1)
+            self._vertices = ids.select(F.col("id").alias("nid"), F.lit(0).alias("dim"), F.col("id").alias("pos"))
+        return self._vertices
+
+    def steps(self) -> DataFrame:
+        """``src``, ``dst``: where one walks from each vertex."""
+        there = self.arcs.select(F.col("s").alias("src"), F.col("t").alias("dst"))
+        return (there if self.directed else there.union(there.select("dst", "src"))).distinct()
+
+    def weighted_steps(self) -> DataFrame:
+        """``src``, ``dst``, ``w``: the same with the edge's data; both directions of an edge share them."""
+        edges = self.arcs.groupBy(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).agg(F.max_by("data", "seq").cast("double").alias("w"), F.max(F.col("s") < F.col("t")).alias("up"), F.max(F.col("s") > F.col("t")).alias("down"))
+        ends = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+        walked = F.array(ends("a", "b"), ends("b", "a"))
+        if self.directed:
+            walked = F.array_compact(F.array(F.when(F.col("up"), ends("a", "b")), F.when(F.col("down"), ends("b", "a"))))
+        return edges.select("w", F.explode(walked).alias("e")).select("e.src", "e.dst", "w")
+
+
 def with_idx(nodes: DataFrame) -> DataFrame:
     """``idx`` from ``nid``: numbers within a dimension."""
     firsts = F.broadcast(nodes.groupBy("dim").agg(F.min("nid").alias("_first")))  # a row for each dimension
@@ -131,15 +182,22 @@ def renumbered(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame
 
 def with_masks(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Masks from links, and the simplex flag dimension by dimension: all facets linked both ways, and all of them simplices."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("lower_dim") + 1 - F.col("missing_pos"))
-    masks = links.groupBy(F.col("upper_nid").alias("_u")).agg(F.bit_or(F.when(F.col("is_in"), bit).otherwise(F.lit(0).cast("bigint"))).alias("in_mask"), F.bit_or(F.when(F.col("is_out"), bit).otherwise(F.lit(0).cast("bigint"))).alias("out_mask"))
-    zero = F.lit(0).cast("bigint")
-    plain = nodes.drop("in_mask", "out_mask", "is_simplex").join(masks, F.col("nid") == F.col("_u"), "left").drop("_u")
-    plain = plain.withColumn("in_mask", F.coalesce("in_mask", zero)).withColumn("out_mask", F.coalesce("out_mask", zero))
+    place = F.col("lower_dim") + 1 - F.col("missing_pos")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place % MASK_BITS)
+    widest = links.agg(F.max("lower_dim")).first()[0] or 0
+    words = (widest + 1) // MASK_BITS + 1  # one, but for nodes of more vertices than a word has bits
+    flag = {"in_mask": "is_in", "out_mask": "is_out"}
+    each = [F.bit_or(F.when(F.col(f) & (F.floor(place / MASK_BITS) == w), bit).otherwise(F.lit(0).cast("bigint"))).alias(f"_{m}{w}") for m, f in flag.items() for w in range(words)]
+    masks = links.groupBy(F.col("upper_nid").alias("_u")).agg(*each)
+    plain = nodes.drop("in_mask", "out_mask", "is_simplex").join(masks, F.col("nid") == F.col("_u"), "left")
+    own = F.floor(F.col("dim") / MASK_BITS).cast("int") + 1
+    for m in flag:
+        every = F.array(*(F.coalesce(f"_{m}{w}", F.lit(0)) for w in range(words)))
+        plain = plain.withColumn(m, F.slice(every, 1, F.least(own, F.lit(words))))
+    plain = plain.drop("_u", *(f"_{m}{w}" for m in flag for w in range(words)))
     given = F.col("given") if "given" in nodes.columns else F.lit(True)
     plain = written(plain.withColumn("is_simplex", F.when(F.col("dim") == 0, given).otherwise((F.col("in_mask") == full_mask(F.col("dim"))) & (F.col("out_mask") == full_mask(F.col("dim"))))), "masked")
-    top = plain.agg(F.max("dim")).first()[0] or 0
-    for d in range(2, top + 1):
+    for d in sorted(r["dim"] for r in plain.filter("dim > 1").select("dim").distinct().collect()):  # a row for each dimension
         lower = plain.filter(F.col("dim") == d - 1).select(F.col("nid").alias("lower_nid"), F.col("is_simplex").alias("_s"))
         ok = links.filter(F.col("lower_dim") == d - 1).join(lower, "lower_nid").groupBy(F.col("upper_nid").alias("_u")).agg(F.bool_and("_s").alias("_all"))
         plain = plain.join(ok, F.col("nid") == F.col("_u"), "left").withColumn("is_simplex", F.when(F.col("dim") == d, F.col("is_simplex") & F.coalesce("_all", F.lit(False))).otherwise(F.col("is_simplex"))).drop("_u", "_all")

@@ -20,6 +20,8 @@ def related(graph: Graph, dists: Iterable[int], rel_dims: Iterable[int], sources
     """``src``, ``dst``, ``kind`` (n or i), ``k`` of all asked relations; repeated entries of a list count once here."""
     dists, rel_dims = list(dists), list(rel_dims)
     near = neighbor_relations(graph, dists, sources).select("src", "dst", F.lit("n").alias("kind"), F.col("dist").alias("k"))
+    if not rel_dims:
+        return near
     return near.union(incidence_relations(graph, rel_dims, sources).select("src", "dst", F.lit("i").alias("kind"), F.col("rel_dim").alias("k")))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.arrays import key_of
-from ..graph import Graph, checked_vertices
+from ..graph import EdgeGraph, Graph, checked_vertices
 
 
 def node(graph: Graph, vertices) -> DataFrame:
@@ -89,6 +89,9 @@ def offsets(graph: Graph, dims: Iterable[int] | None = None) -> DataFrame:
 
 def within(graph: Graph, dims: Iterable[int] | None = None) -> DataFrame:
     """``nid``, ``dim``, ``pos``: places among the nodes of the selected dimensions; dimensions that don't exist are skipped."""
+    dims = None if dims is None else list(dims)
+    if isinstance(graph, EdgeGraph) and dims == [0]:
+        return graph.vertices()
     return graph.nodes.join(F.broadcast(offsets(graph, dims)), "dim").select("nid", "dim", (F.col("offset") + F.col("idx")).alias("pos"))
 
 

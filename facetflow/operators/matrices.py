@@ -8,8 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import Graph
-from .degrees import degree_list, degree_lists, related
+from ..graph import EdgeGraph, Graph
+from ..scratch import written
+from .degrees import degree_list, related
 from .lookup import within
 
 #: Numbers of dense matrices that the driver takes.
@@ -27,8 +28,11 @@ def adjacency_matrices(graph: Graph, dists: Iterable[int], rel_dims: Iterable[in
     spark = graph.spark
     order = F.broadcast(spark.createDataFrame([(c, v, k) for k, (c, v) in enumerate(asked)], "kind string, v int, n int"))  # the lists' entries
     found = related(graph, dists, rel_dims, places).withColumnRenamed("k", "v").join(order, ["kind", "v"])
-    a, b = places.select(F.col("nid").alias("src"), F.col("pos").alias("j")), places.select(F.col("nid").alias("dst"), F.col("pos").alias("i"))
-    out = found.join(a, "src").join(b, "dst").select(F.col("n").alias("k"), "i", "j", F.lit(1.0).alias("value"))
+    if isinstance(graph, EdgeGraph) and dims is not None and list(dims) == [0]:  # a vertex's place is its number
+        out = found.select(F.col("n").alias("k"), F.col("dst").alias("i"), F.col("src").alias("j"), F.lit(1.0).alias("value"))
+    else:
+        a, b = places.select(F.col("nid").alias("src"), F.col("pos").alias("j")), places.select(F.col("nid").alias("dst"), F.col("pos").alias("i"))
+        out = found.join(a, "src").join(b, "dst").select(F.col("n").alias("k"), "i", "j", F.lit(1.0).alias("value"))
     for weights, place in ((src_weights, "j"), (dst_weights, "i")):
         if weights is not None:
             out = out.join(weights.select(F.col("pos").alias(place), "weight"), place).select("k", "i", "j", (F.col("value") * F.col("weight")).alias("value"))
@@ -101,8 +105,10 @@ def mean_operator(graph: Graph, most: int, dims: Iterable[int] | None = (0,)) ->
     places = within(graph, dims)
     ks = list(range(1, most + 1))
     own = places.select(F.explode(F.sequence(F.lit(1), F.lit(most))).alias("k"), "pos")  # the diagonal: so many entries a node
-    entries = adjacency_matrices(graph, ks, [], dims).select((F.col("k") + 1).alias("k"), "i", "j").union(own.select("k", F.col("pos").alias("i"), F.col("pos").alias("j")))
-    degrees = degree_lists(graph, ks, [], places, power=-1.0, add=1.0).join(places, "nid").select(F.col("pos").alias("i"), "k", "degree")
+    near = written(adjacency_matrices(graph, ks, [], dims).select((F.col("k") + 1).alias("k"), "i", "j"), "near")  # searched once, read twice
+    entries = near.union(own.select("k", F.col("pos").alias("i"), F.col("pos").alias("j")))
+    # a node that some node reaches at k has itself a column there: degrees are counted by where relations begin
+    degrees = entries.groupBy("k", F.col("j").alias("i")).agg((1.0 / F.count(F.lit(1))).alias("degree"))
     return entries.join(degrees, ["k", "i"]).select("k", "i", "j", F.col("degree").alias("value"))
 
 

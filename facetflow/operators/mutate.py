@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import facets
+from ..functions.arrays import facets, no_bits
 from ..graph import Graph, check_keys, checked_vertices, renumbered, with_masks
 from ..scratch import written
 from ..sources.builders import closure
@@ -115,7 +117,7 @@ def remove_relation(graph: Graph, one, other, dir_in: bool | None = None) -> Gra
         links = links.withColumn("is_out", F.col("is_out") & ~hit)
     links = written(links.filter("is_in or is_out"), "links")
     changed = Graph(*with_masks(graph.nodes.withColumn("given", F.col("is_simplex")), links))
-    bare = changed.nodes.filter((F.col("dim") > 0) & (F.col("in_mask") == 0) & (F.col("out_mask") == 0)).select("vertices")
+    bare = changed.nodes.filter((F.col("dim") > 0) & no_bits("in_mask") & no_bits("out_mask")).select("vertices")
     return changed if bare.isEmpty() else remove_nodes(changed, bare)
 
 
@@ -132,6 +134,25 @@ def generalize_data(graph: Graph, dists: Iterable[int], rel_dims: Iterable[int],
     return start.select("nid").join(values.groupBy(F.col("src").alias("nid")).agg(func.alias("data")), "nid", "left")
 
 
+def gathered(graph: Graph, dists: Iterable[int], rel_dims: Iterable[int], func: Callable[[list], object], returns: str, sources: DataFrame | None = None) -> DataFrame:
+    """``nid``, ``data``: ``func`` of the list of related nodes' data, in the order of node numbers, nulls included; a value of the type ``returns``.
+
+    For functions that no aggregate expresses: a node's list is in one task, as the function wants it whole. A node without
+    related nodes has func([]); a node related in two of the lists is in the list twice.
+    """
+    start = graph.nodes if sources is None else sources
+    values = related_nodes(graph, dists, rel_dims, start).join(graph.nodes.select(F.col("nid").alias("dst"), "data"), "dst")
+
+    @F.arrow_udf(returns)
+    def of(order: pa.Array, data: pa.Array) -> object:
+        return func(data.take(pc.sort_indices(order)).to_pylist())
+
+    found = written(start.select("nid").join(values.groupBy(F.col("src").alias("nid")).agg(of("dst", "data").alias("data"), F.lit(True).alias("any")), "nid", "left"), "gathered")
+    if found.filter("any is null").isEmpty():
+        return found.drop("any")
+    return found.select("nid", F.when(F.col("any"), F.col("data")).otherwise(F.lit(func([])).cast(returns)).alias("data"))
+
+
 def generalized(graph: Graph, dists: Iterable[int], rel_dims: Iterable[int], func: Column, sources: DataFrame | None = None) -> Graph:
     """generalize_data() stored in the graph: the nodes asked for (all without ``sources``) get the aggregate as their data, those without related nodes null."""
     got = generalize_data(graph, dists, rel_dims, func, sources).select(F.col("nid").alias("_n"), F.col("data").alias("_v"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..graph import Graph
+from ..graph import EdgeGraph, Graph
 from ..scratch import written
 
 
@@ -21,12 +21,16 @@ SPREAD = 64
 
 
 def dims_of(graph: Graph, sources: DataFrame) -> list[int]:
+    if isinstance(graph, EdgeGraph) and sources is graph.vertices():
+        return [0]
     own = sources if "dim" in sources.columns else sources.join(graph.nodes.select("nid", "dim"), "nid")
     return [r["dim"] for r in own.select("dim").distinct().collect()]  # a row for each dimension
 
 
 def hops(graph: Graph, dims: Iterable[int] | None = None) -> DataFrame:
     """``src``, ``dst``: nodes of one dimension (of ``dims``) with a node above that leads from one to the other."""
+    if isinstance(graph, EdgeGraph) and dims is not None and set(dims) <= {0}:
+        return graph.steps()
     links = graph.links if dims is None else graph.links.filter(F.col("lower_dim").isin(list(dims)))
     up = links.filter("is_in").select(F.col("lower_nid").alias("src"), F.col("upper_nid").alias("mid"))
     down = links.filter("is_out").select(F.col("upper_nid").alias("mid"), F.col("lower_nid").alias("dst"))

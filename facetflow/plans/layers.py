@@ -51,6 +51,60 @@ def sparse_vertex_agg(matrices: DataFrame, features: DataFrame, width: int | Non
     return vector_sum(joined, ["k", "node"], "features", width)
 
 
+def max_vertex_agg(matrices: DataFrame, features: DataFrame, width: int | None = None) -> DataFrame:
+    """As sparse_vertex_agg(), with the largest of the weighted entries instead of their sum."""
+    joined = _weighted(matrices, features)
+    width = width_of(features) if width is None else width
+    tops = [F.max(F.col("features")[d]).alias(f"_{d}") for d in range(width)]
+    return joined.groupBy("k", "node").agg(*tops).select("k", "node", F.array(*(f"_{d}" for d in range(width))).alias("features"))
+
+
+def softmax_vertex_agg(matrices: DataFrame, features: DataFrame, width: int | None = None) -> DataFrame:
+    """Neighbours' features weighted by the softmax of the matrix entries of a node's row. Two passes, each aggregated before it is shuffled: the row's largest entry, then the sums of the weighted features and of the weights."""
+    width = width_of(features) if width is None else width
+    tops = matrices.groupBy("k", "i").agg(F.max("value").alias("_top"))
+    weighed = matrices.join(tops, ["k", "i"]).select("k", "i", "j", F.exp(F.col("value") - F.col("_top")).alias("value"))
+    sums = vector_sum(_weighted(weighed, features, True), ["k", "node"], "features", width + 1)
+    return sums.select("k", "node", F.transform(F.slice("features", 1, width), lambda x: x / F.col("features")[width]).alias("features"))
+
+
+def _weighted(matrices: DataFrame, features: DataFrame, keep_weight: bool = False) -> DataFrame:
+    """``k``, ``node``, ``features`` of each entry of matrices, times its value, which may follow as a further entry."""
+    joined = matrices.join(features.withColumnRenamed("node", "j"), "j")
+    made = scaled(F.col("features"), F.col("value"))
+    return joined.select("k", F.col("i").alias("node"), (F.concat(made, F.array("value")) if keep_weight else made).alias("features"))
+
+
+def largest(x: Column) -> Column:
+    """Of an array with a number for each matrix; for ``agg_func``, as the following ones."""
+    return F.array_max(x)
+
+
+def average(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
+
+
+def softmax_weighted(x: Column) -> Column:
+    """Mean weighted by the softmax of the numbers themselves."""
+    top = F.array_max(x)
+    weights = F.transform(x, lambda v: F.exp(v - top))
+    return F.aggregate(times(x, weights), F.lit(0.0), lambda s, v: s + v) / F.aggregate(weights, F.lit(0.0), lambda s, v: s + v)
+
+
+def stacked_by_node(messages: DataFrame, count: int, width: int) -> DataFrame:
+    """``node``, ``_0``, ``_1``, ...: the message of each matrix beside those of the others, zeros where there is none."""
+    none = F.array_repeat(F.lit(0.0), width)
+    by = messages.groupBy("node").agg(*(F.max(F.when(F.col("k") == q, F.col("features"))).alias(f"_{q}") for q in range(count)))
+    return by.select("node", *(F.coalesce(f"_{q}", none).alias(f"_{q}") for q in range(count)))
+
+
+def reduced(stacked: DataFrame, count: int, width: int, agg_func: Callable[[Column], Column]) -> DataFrame:
+    """``node``, ``features``: ``agg_func`` of the array that has a number for each matrix, entry by entry."""
+    across = F.array(*(f"_{q}" for q in range(count)))
+    each = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda d: agg_func(F.transform(across, lambda row: F.get(row, d))))
+    return stacked.select("node", each.alias("features"))
+
+
 def default_graph_agg(messages: DataFrame, width: int) -> DataFrame:
     """relu of the sum over matrices."""
     return vector_sum(messages, ["node"], "features", width).select("node", relu(F.col("features")).alias("features"))
@@ -158,8 +212,18 @@ def projected(df: DataFrame, column: str, weights: list[list[float]], bias: list
     return df.mapInArrow(run, schema)
 
 
-def linear_graph_agg(messages: DataFrame, weights: list[list[list[float]]], bias: list[list[float]] | None = None, activation: Callable[[Column], Column] | None = relu) -> DataFrame:
-    """Sum over matrices of message times a weight matrix for each k, plus a bias, through an activation."""
+def linear_graph_agg(messages: DataFrame, weights: list[list[list[float]]], bias: list[list[float]] | None = None, activation: Callable[[Column], Column] | None = relu, agg_func: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Sum over matrices of message times a weight matrix for each k, plus a bias, through an activation.
+
+    ``agg_func`` takes the place of the sum: from the array of one number for each matrix (of a zero message, where a node
+    has none there) it makes the number that counts, such as ``largest``, ``average`` or ``softmax_weighted``.
+    """
+    if agg_func is not None:
+        made = stacked_by_node(messages, len(weights), len(weights[0]))
+        for k, w in enumerate(weights):
+            made = projected(made, f"_{k}", w, bias[k] if bias else None, f"_{k}")
+        out = reduced(made, len(weights), len(weights[0][0]), agg_func)
+        return out.select("node", (activation or (lambda v: v))(F.col("features")).alias("features"))
     parts = [projected(messages.filter(F.col("k") == k), "features", w, bias[k] if bias else None, "made") for k, w in enumerate(weights)]
     made = reduce(DataFrame.unionByName, parts).select("node", F.col("made").alias("features"))
     out = vector_sum(made, ["node"], "features", len(weights[0][0]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +13,9 @@ from .functions.arrays import arg_max, key_of, linear, log_softmax
 from .graph import Graph
 from .scratch import folder, written
 from .operators import degrees, lookup, matrices, mutate, paths, relations, stats
-from .plans import layers
+from .plans import layers, network
 from .sources import builders
+from .streaming import ingest
 
 # -- fixtures: the same statements for both engines ---------------------------------------------------------------------
 
@@ -302,11 +304,13 @@ def simplex_flags(spark, sf_dir):
 
 @query(f"WITH {THIRD} SELECT least(s, t) AS a, greatest(s, t) AS b, CAST(bit_or(CASE WHEN s < t THEN 1 ELSE 2 END) AS BIGINT) AS in_mask, CAST(bit_or(CASE WHEN s < t THEN 2 ELSE 1 END) AS BIGINT) AS out_mask, count(*) = 2 AS is_simplex FROM S GROUP BY 1, 2")
 def directed_masks(spark, sf_dir):
-    return directed_graph(spark, sf_dir).nodes.filter("dim = 1").select(F.col("vertices")[0].alias("a"), F.col("vertices")[1].alias("b"), "in_mask", "out_mask", "is_simplex")
+    return directed_graph(spark, sf_dir).nodes.filter("dim = 1").select(F.col("vertices")[0].alias("a"), F.col("vertices")[1].alias("b"), F.col("in_mask")[0].alias("in_mask"), F.col("out_mask")[0].alias("out_mask"), "is_simplex")
 
 
 # -- paths ---------------------------------------------------------------------------------------------------------------
 
+#: Euclidean distance of two lists, rounded.
+GAP = "round(sqrt(list_sum(list_transform(list_zip({}, {}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 6)"
 PATHS = """sp(src, v, d) USING KEY (src, v) AS (SELECT v, v, {'dist': CAST(0 AS DOUBLE), 'hops': 0} FROM Q
  UNION (SELECT n.src, n.v, n.d FROM (SELECT sp.src AS src, S.t AS v, min({'dist': sp.d.dist + S.w, 'hops': sp.d.hops + 1}) AS d FROM sp JOIN S ON sp.v = S.s GROUP BY 1, 2) n
  LEFT JOIN recurring.sp r ON r.src = n.src AND r.v = n.v WHERE r.d IS NULL OR n.d < r.d))"""
@@ -350,11 +354,42 @@ def astar_pairs(spark, sf_dir):
     return paths.astar_pairs(paths.arcs_of(first_graph(spark, sf_dir)), n, pairs).withColumn("iters", F.col("iters").cast("bigint"))
 
 
-@query(f"WITH RECURSIVE {FIRST}, Q AS (SELECT v FROM N), {PATHS}, {GOALS} SELECT count(*) AS correct, CAST(0 AS BIGINT) AS better, count(*) AS equal FROM L")
+#: Embeddings as points: arcs from each to twenty others, a little longer than the straight way, and goals for every twentieth.
+POINTS = f"""C AS (SELECT count(*) AS n FROM embeddings), V AS (SELECT vec_id AS v, embedding::DOUBLE[] AS x FROM embeddings),
+ B AS (SELECT DISTINCT v AS s, (7 * v + 13 * q) % n AS t FROM V, C, (SELECT unnest(range(20)) AS q)), S AS (SELECT s, t, {GAP.format("a.x", "b.x")} * (9 + s % 3) / 8 AS w FROM B JOIN V a ON a.v = s JOIN V b ON b.v = t WHERE s <> t),
+ A AS (SELECT v AS i, (v * 7 + 3) % n AS j FROM V, C WHERE v % 20 = 0), Q AS (SELECT i AS v FROM A)"""
+#: Distances, and with them the estimate to the goal; a vertex comes before the goal by (distance plus estimate, distance, number).
+SEARCHED = f"""L AS (SELECT A.i, A.j, sp.d.dist AS dist FROM A LEFT JOIN sp ON sp.src = A.i AND sp.v = A.j),
+ R AS (SELECT L.i, L.j, L.dist, sp.v, sp.d.dist AS g, CASE WHEN sp.v = L.i THEN 0 ELSE sp.d.dist + {GAP.format("a.x", "b.x")} END AS f FROM L JOIN sp ON sp.src = L.i JOIN V a ON a.v = sp.v JOIN V b ON b.v = L.j),
+ K AS (SELECT i, j, any_value(dist) AS dist, count(*) FILTER (v <> j AND (dist IS NULL OR f < dist OR (f = dist AND (g < dist OR (g = dist AND v < j))))) AS guided,
+ count(*) FILTER (v <> j AND (dist IS NULL OR g < dist OR (g = dist AND v < j))) AS plain FROM R GROUP BY i, j)"""
+
+
+def _points(spark, sf_dir):
+    """Arcs, number of vertices, pairs, and the points for the estimate."""
+    f = features(spark, sf_dir)
+    n = f.count()
+    ends = embedding_matrices(spark, sf_dir).select(F.col("j").alias("i"), F.col("i").alias("j")).filter("i <> j").distinct()
+    arcs = paths.pair_distance(ends, f).select(F.col("i").alias("src"), F.col("j").alias("dst"), (F.round("gap", 6) * (9 + F.col("i") % 3) / 8).alias("w"))
+    pairs = f.filter("node % 20 = 0").select(F.col("node").alias("i"), F.pmod(F.col("node") * 7 + 3, F.lit(n)).alias("j"))
+    return written(arcs, "arcs"), n, pairs, f.select(F.col("node").alias("v"), F.col("features").alias("data"))
+
+
+@query(f"WITH RECURSIVE {POINTS}, {PATHS}, {SEARCHED} SELECT i, j, round(dist, 6) AS dist, CAST(guided AS BIGINT) AS iters FROM K")
+def astar_guided(spark, sf_dir):
+    """A search led by the straight distance to the goal."""
+    arcs, n, pairs, points = _points(spark, sf_dir)
+    straight = lambda v, goal, x, y: F.round(paths.point_heuristic()(v, goal, x, y), 6)
+    found = paths.astar_pairs(arcs, n, pairs, straight, points, verify=True)
+    return found.select("i", "j", F.round("dist", 6).alias("dist"), F.col("iters").cast("bigint").alias("iters"))
+
+
+@query(f"WITH RECURSIVE {POINTS}, {PATHS}, {SEARCHED} SELECT count(*) AS correct, CAST(sum(CASE WHEN guided < plain THEN 1 ELSE 0 END) AS BIGINT) AS better, CAST(sum(CASE WHEN guided = plain THEN 1 ELSE 0 END) AS BIGINT) AS equal FROM K")
 def astar_ranking(spark, sf_dir):
-    n, pairs = _pairs(spark, sf_dir)
-    found = paths.astar_pairs(paths.arcs_of(first_graph(spark, sf_dir)), n, pairs)
-    return paths.ranking(found, found)
+    """Of a search led by straight distances and one without an estimate."""
+    arcs, n, pairs, points = _points(spark, sf_dir)
+    straight = lambda v, goal, x, y: F.round(paths.point_heuristic()(v, goal, x, y), 6)
+    return paths.ranking(paths.astar_pairs(arcs, n, pairs, straight, points), paths.astar_pairs(arcs, n, pairs))
 
 
 @query("SELECT CAST(3 * k AS BIGINT) AS i, CAST(23 - 4 * k AS BIGINT) AS j, CAST(abs((23 - 4 * k) // 6 - 3 * k // 6) + abs((23 - 4 * k) % 6 - 3 * k % 6) AS DOUBLE) AS dist FROM (SELECT unnest(range(6)) AS k)")
@@ -491,7 +526,7 @@ def put_relations(spark, sf_dir):
     top = suppliers(spark, sf_dir).agg(F.max("id")).first()[0]
     a, b = F.get("vertices", 0), F.get("vertices", 1)
     rows = g.nodes.filter((F.col("dim") == 1) & (b + 1 <= top)).select(F.col("vertices").alias("lower"), F.array(a, b, b + 1).alias("upper"), F.lit(True).alias("is_in"), (a % 2 == 0).alias("is_out"))
-    return mutate.put_relations(g, rows).nodes.filter("dim = 2").select(key_of("vertices").alias("face"), "in_mask", "out_mask", "is_simplex")
+    return mutate.put_relations(g, rows).nodes.filter("dim = 2").select(key_of("vertices").alias("face"), F.col("in_mask")[0].alias("in_mask"), F.col("out_mask")[0].alias("out_mask"), "is_simplex")
 
 
 LEAST = "M AS (SELECT a, b FROM P ORDER BY a, b LIMIT 1)"
@@ -681,6 +716,157 @@ def value_curve(spark, sf_dir):
     return out.select(F.col("step").cast("bigint").alias("step"), *(F.round(c, 6).alias(c) for c in out.columns[1:]))
 
 
+# -- aggregation that is no sum, and functions of lists --------------------------------------------------------------------
+
+
+@query(f"WITH {MESSAGES} SELECT CAST(k AS BIGINT) AS k, i AS node, CAST(c AS BIGINT) AS c, round(max(x), 6) + 0.0 AS x FROM A JOIN V USING (j) GROUP BY k, i, c")
+def max_messages(spark, sf_dir):
+    """The largest entry among a node's neighbours, matrix by matrix."""
+    return entries(layers.max_vertex_agg(embedding_matrices(spark, sf_dir), features(spark, sf_dir), 64), "k", "node")
+
+
+@query(f"WITH {MESSAGES}, Z AS (SELECT k, i, c, x, (q % 7) / 2.0 AS s, max((q % 7) / 2.0) OVER (PARTITION BY k, i, c) AS top FROM A JOIN V USING (j)) SELECT CAST(k AS BIGINT) AS k, i AS node, CAST(c AS BIGINT) AS c, round(sum(exp(s - top) * x) / sum(exp(s - top)), 6) + 0.0 AS x FROM Z GROUP BY k, i, c")
+def softmax_messages(spark, sf_dir):
+    """Neighbours weighted by the softmax of a score on each arc."""
+    nodes = features(spark, sf_dir).select("node")
+    n = nodes.count()
+    arcs = nodes.select(F.col("node").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("q"))
+    scored = arcs.select((F.col("q") % 2).alias("k"), F.pmod(7 * F.col("j") + 13 * F.col("q"), F.lit(n)).alias("i"), "j", ((F.col("q") % 7) / 2.0).alias("value"))
+    return entries(layers.softmax_vertex_agg(scored, features(spark, sf_dir), 64), "k", "node")
+
+
+HEADED = "Y AS (SELECT k, node, o, sum(x * ((c * 7 + o * 3) % 5 - 2) / 10) AS y FROM M, (SELECT unnest(range(4)) AS o) GROUP BY k, node, o), U AS (SELECT node, o, max(CASE WHEN k = 0 THEN y END) AS a, max(CASE WHEN k = 1 THEN y END) AS b FROM Y GROUP BY node, o), E AS (SELECT node, o, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM U)"
+
+
+def _headed(spark, sf_dir, agg_func):
+    messages = layers.sparse_vertex_agg(embedding_matrices(spark, sf_dir), features(spark, sf_dir), 64)
+    return entries(layers.linear_graph_agg(messages, [HEAD, HEAD], activation=None, agg_func=agg_func), "node")
+
+
+@query(f"WITH {MESSAGES}, {HEADED} SELECT node, CAST(o AS BIGINT) AS c, round(greatest(a, b), 6) + 0.0 AS x FROM E")
+def linear_aggregate_max(spark, sf_dir):
+    return _headed(spark, sf_dir, layers.largest)
+
+
+@query(f"WITH {MESSAGES}, {HEADED} SELECT node, CAST(o AS BIGINT) AS c, round((exp(a - greatest(a, b)) * a + exp(b - greatest(a, b)) * b) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))), 6) + 0.0 AS x FROM E")
+def linear_aggregate_softmax(spark, sf_dir):
+    return _headed(spark, sf_dir, layers.softmax_weighted)
+
+
+@query(f"WITH {FACES} SELECT a.f[1] AS nid, round(quantile_cont(b.data, 0.5), 6) AS data FROM F a LEFT JOIN F b ON len(b.f) = 2 AND list_contains(b.f, a.f[1]) WHERE len(a.f) = 1 GROUP BY a.f[1]")
+def neighbor_median(spark, sf_dir):
+    """A function of the whole list of related data, here the median."""
+    median = lambda x: float(np.median(x)) if x else None
+    g = complex_graph(spark, sf_dir)
+    return mutate.gathered(g, [], [1], median, "double", lookup.within(g, [0])).select("nid", F.round("data", 6).alias("data"))
+
+
+# -- streams -------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {FACES}, O AS (SELECT vs, arg_max(w, id) AS w FROM G GROUP BY vs) SELECT array_to_string(F.f, '-') AS face, CAST(O.w AS BIGINT) AS data, true AS is_simplex FROM F LEFT JOIN O ON O.vs = F.f UNION ALL SELECT CAST(v AS VARCHAR), NULL, false FROM (SELECT unnest(range((SELECT max(f[1]) FROM F WHERE len(f) = 1))) AS v) WHERE [v] NOT IN (SELECT f FROM F WHERE len(f) = 1)")
+def streamed_simplices(spark, sf_dir):
+    """Simplices put by a stream in batches, the latest rows first; the last one by order number gives a node's data."""
+    source = f"{folder(spark)}/facetflow/stream-{uuid.uuid4().hex}"
+    rows = simplices(spark, sf_dir).select("vertices", F.col("w").alias("data"), F.col("l_orderkey").cast("bigint").alias("seq"))
+    rows.withColumn("deal", F.pmod(F.col("seq"), F.lit(3))).repartition(3, "deal").drop("deal").write.parquet(f"{source}/rows")
+    stream = spark.readStream.schema("vertices array<bigint>, data bigint, seq bigint").option("maxFilesPerTrigger", 1).option("latestFirst", True).parquet(f"{source}/rows")
+    ingest.stream_graph(f"{source}/nodes", f"{source}/state", stream).awaitTermination()
+    return ingest.streamed_graph(spark, f"{source}/nodes").nodes.select(key_of("vertices").alias("face"), F.col("data").cast("bigint").alias("data"), "is_simplex")
+
+
+# -- training through layers ------------------------------------------------------------------------------------------------
+
+NETWORK = [network.Layer(4), network.Layer(4, output=3)]
+
+
+def formula(salt: int, rows: int, columns: int):
+    """Weights by formula: entry (d, o) is ((7 d + 3 o + salt) mod 11 - 5) / 20."""
+    return (((np.arange(rows)[:, None] * 7 + np.arange(columns) * 3 + salt) % 11) - 5) / 20
+
+
+def formula_weights() -> dict:
+    shapes = {"0.own": (1, 64, 4), "0.message": (2, 64, 4), "1.own": (3, 4, 4), "1.message": (4, 4, 4), "1.output": (5, 4, 3)}
+    maps = {n: formula(*shape) for n, shape in shapes.items()}
+    return maps | {f"{n}.bias": formula(salt, 1, columns)[0] for n, (salt, _, columns) in shapes.items()}
+
+
+def _labels(spark, sf_dir):
+    """A class by the vertex, and the parts of training by its number."""
+    part = F.when(F.col("node") % 5 < 3, "train").when(F.col("node") % 5 == 3, "valid").otherwise("test")
+    return features(spark, sf_dir).select("node", (F.col("node") % 7 % 3).cast("int").alias("label"), part.alias("part"))
+
+
+def _times(source: str, salt: int, columns: int) -> str:
+    """Rows (node, c, x) times a formula matrix, and its bias."""
+    return f"SELECT node, o, sum(x * ((c * 7 + o * 3 + {salt}) % 11 - 5)) / 20 + any_value((o * 3 + {salt}) % 11 - 5) / 20.0 AS y FROM {source}, (SELECT unnest(range({columns})) AS o) GROUP BY node, o"
+
+
+def _back(source: str, salt: int, rows: int) -> str:
+    """Slopes (node, o, g) times a formula matrix turned over."""
+    return f"SELECT node, c, sum(g * ((c * 7 + o * 3 + {salt}) % 11 - 5)) / 20 AS g FROM {source}, (SELECT unnest(range({rows})) AS c) GROUP BY node, c"
+
+
+def _weights(name: str, source: str, slopes: str) -> str:
+    return f"SELECT '{name}' AS name, c, o, sum(x * g) AS g FROM {source} JOIN {slopes} USING (node) GROUP BY c, o UNION ALL SELECT '{name}.bias', 0, o, sum(g) FROM {slopes} GROUP BY o"
+
+
+GRADIENTS = f"""WITH {MESSAGES}, X0 AS (SELECT j AS node, c, x FROM V), S1 AS (SELECT v.node AS node, v.c AS c, greatest(coalesce(sum(M.x), 0), 0) AS x FROM X0 v LEFT JOIN M ON M.node = v.node AND M.c = v.c GROUP BY v.node, v.c),
+ Z1 AS (SELECT node, o AS c, a.y + b.y AS z FROM ({_times("X0", 1, 4)}) a JOIN ({_times("S1", 2, 4)}) b USING (node, o)), X1 AS (SELECT node, c, greatest(z, 0) AS x FROM Z1),
+ M2 AS (SELECT v.node AS node, v.c AS c, coalesce(sum(u.x), 0) AS z FROM X1 v LEFT JOIN A ON A.i = v.node LEFT JOIN X1 u ON u.node = A.j AND u.c = v.c GROUP BY v.node, v.c), S2 AS (SELECT node, c, greatest(z, 0) AS x FROM M2),
+ Z2 AS (SELECT node, o AS c, a.y + b.y AS z FROM ({_times("X1", 3, 4)}) a JOIN ({_times("S2", 4, 4)}) b USING (node, o)), X2 AS (SELECT node, c, greatest(z, 0) AS x FROM Z2),
+ O AS (SELECT node, o, y, max(y) OVER (PARTITION BY node) AS top FROM ({_times("X2", 5, 3)})), K AS (SELECT count(*) AS n FROM embeddings WHERE vec_id % 5 < 3),
+ P AS (SELECT node, o, exp(y - top) / sum(exp(y - top)) OVER (PARTITION BY node) AS p FROM O),
+ GO AS (SELECT node, o, CASE WHEN node % 5 < 3 THEN (p - CASE WHEN o = node % 7 % 3 THEN 1 ELSE 0 END) / n ELSE 0 END AS g FROM P, K),
+ G2 AS (SELECT node, c AS o, CASE WHEN z > 0 THEN g ELSE 0 END AS g FROM ({_back("GO", 5, 4)}) JOIN Z2 USING (node, c)),
+ T2 AS (SELECT node, c, CASE WHEN z > 0 THEN g ELSE 0 END AS g FROM ({_back("G2", 4, 4)}) JOIN M2 USING (node, c)),
+ R AS (SELECT node, c, sum(g) AS g FROM ({_back("G2", 3, 4)} UNION ALL SELECT A.j, T2.c, T2.g FROM A JOIN T2 ON T2.node = A.i) GROUP BY node, c),
+ G1 AS (SELECT node, c AS o, CASE WHEN z > 0 THEN g ELSE 0 END AS g FROM R JOIN Z1 USING (node, c)),
+ E AS ({_weights("0.own", "X0", "G1")} UNION ALL {_weights("0.message", "S1", "G1")} UNION ALL {_weights("1.own", "X1", "G2")} UNION ALL {_weights("1.message", "S2", "G2")} UNION ALL {_weights("1.output", "X2", "GO")})
+ SELECT name, CAST(c AS BIGINT) AS c, CAST(o AS BIGINT) AS o, round(g, 9) + 0.0 AS g FROM E"""
+
+
+@query(GRADIENTS)
+def layer_gradients(spark, sf_dir):
+    """The gradient of every weight of two layers and a softmax head, by reverse mode."""
+    net = network.Network(NETWORK, 64, 2, weights=formula_weights())
+    labels = _labels(spark, sf_dir)
+    rows = written(network.labelled(features(spark, sf_dir), labels), "rows")
+    got = net.gradients(rows, written(embedding_matrices(spark, sf_dir), "matrices"), labels.filter("part = 'train'").count())
+    flat = [(n, d, o, float(g)) for n, w in got.weights.items() for d, row in enumerate(np.atleast_2d(w)) for o, g in enumerate(row)]
+    made = spark.createDataFrame(flat, "name string, c bigint, o bigint, g double")
+    return made.select("name", "c", "o", (F.round("g", 9) + 0.0).alias("g"))
+
+
+def _planted(spark, sf_dir):
+    """A class that the features of the node and of those around it tell."""
+    f, m = features(spark, sf_dir), written(embedding_matrices(spark, sf_dir), "matrices")
+    summed = layers.vector_sum(layers.sparse_vertex_agg(m, f, 64), ["node"], "features", 64)
+    label = arg_max(F.col("features")).cast("int")
+    part = F.when(F.col("node") % 5 < 3, "train").when(F.col("node") % 5 == 3, "valid").otherwise("test")
+    return f, m, layers.linear_update(f, summed, HEAD, HEAD, activation=None).select("node", label.alias("label"), part.alias("part"))
+
+
+@query()
+def layer_training(spark, sf_dir):
+    """Two layers learn a planted class: loss and accuracy of each part by epoch."""
+    f, m, labels = _planted(spark, sf_dir)
+    net = network.Network([network.Layer(16, weigh_graphs=True, message_activation="leaky"), network.Layer(16, output=4)], 64, 2, seed=1)
+    got = network.train_network(net, f, m, labels, epochs=6, rate=0.03)
+    return spark.createDataFrame(got.course, "epoch int, part string, loss double, accuracy double")
+
+
+@query()
+def learned_distances(spark, sf_dir):
+    """Embeddings of vertices whose distances learn those of the graph: the loss on each part by step."""
+    arcs = paths.arcs_of(first_graph(spark, sf_dir))
+    ids = arcs.select(F.col("src").alias("node")).distinct()
+    found = paths.shortest_paths(arcs, ids.filter("node % 20 = 0").select(F.col("node").alias("src")))
+    pairs = stats.split_60_20_20(found.filter("src <> dst").select(F.col("src").alias("i"), F.col("dst").alias("j"), (F.col("dist") / 100).alias("target")), "i", "j")
+    _, losses = network.train_distances(layers.embedding_table(ids, 8, seed=1), pairs, epochs=8, rate=0.2)
+    return spark.createDataFrame([(t, p, v) for t, each in enumerate(losses) for p, v in sorted(each.items())], "step int, part string, loss double")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact hop distances 0..3 of all vertices, with the degree at each distance and its inverse."""
     g = first_graph(spark, sf_dir)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import subset, subset_numbers
-from ..graph import Graph, check_keys, dense_index
+from ..graph import EdgeGraph, Graph, check_keys, dense_index
 from ..scratch import written
 
 
@@ -37,10 +37,23 @@ def from_edges(edges: DataFrame, src: str = "src", dst: str = "dst", data: str |
     ``vertices`` (``id``, ``data``) may name more vertices and their data. The source is read once: its rows are written.
     """
     rows = written(_arc_rows(edges, src, dst, data, seq), "arcs")
+    own = None if vertices is None else written(vertices.select(F.col("id").cast("bigint").alias("id"), "data"), "vertices")
+    ids = rows.select(F.least("s", "t").alias("low"), F.greatest("s", "t").alias("high"))
+    if own is not None:
+        ids = ids.union(own.select("id", "id"))
+    found = ids.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count_if(F.col("low").isNull()).alias("nulls")).first()
+    if found["nulls"]:
+        raise ValueError("a node has a vertex at least, and no null ones")
+    if found["low"] is not None and found["low"] < 0:
+        raise IndexError("vertices aren't negative")
+    return EdgeGraph(rows, found["high"], directed, lambda: _numbered(rows, own, directed))
+
+
+def _numbered(rows: DataFrame, own: DataFrame | None, directed: bool) -> Graph:
+    """All nodes and links of arcs."""
     ends = rows.select(F.explode(F.array("s", "t")).alias("v")).distinct().select(F.array("v").alias("vertices"))
-    if vertices is not None:
-        own = vertices.select(F.array(F.col("id").cast("bigint")).alias("vertices"), "data")
-        ends = ends.join(own, "vertices", "full")
+    if own is not None:
+        ends = ends.join(own.select(F.array("id").alias("vertices"), "data"), "vertices", "full")
     nodes = _merged(rows).unionByName(ends, allowMissingColumns=True)
     if not directed:
         return Graph.assembled(nodes)
@@ -55,16 +68,22 @@ def closure(simplices: DataFrame, value: str | None = None, update: Column | Non
 
     Faces are exploded from numbers of subsets, in two steps for large simplices, so no row holds them all.
     """
-    keep = [F.col(value).alias("_value")] if value else []
-    high, low = subset_numbers(F.size("own"))
-    parts = simplices.select(F.array_sort("vertices").alias("own"), *keep).select("own", *(["_value"] if value else []), F.explode(high).alias("_high"))
-    each = parts.select("own", *(["_value"] if value else []), F.explode(F.transform(low, lambda k: k + F.col("_high"))).alias("_number")).filter("_number > 0")
-    each = each.select(subset(F.col("own"), F.col("_number")).alias("vertices"), *(["_value"] if value else []))
+    rows = simplices.select(F.array_sort("vertices").alias("own"), *([F.col(value).alias("_value")] if value else []))
+    each = each_face(rows).drop("own")
     if not value:
         return each.distinct()
     return each.groupBy("vertices").agg((update if update is not None else F.sum("_value")).alias("data"))
 
 
+def each_face(rows: DataFrame) -> DataFrame:
+    """``rows`` (``own``: sorted vertices, and other columns) once for each face, which is in ``vertices``."""
+    kept = rows.columns
+    high, low = subset_numbers(F.size("own"))
+    parts = rows.select(*kept, F.explode(high).alias("_high"))
+    each = parts.select(*kept, F.explode(F.transform(low, lambda k: k + F.col("_high"))).alias("_number")).filter("_number > 0")
+    return each.select(*kept, subset(F.col("own"), F.col("_number")).alias("vertices"))
+
+
 def from_simplices(simplices: DataFrame, value: str | None = None, spread: bool = False, seq: str | None = None) -> Graph:
     """Simplices with all their faces. ``value`` stays with the simplex itself (the last by ``seq``), or is summed over all its faces with ``spread``."""
     columns = [F.array_sort("vertices").alias("vertices"), (F.col(value) if value else F.lit(None).cast("double")).alias("value"), (F.col(seq) if seq else F.lit(0)).alias("seq")]

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from facetflow.graph import checked_vertices
+from facetflow.functions.arrays import full_mask
+from facetflow.graph import Graph, checked_vertices
 from facetflow.operators import degrees, lookup, matrices, mutate, paths, relations
 from facetflow.sources import builders
 
@@ -67,21 +68,21 @@ def test_directed_edge(arrow):
     assert keys(relations.incidence_neighbors(arrow, 0)) == [(0, 1)] and keys(relations.incidence_neighbors(arrow, 1)) == []
     assert keys(relations.incidence_neighbors(arrow, (0, 1), -1)) == [(1,)]
     row = lookup.node(arrow, (0, 1)).first()
-    assert (row["in_mask"], row["out_mask"], row["is_simplex"]) == (1, 2, False)
+    assert (row["in_mask"], row["out_mask"], row["is_simplex"]) == ([1], [2], False)
     assert [tuple(r) for r in matrices.adjacency_matrices(arrow, [1], [], [0]).collect()] == [(0, 1, 0, 1.0)]
 
 
 def test_both_directions(spark):
     g = builders.from_edges(spark.createDataFrame([(0, 1, 1.0, 0), (1, 0, 2.0, 1)], "src bigint, dst bigint, w double, seq int"), data="w", directed=True, seq="seq")
     row = lookup.node(g, (0, 1)).first()
-    assert (row["in_mask"], row["out_mask"], row["is_simplex"], row["data"]) == (3, 3, True, 2.0)
+    assert (row["in_mask"], row["out_mask"], row["is_simplex"], row["data"]) == ([3], [3], True, 2.0)
 
 
 def test_partial_node(spark):
     g = builders.from_edges(edges(spark, [(0, 1, 1.0), (1, 2, 1.0)]), data="w")
     g = mutate.put_relation(g, [(0, 1), (1, 2)])
     row = lookup.node(g, (0, 1, 2)).first()
-    assert (row["in_mask"], row["out_mask"], row["is_simplex"]) == (5, 5, False)
+    assert (row["in_mask"], row["out_mask"], row["is_simplex"]) == ([5], [5], False)
     assert keys(relations.neighbors(g, (0, 1))) == [(1, 2)]
 
 
@@ -219,3 +220,45 @@ def test_any_metric(spark):
     for r in g.nodes.filter("dim = 1").collect():
         (a, b), (c, d) = (at[v] for v in r["vertices"])
         assert r["data"] == pytest.approx(abs(a - c) + abs(b - d))
+
+
+@pytest.mark.parametrize("n", [62, 70])
+def test_a_node_of_many_vertices(spark, n):
+    """Masks have as many words as the node has facets."""
+    top = list(range(n))
+    lower = [top[:p] + top[p + 1 :] for p in range(n)]
+    faces = spark.createDataFrame([(f, None, 1) for f in lower], "vertices array<bigint>, data double, seq int")
+    g = Graph.assembled(faces.select("vertices", "data"), spark.createDataFrame([], "lower array<bigint>, upper array<bigint>, is_in boolean, is_out boolean"))
+    rows = spark.createDataFrame([(f, top, True, p != 5) for p, f in enumerate(lower)], "lower array<bigint>, upper array<bigint>, is_in boolean, is_out boolean")
+    row = lookup.node(mutate.put_relations(g, rows), top).first()
+    whole = spark.range(1).select(full_mask(F.lit(n - 1)).alias("m")).first()["m"]
+    number = lambda words: sum(w << 62 * k for k, w in enumerate(words))
+    assert number(row["in_mask"]) == number(whole) == (1 << n) - 1 and row["in_mask"] == whole
+    assert number(row["out_mask"]) == (1 << n) - 1 - (1 << n - 1 - 5)
+    assert not row["is_simplex"]
+
+
+def test_functions_of_whole_lists(spark):
+    g = builders.from_edges(edges(spark, [(0, 1, 4.0), (0, 2, None), (0, 3, 1.0), (5, 6, 2.0)]), data="w")
+    told = lambda x: "-".join(map(str, x))
+    got = {r["nid"]: r["data"] for r in mutate.gathered(g, [], [1], told, "string", lookup.within(g, [0])).collect()}
+    assert got == {0: "4.0-None-1.0", 1: "4.0", 2: "None", 3: "1.0", 4: "", 5: "2.0", 6: "2.0"}
+    both = {r["nid"]: r["data"] for r in mutate.gathered(g, [1], [1], len, "bigint", lookup.within(g, [0])).collect()}
+    assert both[0] == 6 and both[4] == 0
+
+
+def test_edges_are_numbered_only_when_asked(spark):
+    rows = spark.createDataFrame([(0, 1, 1.0, 0), (1, 0, 3.0, 1), (1, 2, 1.0, 2), (4, 4, 9.0, 3), (4, 1, None, 4)], "src bigint, dst bigint, w double, seq int")
+    for directed in (False, True):
+        g = builders.from_edges(rows, data="w", directed=directed, seq="seq")
+        whole = Graph(g.nodes, g.links)
+        fresh = builders.from_edges(rows, data="w", directed=directed, seq="seq")
+        shown = lambda df: sorted(map(tuple, df.collect()), key=repr)
+        assert shown(lookup.within(fresh, [0])) == shown(lookup.within(whole, [0]))
+        assert shown(relations.neighbor_relations(fresh, [0, 1, 2], lookup.within(fresh, [0]))) == shown(relations.neighbor_relations(whole, [0, 1, 2], lookup.within(whole, [0])))
+        assert shown(paths.arcs_of(fresh)) == shown(paths.arcs_of(whole))
+        assert shown(matrices.adjacency_matrices(fresh, [1, 2], [], [0])) == shown(matrices.adjacency_matrices(whole, [1, 2], [], [0]))
+        assert fresh._whole is None and g._whole is not None
+    with pytest.raises(IndexError):
+        builders.from_edges(edges(spark, [(-1, 2, 1.0)]))
+    assert lookup.shape(builders.from_edges(edges(spark, []))) == [0]

@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from facetflow.operators import stats
+from facetflow.operators import mutate, stats
 from facetflow.plans import layers, training
+from facetflow.sources import builders
 from facetflow.streaming import ingest
 
 
@@ -130,3 +131,40 @@ def test_zeroed_values_and_their_parts(spark):
     assert len(chosen) == pytest.approx(450, rel=0.15)
     assert sum(r["part"] == "train" for r in chosen) == pytest.approx(0.6 * len(chosen), rel=0.15)
     assert {r["nid"] for r in chosen} == {r["nid"] for r in stats.zeroed(nodes, 2, 0.3, seed=1).collect() if r["chosen"]}
+
+
+def test_a_streamed_graph_is_the_same_in_any_order(spark, tmp_path):
+    """Batches in two orders, one of them with repeats, against the batch answer."""
+    rows = [([0, 1, 2], 5.0, 1), ([1, 2], 7.0, 2), ([0, 1, 2], None, 3), ([2, 5], 1.0, 4), ([1, 2], 6.0, 0)]
+    links = [([0, 1], [0, 1, 3], True, False), ([0, 3], [0, 1, 3], True, True), ([2, 5], [2, 5, 6], True, True)]
+    schema, linked = "vertices array<bigint>, data double, seq bigint", "lower array<bigint>, upper array<bigint>, is_in boolean, is_out boolean"
+    found = []
+    for name, order in (("a", [0, 1, 2, 3, 4]), ("b", [4, 2, 3, 1, 0, 2])):
+        for k, at in enumerate(order):
+            spark.createDataFrame([rows[at]], schema).coalesce(1).write.parquet(str(tmp_path / name / "rows" / f"{k}"))
+        for k, at in enumerate(sorted(range(3), reverse=name == "b")):
+            spark.createDataFrame([links[at]], linked).coalesce(1).write.parquet(str(tmp_path / name / "links" / f"{k}"))
+        read = lambda what, kind: spark.readStream.schema(kind).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", True).parquet(str(tmp_path / name / what))  # noqa: E731, B023
+        ingest.stream_graph(str(tmp_path / name / "out"), str(tmp_path / name / "cp"), read("rows", schema), read("links", linked)).awaitTermination(120)
+        g = ingest.streamed_graph(spark, str(tmp_path / name / "out"))
+        found.append(sorted((tuple(r["vertices"]), r["data"], r["is_simplex"], tuple(r["in_mask"]), tuple(r["out_mask"])) for r in g.nodes.collect()))
+    assert found[0] == found[1]
+    batch = mutate.put_simplices(builders.empty(spark), spark.createDataFrame(rows, schema))
+    want = sorted((tuple(r["vertices"]), r["data"], r["is_simplex"], tuple(r["in_mask"]), tuple(r["out_mask"])) for r in batch.nodes.collect())
+    assert [row for row in found[0] if row[0] not in ((6,), (0, 1, 3), (2, 5, 6))] == want
+    of = {row[0]: row for row in found[0]}
+    assert of[0, 1, 3][2:] == (False, (1,), (0,))  # its facet (0, 3) never came
+    assert of[2, 5, 6][3] == (1,)  # of the places, 2-5 lacks the last
+
+
+def test_aggregation_that_is_no_sum(spark):
+    messages = spark.createDataFrame([(0, 1, [1.0, -2.0]), (1, 1, [3.0, -4.0]), (1, 2, [-1.0, 0.5])], "k int, node bigint, features array<double>")
+    w, b = [[[1.0, 0.0], [0.0, 1.0]], [[2.0, 0.0], [0.0, 1.0]]], [[0.0, 0.5], [1.0, 0.0]]
+    got = lambda f: {r["node"]: r["features"] for r in layers.linear_graph_agg(messages, w, b, None, f).collect()}
+    rows = {1: [[1.0, -1.5], [7.0, -4.0]], 2: [[0.0, 0.5], [-1.0, 0.5]]}  # a zero message where there is none
+    assert got(layers.largest) == {n: [max(c) for c in zip(*r, strict=True)] for n, r in rows.items()}
+    assert got(layers.average) == {n: [sum(c) / 2 for c in zip(*r, strict=True)] for n, r in rows.items()}
+    for n, r in rows.items():
+        want = [sum(v * np.exp(v) for v in c) / sum(np.exp(v) for v in c) for c in zip(*r, strict=True)]
+        assert got(layers.softmax_weighted)[n] == pytest.approx(want)
+    assert got(F.array_min)[2] == [-1.0, 0.5]
