@@ -6,8 +6,10 @@ every page. Both are counted per host in Spark, over distinct pages (those whose
 
 * Subtrees whose content hash stands on at least ``SHARE`` of a host's pages (and ``PAGES`` of them) are deleted.
 * Slots are places that recur so often, that are named (by class, id or role) and hold no top heading. The host's text is traced
-  from the page's root down: into the place that stands once on a page and holds most of the text around it. Slots beside this
-  way that hold little text compared with its end are deleted.
+  from the page's root down: into the container that stands once on a page and holds most of the text around it. The article is
+  what the first ``article`` or ``main`` on this way holds, or the smallest container on it that has the top heading, or
+  else its end. Slots beside the article that hold little text compared with the way's end are deleted. Those inside it, such as a
+  lead, a caption or a quotation, are text, unless their name says otherwise (``ASIDE``: comments, adverts, menus).
 
 Hosts of fewer than ``PAGES`` distinct pages share their counts, as if they were one site. Besides, elements that HTML itself
 defines as no article text (navigation, forms, scripts) go. What is left is the text.
@@ -34,16 +36,22 @@ MOST, SLOT = 0.5, 0.25
 
 # Element names of HTML by their part.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select".split())
+RAW = frozenset("script style textarea title noscript template iframe svg object select".split())
 DROPPED = RAW | frozenset("head nav footer aside form button dialog menu audio video canvas".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+CONTAINERS = frozenset("html body div section article main form table tbody tr td center".split())
+#: Words of class, id or role that say what is no article text, also where it stands inside the article.
+ASIDE = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies footer login menu modal nav navbar navigation newsletter notice notices pagination paywall popup promo promotion related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription".split())
 #: An open element of these ends when one of the others starts.
 ENDS = {"p": BLOCKS - frozenset("html body".split()), "li": frozenset(["li"]), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()), "tr": frozenset("tr tbody tfoot".split()), "td": frozenset("td th tr tbody tfoot".split()), "th": frozenset("td th tr tbody tfoot".split()), "option": frozenset(["option"])}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|</?([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
 NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 DIGITS = re.compile(r"\d+")
+WORDS = re.compile(r"[a-z]+")
 #: The place around all elements.
 ROOT = 0
+#: What a place is: named, named by one of ASIDE, a container, an article, the whole document.
+IS_NAMED, IS_ASIDE, IS_CONTAINER, IS_ARTICLE, IS_WHOLE = 1, 2, 4, 8, 16
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -52,7 +60,7 @@ def hash_of(text: str) -> int:
 
 
 class Template:
-    """What goes on the pages of a host: content hashes, and places. Made from its recurring ones: ``subtrees``, and (path, parent, chars, most, named, heading) for places."""
+    """What goes on the pages of a host: content hashes, and places. Made from its recurring ones: ``subtrees``, and (path, parent, chars, most, kind, heading) for places."""
 
     def __init__(self, subtrees: Iterable[int] = (), places: Iterable[dict] = ()):
         self.subtrees = frozenset(subtrees)
@@ -60,13 +68,20 @@ class Template:
         below: dict[int, list[dict]] = {}
         for p in of.values():
             below.setdefault(p["parent"], []).append(p)
-        way, at = {ROOT}, ROOT
-        chars = of[ROOT]["chars"] if ROOT in of else 0
-        while inner := [p for p in below.get(at, ()) if p["most"] == 1 and p["chars"] >= MOST * chars]:
+        way, chars = [ROOT], of[ROOT]["chars"] if ROOT in of else 0
+        while inner := [p for p in below.get(way[-1], ()) if p["most"] == 1 and p["kind"] & IS_CONTAINER and p["chars"] >= MOST * chars]:
             p = max(inner, key=lambda p: (p["chars"], p["path"]))
-            at, chars = p["path"], p["chars"]
-            way.add(at)
-        self.places = frozenset(p["path"] for p in of.values() if p["named"] and not p["heading"] and p["path"] not in way and p["chars"] <= SLOT * chars)
+            way.append(p["path"])
+            chars = p["chars"]
+        named = [k for k in way if k in of and of[k]["kind"] & IS_ARTICLE]
+        within = [k for k in way if k in of and not of[k]["kind"] & IS_WHOLE]
+        headed = [k for k in within if of[k]["heading"]]
+        inside, todo = set(), (named[:1] or headed[-1:] or within[-1:])  # empty: nothing is known of the article's place
+        while todo:
+            inside.update(own := [p["path"] for p in below.get(todo.pop(), ())])
+            todo += own
+        small = [p for p in of.values() if p["kind"] & IS_NAMED and not p["heading"] and p["path"] not in way and p["chars"] <= SLOT * chars]
+        self.places = frozenset(p["path"] for p in small if p["path"] not in inside or p["kind"] & IS_ASIDE)
 
 
 class Page:
@@ -75,8 +90,8 @@ class Page:
     def __init__(self, html: str, template: Template | None = None):
         self.template = template or Template()
         self.hashes: set[int] = set()
-        #: by place: the one around it, times, characters of text, whether it is named and holds a top heading
-        self.places: dict[int, list] = {ROOT: [None, 1, 0, False, False]}
+        #: by place: the one around it, times, characters of text, its kind, whether it holds a top heading
+        self.places: dict[int, list] = {ROOT: [None, 1, 0, IS_CONTAINER | IS_WHOLE, False]}
         self.out: list[str | None] = []  # None ends a block
         #: open elements: name, first of its output, parts of its hash, whether it goes, its place, characters, whether a heading is inside
         self.open: list[list] = [["", 0, [], False, ROOT, 0, False]]
@@ -132,7 +147,9 @@ class Page:
         names = " ".join(sorted(f"{m[0].lower()}={DIGITS.sub('0', ' '.join(sorted(''.join(m[1:]).lower().split())))}" for m in NAMED.findall(attributes))) if attributes else ""
         around = self.open[-1][4]
         place = hash_of(f"{around} {name} {names}")
-        held = self.places.setdefault(place, [around, 0, 0, bool(names), False])
+        if (held := self.places.get(place)) is None:
+            kind = IS_NAMED * bool(names) | IS_ASIDE * (not ASIDE.isdisjoint(WORDS.findall(names))) | IS_CONTAINER * (name in CONTAINERS) | IS_ARTICLE * (name in ("article", "main")) | IS_WHOLE * (name in ("html", "body"))
+            held = self.places[place] = [around, 0, 0, kind, False]
         held[1] += 1
         inside = self.counts.get("article") or self.counts.get("main")
         goes = name in DROPPED or (name == "header" and not inside) or place in self.template.places
@@ -148,7 +165,9 @@ class Page:
         if len(parts) > 1 and name not in ("html", "body"):
             self.hashes.add(own)
             goes = goes or own in self.template.subtrees
-        if name not in DROPPED:
+        if name == "form" and heading:
+            goes = False  # it holds the page, not an input
+        if name not in DROPPED or not goes:
             top[5] += chars
             top[6] = top[6] or heading
             self.places[place][2] += chars
@@ -171,19 +190,19 @@ class Page:
         return "\n\n".join(blocks)
 
 
-SUBTREES = "host string, page long, copy long, subtrees array<long>, places array<struct<path:long,parent:long,times:int,chars:long,named:boolean,heading:boolean>>"
+SUBTREES = "host string, page long, copy long, subtrees array<long>, places array<struct<path:long,parent:long,times:int,chars:long,kind:int,heading:boolean>>"
 
 
 def subtrees(pages: DataFrame, html_col: str) -> DataFrame:
     """For each page its ``host``, hashes of its text (``page``) and html (``copy``), its ``subtrees`` and its ``places``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = pa.list_(pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("times", pa.int32()), ("chars", pa.int64()), ("named", pa.bool_()), ("heading", pa.bool_())]))
+        place = pa.list_(pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("times", pa.int32()), ("chars", pa.int64()), ("kind", pa.int32()), ("heading", pa.bool_())]))
         for batch in slices(batches, html_col):
             rows = []
             for host, html in zip(batch.column("host").to_pylist(), texts_of(batch.column(html_col)), strict=True):
                 page = Page(html)
-                rows.append((host, hash_of(page.result()), hash_of(html), sorted(page.hashes), [{"path": k, "parent": v[0], "times": v[1], "chars": v[2], "named": v[3], "heading": v[4]} for k, v in page.places.items()]))
+                rows.append((host, hash_of(page.result()), hash_of(html), sorted(page.hashes), [{"path": k, "parent": v[0], "times": v[1], "chars": v[2], "kind": v[3], "heading": v[4]} for k, v in page.places.items()]))
             types = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), place)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["host", "page", "copy", "subtrees", "places"])
 
@@ -204,10 +223,10 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     sites = materialize(sizes.select("host", F.when((F.col("n") >= PAGES) & (F.col("host") != ""), F.col("host")).otherwise("").alias("site"), "n"), "sites")
     distinct = materialize(each.join(first, ["host", "page", "copy"]).join(sites.select("host", "site"), "host").groupBy("site", "host", "page").agg(F.first("subtrees").alias("subtrees"), F.first("places").alias("places")).select("site", "subtrees", "places"), "distinct-pages")
     totals = sites.groupBy("site").agg(F.sum("n").alias("pages")).filter(F.col("pages") >= PAGES)
-    keys = distinct.select("site", F.explode(F.concat(F.transform("subtrees", lambda h: F.struct(F.lit(0).alias("kind"), h.alias("path"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("times"), F.lit(0).cast("long").alias("chars"), F.lit(False).alias("named"), F.lit(False).alias("heading"))), F.transform("places", lambda p: F.struct(F.lit(1).alias("kind"), p["path"].alias("path"), p["parent"].alias("parent"), p["times"].alias("times"), p["chars"].alias("chars"), p["named"].alias("named"), p["heading"].alias("heading"))))).alias("e")).select("site", "e.*")
-    counted = keys.groupBy("site", "kind", "path").agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("parent"), F.max("times").alias("most"), F.sum("chars").alias("chars"), F.bool_or("named").alias("named"), F.bool_or("heading").alias("heading")).filter(F.col("n") >= PAGES)
+    keys = distinct.select("site", F.explode(F.concat(F.transform("subtrees", lambda h: F.struct(F.lit(0).alias("kind"), h.alias("path"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("times"), F.lit(0).cast("long").alias("chars"), F.lit(0).alias("kind_of"), F.lit(False).alias("heading"))), F.transform("places", lambda p: F.struct(F.lit(1).alias("kind"), p["path"].alias("path"), p["parent"].alias("parent"), p["times"].alias("times"), p["chars"].alias("chars"), p["kind"].alias("kind_of"), p["heading"].alias("heading"))))).alias("e")).select("site", "e.*")
+    counted = keys.groupBy("site", "kind", "path").agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("parent"), F.max("times").alias("most"), F.sum("chars").alias("chars"), F.max("kind_of").alias("kind_of"), F.bool_or("heading").alias("heading")).filter(F.col("n") >= PAGES)
     often = counted.join(totals, "site").filter(F.col("n") >= SHARE * F.col("pages"))
-    kept = often.groupBy("site").agg(F.collect_list(F.when(F.col("kind") == 0, F.col("path"))).alias("subtrees"), F.collect_list(F.when(F.col("kind") == 1, F.struct("path", "parent", "most", "chars", "named", "heading"))).alias("places"))
+    kept = often.groupBy("site").agg(F.collect_list(F.when(F.col("kind") == 0, F.col("path"))).alias("subtrees"), F.collect_list(F.when(F.col("kind") == 1, F.struct("path", "parent", "most", "chars", F.col("kind_of").alias("kind"), "heading"))).alias("places"))
     return sites.select("host", "site"), materialize(kept, "templates")
 
 

@@ -39,6 +39,28 @@ def test_named_paragraphs_stay(spark):
     assert texts(pages(spark, [(n, f"http://h.example/{n}", page.format(n=n)) for n in range(5)])) == {n: f"Story {n} of some length\n\nand more of story {n}" for n in range(5)}
 
 
+PARTS = ["<p class='lead'>X {n}</p>", "<h2 class='subtitle'>X {n}</h2>", "<figure class='shot'><img><figcaption>X {n}</figcaption></figure>", "<blockquote class='quote'>X {n}</blockquote>", "<section id='summary'><p>X {n}</p></section>", "<pre class='code'>X {n}</pre>", "<p>X {n}</p>", "<p role='note'><math><mi>X {n}</mi></math></p>"]
+
+
+@pytest.mark.parametrize("around", ["article", "div", "form"])
+def test_named_parts_of_an_article_stay(spark, around):
+    """Whatever is named inside the article is its text, on every page of the host; a menu and comments beside or inside it go."""
+    words = " ".join(f"word{k}" for k in range(120))
+    rows, want = [], {}
+    for h, part in enumerate(PARTS):
+        for n in range(12):
+            key = h * 100 + n
+            body = f"<div class='menu'>go {n}</div><{around}><h1>T{n}</h1>{part.format(n=n)}<p>{words} {n}</p><div class='reader-comments'><p>me too {n}</p></div></{around}><div class='legal'>all {n} rights</div>"
+            rows.append((key, f"http://h{h}.example/{n}", f"<html><body>{body}</body></html>"))
+            want[key] = f"T{n}\n\nX {n}\n\n{words} {n}"
+    assert texts(pages(spark, rows)) == want
+
+
+def test_forms_go_but_for_those_that_hold_the_page():
+    assert html_extract.Page("<h1>T</h1><p>a</p><form><p>name</p><input></form>").result() == "T\n\na"
+    assert html_extract.Page("<body><form id='aspnet'><h1>T</h1><p>a</p></form></body>").result() == "T\n\na"
+
+
 def test_hosts_of_few_pages_share_their_counts(spark):
     rows = [(n, f"http://h{n}.example/", PAGE.format(n=n, a="article")) for n in range(6)] + [(7, None, None), (8, "http://h8.example/8", ""), (9, None, PAGE.format(n=9, a="article"))]
     found = texts(pages(spark, rows))
@@ -77,7 +99,7 @@ def test_counts_are_those_of_brute_force(spark):
         page = html_extract.Page(html)
         key = (url.split("/")[2], page.result())
         own[key[0]][key] = min(own[key[0]].get(key, (1 << 64, None)), (html_extract.hash_of(html), html))
-    got = {r["site"]: (set(r["subtrees"]), {p["path"]: (p["chars"], p["most"], p["named"], p["heading"]) for p in r["places"]}) for r in found.collect()}
+    got = {r["site"]: (set(r["subtrees"]), {p["path"]: (p["chars"], p["most"], p["kind"], p["heading"]) for p in r["places"]}) for r in found.collect()}
     assert set(got) == set(own) and {r["host"]: r["site"] for r in sites.collect()} == {h: h for h in own}
     for host, held in own.items():
         subtrees, places, data = Counter(), Counter(), {}
@@ -85,9 +107,9 @@ def test_counts_are_those_of_brute_force(spark):
             page = html_extract.Page(html)
             subtrees.update(page.hashes)
             places.update(page.places.keys())
-            for k, (_, times, chars, named, heading) in page.places.items():
-                before = data.get(k, (0, 0, False, False))
-                data[k] = (before[0] + chars, max(before[1], times), before[2] or named, before[3] or heading)
+            for k, (_, times, chars, kind, heading) in page.places.items():
+                before = data.get(k, (0, 0, 0, False))
+                data[k] = (before[0] + chars, max(before[1], times), max(before[2], kind), before[3] or heading)
         least = max(html_extract.PAGES, html_extract.SHARE * len(held))
         assert got[host] == ({h for h, n in subtrees.items() if n >= least}, {k: data[k] for k, n in places.items() if n >= least})
 
