@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -180,8 +180,8 @@ def renumbered(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame
     return with_idx(fresh.drop("_old")), written(links, "links")
 
 
-def with_masks(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Masks from links, and the simplex flag dimension by dimension: all facets linked both ways, and all of them simplices."""
+def masked(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Nodes with ``in_mask`` and ``out_mask`` as links tell them."""
     place = F.col("lower_dim") + 1 - F.col("missing_pos")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place % MASK_BITS)
     widest = links.agg(F.max("lower_dim")).first()[0] or 0
@@ -189,19 +189,32 @@ def with_masks(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame
     flag = {"in_mask": "is_in", "out_mask": "is_out"}
     each = [F.bit_or(F.when(F.col(f) & (F.floor(place / MASK_BITS) == w), bit).otherwise(F.lit(0).cast("bigint"))).alias(f"_{m}{w}") for m, f in flag.items() for w in range(words)]
     masks = links.groupBy(F.col("upper_nid").alias("_u")).agg(*each)
-    plain = nodes.drop("in_mask", "out_mask", "is_simplex").join(masks, F.col("nid") == F.col("_u"), "left")
+    plain = nodes.drop("in_mask", "out_mask").join(masks, F.col("nid") == F.col("_u"), "left")
     own = F.floor(F.col("dim") / MASK_BITS).cast("int") + 1
     for m in flag:
         every = F.array(*(F.coalesce(f"_{m}{w}", F.lit(0)) for w in range(words)))
         plain = plain.withColumn(m, F.slice(every, 1, F.least(own, F.lit(words))))
-    plain = plain.drop("_u", *(f"_{m}{w}" for m in flag for w in range(words)))
-    given = F.col("given") if "given" in nodes.columns else F.lit(True)
-    plain = written(plain.withColumn("is_simplex", F.when(F.col("dim") == 0, given).otherwise((F.col("in_mask") == full_mask(F.col("dim"))) & (F.col("out_mask") == full_mask(F.col("dim"))))), "masked")
+    return plain.drop("_u", *(f"_{m}{w}" for m in flag for w in range(words)))
+
+
+def flagged(plain: DataFrame, links: DataFrame, fixed: DataFrame | None = None) -> DataFrame:
+    """``is_simplex`` from what masks alone say, dimension by dimension: all facets have to be simplices too. ``fixed`` (``nid``, ``is_simplex``) are facets that aren't among the nodes."""
     for d in sorted(r["dim"] for r in plain.filter("dim > 1").select("dim").distinct().collect()):  # a row for each dimension
-        lower = plain.filter(F.col("dim") == d - 1).select(F.col("nid").alias("lower_nid"), F.col("is_simplex").alias("_s"))
+        lower = plain.filter(F.col("dim") == d - 1).select("nid", "is_simplex")
+        lower = (lower if fixed is None else lower.unionByName(fixed)).select(F.col("nid").alias("lower_nid"), F.col("is_simplex").alias("_s"))
         ok = links.filter(F.col("lower_dim") == d - 1).join(lower, "lower_nid").groupBy(F.col("upper_nid").alias("_u")).agg(F.bool_and("_s").alias("_all"))
         plain = plain.join(ok, F.col("nid") == F.col("_u"), "left").withColumn("is_simplex", F.when(F.col("dim") == d, F.col("is_simplex") & F.coalesce("_all", F.lit(False))).otherwise(F.col("is_simplex"))).drop("_u", "_all")
         plain = written(plain, "flags")
-    return plain, links
+    return plain
 
 
+def whole_masks() -> Column:
+    return (F.col("in_mask") == full_mask(F.col("dim"))) & (F.col("out_mask") == full_mask(F.col("dim")))
+
+
+def with_masks(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Masks from links, and the simplex flag: all facets linked both ways, and all of them simplices."""
+    plain = masked(nodes.drop("is_simplex"), links)
+    given = F.col("given") if "given" in nodes.columns else F.lit(True)
+    plain = written(plain.withColumn("is_simplex", F.when(F.col("dim") == 0, given).otherwise(whole_masks())), "masked")
+    return flagged(plain, links), links

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions.arrays import arg_max, key_of, linear, log_softmax
 from .graph import Graph
 from .scratch import folder, written
-from .operators import degrees, lookup, matrices, mutate, paths, relations, stats
+from .operators import changes, degrees, lookup, matrices, mutate, paths, relations, stats
 from .plans import layers, network
 from .sources import builders
 from .streaming import ingest
@@ -496,11 +496,6 @@ def value_quartiles(spark, sf_dir):
     return stats.box(table(spark, sf_dir, "events"), "event_type", "value").select("event_type", "low", *(F.round(c, 6).alias(c) for c in ("q1", "q2", "q3")), "high")
 
 
-@query()
-def imputation_split(spark, sf_dir):
-    return stats.zeroed(complex_graph(spark, sf_dir).nodes, 3, 0.3)
-
-
 @query()
 def random_plane(spark, sf_dir):
     g, _ = builders.plane(spark, 60, 150, seed=3)
@@ -631,9 +626,25 @@ def concat_tiles(spark, sf_dir):
     return _coo(whole, "k", "i", "j")
 
 
-@query(f"WITH {FIRST} SELECT a.v AS i, b.v AS j FROM N a JOIN N b ON a.v < b.v")
+def drawn(*columns: str, seed: int = 0) -> str:
+    """The number that stats.hash_order() gives, as a DuckDB expression."""
+    texts = " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in columns)
+    return f"CAST('0x' || substr(md5({texts} || '|{seed}'), 1, 15) AS BIGINT)"
+
+
+def split_of(*columns: str, seed: int = 0) -> str:
+    bucket = f"{drawn(*columns, seed=seed)} % 10"
+    return f"CASE WHEN {bucket} < 6 THEN 'train' WHEN {bucket} < 8 THEN 'valid' ELSE 'test' END"
+
+
+@query(f"WITH {FACES}, I AS (SELECT row_number() OVER (ORDER BY len(f), f) - 1 AS nid, len(f) - 1 AS dim, CAST(data AS DOUBLE) AS truth FROM F), H AS (SELECT *, dim < 3 AND {drawn('nid')} % 1000000 < 300000 AS chosen FROM I) SELECT nid, truth, CASE WHEN chosen THEN 0 ELSE truth END AS value, chosen, CASE WHEN chosen THEN {split_of('nid', seed=1)} END AS part FROM H")
+def imputation_split(spark, sf_dir):
+    return stats.zeroed(complex_graph(spark, sf_dir).nodes, 3, 0.3)
+
+
+@query(f"WITH {FIRST} SELECT a.v AS i, b.v AS j, {split_of('a.v', 'b.v')} AS part FROM N a JOIN N b ON a.v < b.v")
 def vertex_pairs(spark, sf_dir):
-    return stats.vertex_pairs(suppliers(spark, sf_dir), "id").select("i", "j")
+    return stats.vertex_pairs(suppliers(spark, sf_dir), "id").select("i", "j", "part")
 
 
 @query(f"WITH {FACES} SELECT 'nodes' AS what, CAST(count(*) AS VARCHAR) AS value FROM F UNION ALL SELECT 'edges', CAST(count(*) FILTER (len(f) = 2) AS VARCHAR) FROM F UNION ALL SELECT 'has 3', CAST(count(*) FILTER (f = [3]) > 0 AS VARCHAR) FROM F UNION ALL SELECT 'has 3 and 3000000', 'false' UNION ALL SELECT 'data of 3', CAST(max(data) FILTER (f = [3]) AS VARCHAR) FROM F")
@@ -653,16 +664,20 @@ def shown_nodes(spark, sf_dir):
 
 def _roads(spark, sf_dir, directed):
     nodes = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 10 + 7).alias("osm_id"), F.col("s_acctbal").alias("x"), F.col("s_nationkey").cast("double").alias("y"))
-    arcs = spark.sql(ARCS, lineitem=table(spark, sf_dir, "lineitem")).filter("s < t").select((F.col("s") * 10 + 7).alias("u"), (F.col("t") * 10 + 7).alias("v"), F.col("w").alias("length"))
-    return paths.arcs_of(builders.road_network(nodes, arcs, directed))
+    arcs = spark.sql(ARCS, lineitem=table(spark, sf_dir, "lineitem")).select((F.col("s") * 10 + 7).alias("u"), (F.col("t") * 10 + 7).alias("v"), F.col("w").alias("length"), (F.col("s") * 1000003 + F.col("t")).alias("order"))
+    return paths.arcs_of(builders.road_network(nodes, arcs, directed, "order"))
+
+
+#: Both directions of a road have the length of the last arc between its ends.
+ROADS = "R AS (SELECT least(s, t) AS a, greatest(s, t) AS b, arg_max(w, s * 1000003 + t) AS w FROM S GROUP BY 1, 2)"
 
 
-@query(f"WITH {THIRD} SELECT s AS src, t AS dst, w FROM S WHERE s < t")
+@query(f"WITH {THIRD}, {ROADS} SELECT s AS src, t AS dst, R.w AS w FROM S JOIN R ON a = least(s, t) AND b = greatest(s, t)")
 def directed_roads(spark, sf_dir):
     return _roads(spark, sf_dir, True)
 
 
-@query(f"WITH {THIRD} SELECT s AS src, t AS dst, w FROM S WHERE s < t UNION ALL SELECT t, s, w FROM S WHERE s < t")
+@query(f"WITH {THIRD}, {ROADS} SELECT a AS src, b AS dst, w FROM R UNION ALL SELECT b, a, w FROM R")
 def undirected_roads(spark, sf_dir):
     return _roads(spark, sf_dir, False)
 
@@ -761,6 +776,23 @@ def neighbor_median(spark, sf_dir):
     return mutate.gathered(g, [], [1], median, "double", lookup.within(g, [0])).select("nid", F.round("data", 6).alias("data"))
 
 
+# -- changes at the cost of the change ---------------------------------------------------------------------------------------
+
+
+@query(f"WITH {FIRST}, {TRIPLES}, {LEAST} SELECT array_to_string(f, '-') AS face, data, NOT (f = [M.a, M.b] OR list_has_all(f, [M.a, M.b])) AS is_simplex FROM (SELECT [v] AS f, CAST(NULL AS DOUBLE) AS data FROM N UNION ALL SELECT coalesce(p.f, E.f), p.w FROM (SELECT [a, b] AS f, w FROM P) p FULL JOIN E ON p.f = E.f UNION ALL SELECT f, data FROM T), M")
+def appended_changes(spark, sf_dir):
+    """Triples put in two batches on top of a graph, then one direction of a link dropped."""
+    ids = suppliers(spark, sf_dir).select("id")
+    top = ids.agg(F.max("id")).first()[0]
+    rows = ids.filter(F.col("id") + 2 <= top).select(F.array("id", F.col("id") + 1, F.col("id") + 2).alias("vertices"), F.col("id").cast("double").alias("data"), F.lit(0).alias("seq"))
+    g = first_graph(spark, sf_dir)
+    for half in (0, 1):
+        g = changes.append_simplices(g, rows.filter(F.col("vertices")[0] % 2 == half))
+    a, b = _least_edge(spark, sf_dir)
+    link = spark.createDataFrame([([a], [a, b], True, False)], "lower array<bigint>, upper array<bigint>, is_in boolean, is_out boolean")
+    return changes.drop_relations(g, link).nodes.select(key_of("vertices").alias("face"), "data", "is_simplex")
+
+
 # -- streams -------------------------------------------------------------------------------------------------------------
 
 

@@ -112,13 +112,13 @@ def from_collaborations(papers: DataFrame, least_citations: int = 5, most_author
     return from_simplices(flat.join(ids, "author").groupBy("paper").agg(F.array_sort(F.collect_list("v")).alias("vertices"), F.max("citations").alias("w")), "w", spread=True)
 
 
-def road_network(nodes: DataFrame, arcs: DataFrame, directed: bool = True) -> Graph:
-    """Road tables: nodes (``osm_id``, ``x``, ``y``) are numbered densely and hold no data of their own type here; arcs (``u``, ``v``, ``length``) become edges. ``positions()`` gives the coordinates."""
+def road_network(nodes: DataFrame, arcs: DataFrame, directed: bool = True, seq: str | None = None) -> Graph:
+    """Road tables: nodes (``osm_id``, ``x``, ``y``) are numbered densely and hold no data of their own type here; arcs (``u``, ``v``, ``length``) become edges, the last one (by ``seq``) telling the length of both directions. ``positions()`` gives the coordinates."""
     ids = dense_index(nodes.select("osm_id"), ["osm_id"], "v").select("osm_id", "v")
     a, b = (ids.select(F.col("osm_id").alias(c), F.col("v").alias(f"{c}_v")) for c in "uv")
-    named = arcs.join(a, "u").join(b, "v").select(F.col("u_v").alias("src"), F.col("v_v").alias("dst"), F.col("length").cast("double").alias("length"))
+    named = arcs.join(a, "u").join(b, "v").select(F.col("u_v").alias("src"), F.col("v_v").alias("dst"), F.col("length").cast("double").alias("length"), (F.col(seq) if seq else F.lit(0)).alias("seq"))
     points = ids.select(F.col("v").alias("id"), F.lit(None).cast("double").alias("data"))
-    return from_edges(named, data="length", directed=directed, vertices=points)
+    return from_edges(named, data="length", directed=directed, seq="seq", vertices=points)
 
 
 def positions(nodes: DataFrame) -> DataFrame:
