@@ -5,8 +5,9 @@ the stretches that they span, and is normalised to one for equal terms: letters
 lower it but don't end it. Terms are compared with a few landmarks only (Nyström): a sentence's feature for a landmark is
 the kernel of its nearest term. A linear machine (squared hinge, Newton steps) is trained on labelled sentences in whitened
 landmark coordinates; sentences of a toxic document carry its label if they score as toxic or are its worst (multiple
-instances). A document's score is a logistic function of its
-worst sentence, of all its sentences, and of these by its length.
+instances). Toxic documents are learned from once more with the words near to a landmark spoilt, by inserted or doubled letters,
+so that such words count too. A document's score is a logistic function of its worst sentence, of all its sentences, and of
+these by its length.
 
 The model is fitted in one task from at most ``PER_CLASS`` labelled documents of each class, chosen by a hash of their
 ids; every text is scored whole.
@@ -21,6 +22,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 from math import comb, exp, lgamma, log
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +46,14 @@ RARE = 0.005
 STEM = 5
 #: Longest stretch of a token that is one term; longer tokens are cut with half of it overlapping.
 SPAN = 24
-#: Letters that a subsequence may stretch over: a whole term, so that every gap within one counts.
-STRETCH = SPAN
 #: Landmarks that a step of the recursion takes together; terms at a time, and numbers of terms and landmarks, which bounds memory.
 TOGETHER, AT_ONCE, CELLS = 12, 16384, 1 << 21
 #: Score from which a document is called toxic.
 REJECT = 0.7
 #: Terms that a worker remembers.
 REMEMBERED = 400_000
+#: Letters that are put into words to spoil them.
+INSERTED = "xzqkvjwh"
 #: Single letters set apart.
 SPACED = re.compile(r"(?<!\S)\w(?:[ *_-]{1,3}\w){3,}(?!\S)")
 
@@ -310,6 +312,32 @@ class Scorer:
         return out
 
 
+def spoilt(token: str, way: int) -> str:
+    """The token as someone would write it to get past a list: a letter or two put in, or letters doubled. Which and where depends on the token alone."""
+    if len(token) < 4:
+        return token
+    h = crc32(token.encode("utf-8", "surrogatepass")) + way
+    at, letter = 1 + h % (len(token) - 2), INSERTED[h // 7 % len(INSERTED)]
+    if way % 4 == 0:
+        return token[:at] + letter + token[at:]
+    if way % 4 == 1:
+        other = 1 + (at + len(token) // 2) % (len(token) - 1)
+        low, high = sorted((at, other))
+        return token[:low] + letter + token[low:high] + letter + token[high:]
+    return "".join(c * 2 for c in token) if way % 4 == 2 else token[:at] + token[at] + token[at:]
+
+
+def with_spoilt(docs: list[list[list[str]]], y: np.ndarray, kernel: Kernel) -> list[list[list[str]]]:
+    """The toxic documents once more, the words that are near to a landmark spoilt."""
+    near, out = NEAR**POWER, []
+    for k, (d, bad) in enumerate(zip(docs, y, strict=True)):
+        if bad:
+            hot = {w for s in d for w in s if w in kernel.known and kernel.known[w].max() >= near}
+            if hot:
+                out.append([[spoilt(w, k) if w in hot else w for w in s] for s in d])
+    return out
+
+
 def fit(texts: list[str], toxic: list[int]) -> Model:
     """A model from labelled documents. Without both classes, or without any telling term, every text scores 0."""
     docs = [sentences_of(t) for t in texts]
@@ -322,6 +350,9 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         return blank
     kernel = Kernel(landmarks)
     kernel.learn({w for d in docs for s in d for w in s})
+    more = with_spoilt(docs, y, kernel)
+    kernel.learn({w for d in more for s in d for w in s})
+    docs, y = docs + more, np.append(y, np.ones(len(more), bool))
     rows, owner = [], []
     for k, d in enumerate(docs):
         held = {}

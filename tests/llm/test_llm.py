@@ -212,7 +212,7 @@ def test_kernel_is_the_sum_over_subsequences():
     def held(x):
         out = Counter()
         for at in itertools.combinations(range(len(x)), toxicity.LENGTH):
-            if (stretch := at[-1] - at[0] + 1) <= toxicity.STRETCH:
+            if (stretch := at[-1] - at[0] + 1) <= toxicity.SPAN:
                 out["".join(x[i] for i in at)] += toxicity.DECAY**stretch
         return out
 
@@ -253,6 +253,18 @@ def test_insults_with_inserted_letters(spark):
     asked = ["ixdxiot", "ixxdiot", "idxxiot", "woxrxthxless", "worxxxthless", "anthin"]
     scores = [r["score"] for r in toxicity.score(table(spark, [f"on the {w} there" for w in asked]), model).orderBy("doc_id").collect()]
     assert min(scores[:5]) > scores[5], scores  # what no landmark is near to scores the same everywhere
+    plain = ["idiot", "worthless", "worxthless", "woxrthless", "worthlexss", "wwoorrtthhlleessss", "idiott", "worrthless"]
+    scores = [r["score"] for r in toxicity.score(table(spark, [f"on the {w} there" for w in plain]), model).collect()]
+    assert min(scores) >= toxicity.REJECT, scores  # one letter put in, or letters doubled
+
+
+def test_spoilt_words():
+    assert {toxicity.spoilt("worthless", way) for way in range(4)} == {toxicity.spoilt("worthless", way) for way in range(4)}
+    for way in range(12):
+        made = toxicity.spoilt("worthless", way)
+        rest = iter(made)
+        assert len(made) > 9 and all(c in rest for c in "worthless")  # the word is still in there
+    assert toxicity.spoilt("abc", 0) == "abc"
 
 
 def test_toxicity(spark, odd, none):
