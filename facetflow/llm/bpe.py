@@ -14,7 +14,7 @@ import json
 import os
 import unicodedata
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -272,6 +272,23 @@ class BpeModel:
             start = end
 
 
+#: First bytes of white space in UTF-8, ASCII and beyond.
+SPACES = np.isin(np.arange(256), [*range(0x21), 0xC2, 0xE1, 0xE2, 0xE3])
+
+
+def starts_with_space(column: pa.Array, strings: list[str]) -> np.ndarray:
+    """Which strings are empty or begin with white space: the first byte tells of most that they don't."""
+    if not len(column):
+        return np.zeros(0, bool)
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+    out = (ends[1:] == ends[:-1]) | SPACES[raw[np.minimum(ends[:-1], len(raw) - 1)]]
+    for k in np.flatnonzero(out).tolist():
+        out[k] = not strings[k] or strings[k][0].isspace()
+    return out
+
+
 class Memory:
     """Ids of pieces that were encoded before, one behind the other in an array; ``at`` has a piece's number in the order of coming."""
 
@@ -327,10 +344,24 @@ class Codec:
 
     def learn(self, pieces: Iterable, store: Memory, lead: str = "") -> None:
         """Remembers all of the pieces (not empty ones, and behind a space none that start with white space)."""
-        every = set(pieces)
-        new = list(every.difference(store.at))
-        if store.fit(len(new)):
-            new = list(every.difference(store.at))
+        self.put_new(list(set(pieces).difference(store.at)), store, lead)
+
+    def numbers(self, pieces: list, store: Memory, lead: str = "") -> np.ndarray:
+        """Where the store has distinct pieces, those that it hasn't yet being learned. One look at each."""
+        at = np.fromiter(map(store.at.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing and store.fit(len(missing)):
+            at = np.fromiter(map(store.at.get, pieces, repeat(-1)), np.int64, len(pieces))
+            missing = np.flatnonzero(at < 0).tolist()
+        new = [pieces[k] for k in missing]
+        self.put_new(new, store, lead, False)
+        at[missing] = np.fromiter(map(store.at.__getitem__, new), np.int64, len(new))
+        return at
+
+    def put_new(self, new: list, store: Memory, lead: str, fit: bool = True) -> None:
+        """Encodes distinct pieces that the store hasn't."""
+        if fit and store.fit(len(new)):
+            new = [p for p in new if p not in store.at]
         if not new:
             return
         if self.cut is None:
@@ -399,12 +430,11 @@ class Codec:
         code = coded.indices.to_numpy(zero_copy_only=False).copy()
         if self.cut is None:
             own = coded.dictionary.cast(pa.binary()).to_pylist()
-            self.learn(own, self.known)
-            number = np.fromiter(map(self.known.at.__getitem__, own), np.int64, len(own))
+            number = self.numbers(own, self.known)
             table, starts, ends = self.known.ids, self.known.starts[number], self.known.starts[number + 1]
         else:
             pieces, heads = coded.dictionary.to_pylist(), lists.values.take(pa.array(offsets[:-1])).to_pylist()
-            odd = np.fromiter((not p or p[0].isspace() for p in pieces), bool, len(pieces))
+            odd = starts_with_space(coded.dictionary, pieces)
             self.learn(heads, self.heads)
             first = np.fromiter(map(self.heads.at.__getitem__, heads), np.int64, len(heads))
             more = [self.heads.ids[low:high] for low, high in zip(self.heads.starts[first].tolist(), self.heads.starts[first + 1].tolist(), strict=True)]
@@ -414,10 +444,9 @@ class Codec:
                 for k in np.flatnonzero(np.add.reduceat(strange[code], offsets[:-1])).tolist():
                     more[k] = self.whole(texts[k].as_py())
                     code[offsets[k] + 1 : offsets[k + 1]] = len(pieces) + len(first)  # nothing more
-            sound = [p for p, bad in zip(pieces, odd.tolist(), strict=True) if not bad]
-            self.learn(sound, self.known, " ")
+            sound = list(compress(pieces, (~odd).tolist())) if odd.any() else pieces
             number = np.zeros(len(pieces), np.int64)
-            number[~odd] = np.fromiter(map(self.known.at.__getitem__, sound), np.int64, len(sound))
+            number[~odd] = self.numbers(sound, self.known, " ")
             used, sizes = int(self.known.starts[len(self.known.at)]), np.array([*map(len, more), 0], np.int64)
             behind = used + np.cumsum(sizes)
             table = np.concatenate([self.known.ids[:used], *more])

@@ -31,40 +31,42 @@ ROWS = 1 << 14
 
 
 class OpenWindows:
-    """``emitted`` holds (sequence, offset, piece) of closed windows; a piece is (id, start, ids, tokens of its document)."""
+    """``emitted`` has the rows of closed windows: document, start, length, CRC, tokens of the document, sequence, offset. Ids come as bytes, four each."""
 
     def __init__(self, capacity: int, most: int = WINDOWS, least_cut: int = 1):
         self.capacity, self.most, self.least_cut = capacity, most, least_cut
-        self.held: dict[int, list[tuple]] = {}
+        self.held: dict[int, list[tuple]] = {}  # by window: document, start, bytes, tokens of the document
         self.spaces: list[tuple[int, int]] = []  # free space and window, the fullest first
-        self.sequence = 0
+        self.sequence = self.windows = 0
         self.emitted: list[tuple] = []
 
     def emit(self, pieces: list[tuple]) -> None:
         offset = 0
-        for piece in pieces:
-            self.emitted.append((self.sequence, offset, piece))
-            offset += len(piece[2])
+        for key, start, raw, tokens in pieces:
+            length = len(raw) >> 2
+            self.emitted.append((key, start, length, zlib.crc32(raw), tokens, self.sequence, offset))
+            offset += length
         self.sequence += 1
 
-    def put(self, at: int | None, piece: tuple) -> None:
+    def put(self, at: int | None, piece: tuple, length: int) -> None:
         """Into the window at a place of ``spaces``, or a new one. A full window is emitted."""
         if at is None:
-            space, window = self.capacity, max(self.held, default=-1) + 1
+            space, window = self.capacity, self.windows
+            self.windows += 1
             self.held[window] = []
         else:
             space, window = self.spaces.pop(at)
         self.held[window].append(piece)
-        if space > len(piece[2]):
-            insort(self.spaces, (space - len(piece[2]), window))
+        if space > length:
+            insort(self.spaces, (space - length, window))
         else:
             self.emit(self.held.pop(window))
 
-    def add(self, key, ids: np.ndarray) -> None:
+    def add(self, key, raw: memoryview) -> None:
         """A document: whole sequences of its own as long as they are full, then the rest where it fits best."""
-        start, end = 0, len(ids)
+        start, end = 0, len(raw) >> 2
         while end - start >= self.capacity:
-            self.emit([(key, start, ids[start : start + self.capacity], end)])
+            self.emit([(key, start, raw[4 * start : 4 * (start + self.capacity)], end)])
             start += self.capacity
         while start < end:
             at: int | None = bisect_left(self.spaces, (end - start, -1))
@@ -76,7 +78,7 @@ class OpenWindows:
                     if size < self.least_cut:
                         self.emit(self.held.pop(self.spaces.pop(0)[1]))
                         continue
-            self.put(at, (key, start, ids[start : start + size].copy(), end))
+            self.put(at, (key, start, bytes(raw[4 * start : 4 * (start + size)]), end), size)
             start += size
 
     def left(self) -> list[tuple]:
@@ -95,10 +97,6 @@ def tail_cuts(total: int, capacity: int) -> np.ndarray:
     return np.array(cuts, np.int64)
 
 
-def crc(ids: np.ndarray) -> int:
-    return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
-
-
 def opened(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, windows: int, least_cut: int) -> DataFrame:
     """Pieces of ``df`` (``_id``, ``_text``) in closed windows (``sequence`` within the task) and in open ones (null, with ``ids``, ``offset`` in the task's stream)."""
     fields = [("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("doc_tokens", T.LongType()), ("task", T.IntegerType()), ("sequence", T.LongType()), ("offset", T.LongType()), ("ids", T.BinaryType())]
@@ -114,23 +112,23 @@ def opened(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, windo
             return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True))], schema.names)
 
         def closed() -> pa.RecordBatch:
-            rows = [(key, start, len(ids), crc(ids), tokens, task, sequence, offset, None) for sequence, offset, (key, start, ids, tokens) in state.emitted]
-            state.emitted = []
-            return table(rows)
+            rows, state.emitted = state.emitted, []
+            return table([(*row[:5], task, *row[5:], None) for row in rows])
 
         for batch in slices(batches, "_text", ENCODED_BYTES):
             kind = batch.schema.field("_id").type
             ids, bounds = codec.encode_ended(batch.column("_text"), end_id)
+            raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
             for key, low, high in zip(batch.column("_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                state.add(key, ids[low:high])
+                state.add(key, raw[4 * low : 4 * high])
                 if len(state.emitted) >= ROWS:
                     yield closed()
         if state.emitted:
             yield closed()
         offset, rows = 0, []
-        for key, start, ids, tokens in state.left():
-            rows.append((key, start, len(ids), crc(ids), tokens, task, None, offset, np.ascontiguousarray(ids, "<u4").tobytes()))
-            offset += len(ids)
+        for key, start, own, tokens in state.left():
+            rows.append((key, start, len(own) >> 2, zlib.crc32(own), tokens, task, None, offset, own))
+            offset += len(own) >> 2
         if rows:
             yield table(rows)
 
@@ -152,15 +150,15 @@ def merged(left: DataFrame, capacity: int) -> DataFrame:
         for batch in batches:
             rows = []
             for key, start, tokens, offset, base, raw in zip(*(batch.column(c).to_pylist() for c in ("_id", "start", "doc_tokens", "offset", "_base", "ids")), strict=True):
-                ids, at, done = np.frombuffer(raw, "<u4"), base + offset, 0
-                while done < len(ids):
+                length, at, done = len(raw) >> 2, base + offset, 0
+                while done < length:
                     if at < whole:
                         number, first, end = at // capacity, at // capacity * capacity, (at // capacity + 1) * capacity
                     else:
                         k = int(np.searchsorted(cuts, at, side="right"))
                         number, first, end = whole // capacity + k, int(cuts[k - 1]) if k else whole, int(cuts[k])
-                    size = min(len(ids) - done, end - at)
-                    rows.append((key, start + done, size, crc(ids[done : done + size]), tokens, -1 - number, at - first))
+                    size = min(length - done, end - at)
+                    rows.append((key, start + done, size, zlib.crc32(raw[4 * done : 4 * (done + size)]), tokens, -1 - number, at - first))
                     done, at = done + size, at + size
             if rows:
                 columns = list(zip(*rows, strict=True))

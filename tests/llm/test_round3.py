@@ -207,16 +207,16 @@ def test_windows_with_little_room_can_be_left(spark):
 
 def test_open_windows_take_the_best_fit():
     state = online_packing.OpenWindows(10, 2)
-    ids = np.zeros(10, np.uint32)
-    state.add("a", ids[:6])
-    state.add("b", ids[:7])
-    state.add("c", ids[:3])  # fills the second, which has the least room
-    assert [(s, o, p[0]) for s, o, p in state.emitted] == [(0, 0, "b"), (0, 7, "c")]
-    state.add("d", ids[:5])
-    state.add("e", ids[:8])  # none has room: the fullest, a's, takes the head
-    assert [(s, o, p[0], len(p[2])) for s, o, p in state.emitted[2:]] == [(1, 0, "a", 6), (1, 6, "e", 4)]
-    assert [(p[0], p[1], len(p[2])) for p in state.left()] == [("d", 0, 5), ("e", 4, 4)]
-    assert sum(len(p[2]) for _, _, p in state.emitted) + sum(len(p[2]) for p in state.left()) == 29
+    ids = memoryview(bytes(40))
+    placed = lambda rows: [(r[5], r[6], r[0], r[2]) for r in rows]
+    state.add("a", ids[: 4 * 6])
+    state.add("b", ids[: 4 * 7])
+    state.add("c", ids[: 4 * 3])  # fills the second, which has the least room
+    assert placed(state.emitted) == [(0, 0, "b", 7), (0, 7, "c", 3)]
+    state.add("d", ids[: 4 * 5])
+    state.add("e", ids[: 4 * 8])  # none has room: the fullest, a's, takes the head
+    assert placed(state.emitted[2:]) == [(1, 0, "a", 6), (1, 6, "e", 4)]
+    assert [(p[0], p[1], len(p[2]) // 4) for p in state.left()] == [("d", 0, 5), ("e", 4, 4)]
 
 
 def test_online_packing_of_nothing(spark):
