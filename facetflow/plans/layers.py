@@ -128,7 +128,7 @@ class MultiGraphLayer:
 
     def reset_forward(self) -> None:
         self._parts: list[DataFrame] = []
-        self._rows = 0
+        self._rows = self._hasty = 0
 
     def messages(self, features: DataFrame, matrices: DataFrame, width: int) -> DataFrame:
         return self.graph_agg(self.vertex_agg(self.adj_transform(matrices), features, width), width)
@@ -152,10 +152,21 @@ class MultiGraphLayer:
         self.reset_forward()
         return self.output(self.update(t, parts)), True
 
-    def hasty(self, features: DataFrame, tile: DataFrame, rows: DataFrame) -> DataFrame:
-        """The rows (``node``) of a tile at once; matrix columns are restricted to these rows."""
+    def hasty(self, features: DataFrame, tile: DataFrame, rows: DataFrame, n: int | None = None) -> DataFrame | tuple[DataFrame, bool]:
+        """The rows (``node``) of a tile at once; matrix columns are restricted to these rows.
+
+        With ``n`` the rows of all tiles so far are counted, and the result comes with whether they are n, after which the
+        count begins anew. PartialForwardError if they are more; the count then is what is over.
+        """
         own = features.join(rows, "node", "left_semi")
-        return self(own, tile.join(rows.withColumnRenamed("node", "j"), "j", "left_semi"))
+        out = self(own, tile.join(rows.withColumnRenamed("node", "j"), "j", "left_semi"))
+        if n is None:
+            return out
+        total = self._hasty + rows.count()
+        self._hasty = total % n
+        if total > n:
+            raise PartialForwardError(f"{total} rows of {n}")
+        return out, self._hasty == 0
 
 
 class PartialForward:

@@ -168,3 +168,17 @@ def test_aggregation_that_is_no_sum(spark):
         want = [sum(v * np.exp(v) for v in c) / sum(np.exp(v) for v in c) for c in zip(*r, strict=True)]
         assert got(layers.softmax_weighted)[n] == pytest.approx(want)
     assert got(F.array_min)[2] == [-1.0, 0.5]
+
+
+def test_hasty_tiles_are_counted(pair, spark):
+    f, m = pair
+    layer, node = layers.MultiGraphLayer(), lambda k: spark.createDataFrame([(k,)], "node bigint")
+    out, done = layer.hasty(f, m, node(0), 2)
+    assert not done and [tuple(r) for r in out.collect()] == [(0, [0.5])]
+    assert layer.hasty(f, m, node(1), 2)[1] and layer._hasty == 0
+    layer.hasty(f, m, node(0), 2)
+    with pytest.raises(layers.PartialForwardError):
+        layer.hasty(f, m, f.select("node"), 2)
+    assert layer._hasty == 1
+    layer.reset_forward()
+    assert layer.hasty(f, m, f.select("node"), 2)[1]
