@@ -9,6 +9,7 @@ described by ``BITS`` brightness comparisons. Then, without ever pairing all pic
 3. In each bucket of a table all pictures are held against one pivot (a star, not all pairs). A pair is a link if its
    descriptors within ``APART`` bits agree, ``AGREE`` of them at least, on a shift, turn and scale.
 4. Links make groups. Buckets whose pictures are in several groups get another pivot, ``ROUNDS`` times at most or until nothing new is linked.
+5. Then all pairs of a bucket that are still in different groups are compared, so no pair that shares a key is left out.
 """
 
 from __future__ import annotations
@@ -197,6 +198,12 @@ def confirmed(pairs: DataFrame, pictures: DataFrame) -> DataFrame:
     return member.union(pivot).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first()).mapInArrow(_confirmed, "a long, b long, n_agree int")
 
 
+def _named(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Buckets with the group of each picture."""
+    named = buckets.select("key", "node").join(labels.select(F.col("node").alias("_n"), "component"), F.col("node") == F.col("_n"), "left")
+    return materialize(named.select("key", "node", F.coalesce("component", "node").alias("component")), "named")
+
+
 def copies(queries: DataFrame, media: DataFrame, id_col: str = "media_id") -> DataFrame:
     """``kind`` (query or media), ``id``, ``class_id``, ``n_agree``: a row for each row that takes part.
 
@@ -219,7 +226,7 @@ def copies(queries: DataFrame, media: DataFrame, id_col: str = "media_id") -> Da
     links = materialize(confirmed(buckets.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), corners_of), "links")
     labels = connected_components(links)
     for turn in range(1, ROUNDS):
-        named = materialize(buckets.select("key", "node").join(labels.select(F.col("node").alias("_n"), "component"), F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("component", "node").alias("component")), "named")
+        named = _named(buckets, labels)
         # another pivot: of a group drawn by a hash; the others of the bucket are held against it
         drawn_ = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.struct(F.xxhash64("component", F.lit(turn)).alias("h"), "component", "node")).alias("p")).filter("lo < hi")
         open_ = named.join(drawn_.select("key", F.col("p.component").alias("c"), F.col("p.node").alias("a")), "key").filter(F.col("component") != F.col("c"))
@@ -228,6 +235,14 @@ def copies(queries: DataFrame, media: DataFrame, id_col: str = "media_id") -> Da
             break
         links = materialize(links.union(more), "links")
         labels = connected_components(links)
+    # whatever stars have left: all pairs of a bucket whose pictures are still in different groups
+    named = _named(buckets, labels)
+    a, b = (named.select("key", F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in "ab")
+    rest = a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.col("_a") != F.col("_b"))).select("a", "b").distinct()
+    more = materialize(confirmed(rest, corners_of), "links")
+    if not more.isEmpty():
+        links = materialize(links.union(more), "links")
+        labels = connected_components(links)
     best = links.select(F.explode(F.array("a", "b")).alias("node"), "n_agree").groupBy("node").agg(F.max("n_agree").alias("n_agree"))
     whole = members.join(labels.select(F.col("node").alias("_n"), "component"), F.col("rep") == F.col("_n"), "left").withColumn("group", F.coalesce("component", "rep")).drop("_n", "component")
     whole = materialize(whole.join(best.withColumnRenamed("node", "_b"), F.col("rep") == F.col("_b"), "left").select("kind", "id", "group", "n_agree"), "grouped")

@@ -96,3 +96,24 @@ def test_query(spark, tmp_path):
     rows = sorted((r["kind"], r["id"], r["class_id"]) for r in op6_edited_pictures(spark, str(tmp_path)).collect())
     assert [r for r in rows if r[0] == "query"] == [("query", 40, 40), ("query", 60, 40)]
     assert [r for r in rows if r[0] == "media"] == [("media", i, 40 if i in (60, 61) else i) for i in vectors if i < 98]
+
+
+def test_pairs_that_pivots_leave_are_compared(spark, monkeypatch):
+    """A bucket whose pivots match nothing still links the others: only the last two share a picture."""
+    monkeypatch.setattr(image_match, "ROUNDS", 1)
+    same = image_match.describe(drawing(7))[0].tobytes()
+    own = [image_match.describe(drawing(s))[0].tobytes() for s in range(20, 24)] + [same, same]
+    rows = [(f"{n}", raw) for n, raw in enumerate(own)]
+
+    def described(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            nodes = batch.column("node")
+            at = [int(w) - 100 for w in batch.column("width").to_pylist()]
+            yield pa.RecordBatch.from_arrays([nodes, pa.array([rows[k][1] for k in at], pa.binary()), pa.array([[1]] * len(at), pa.list_(pa.int64()))], ["node", "corners", "keys"])
+
+    monkeypatch.setattr(image_match, "_described", described)
+    media = spark.createDataFrame([(k, 100 + k, 1, bytes([k]) * (100 + k)) for k in range(6)], SCHEMA).coalesce(1)
+    got = {r["id"]: r["class_id"] for r in image_match.copies(media.limit(0), media).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4}
