@@ -28,7 +28,7 @@ def adjacency_matrices(graph: Graph, dists: Iterable[int], rel_dims: Iterable[in
     spark = graph.spark
     order = F.broadcast(spark.createDataFrame([(c, v, k) for k, (c, v) in enumerate(asked)], "kind string, v int, n int"))  # the lists' entries
     found = related(graph, dists, rel_dims, places).withColumnRenamed("k", "v").join(order, ["kind", "v"])
-    if isinstance(graph, EdgeGraph) and dims is not None and list(dims) == [0]:  # a vertex's place is its number
+    if isinstance(graph, EdgeGraph) and dims is not None and list(dims) == [0] and not rel_dims:  # a vertex's place is its number, and nothing else is reached
         out = found.select(F.col("n").alias("k"), F.col("dst").alias("i"), F.col("src").alias("j"), F.lit(1.0).alias("value"))
     else:
         a, b = places.select(F.col("nid").alias("src"), F.col("pos").alias("j")), places.select(F.col("nid").alias("dst"), F.col("pos").alias("i"))
