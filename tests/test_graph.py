@@ -262,3 +262,27 @@ def test_edges_are_numbered_only_when_asked(spark):
     with pytest.raises(IndexError):
         builders.from_edges(edges(spark, [(-1, 2, 1.0)]))
     assert lookup.shape(builders.from_edges(edges(spark, []))) == [0]
+
+
+def test_non_adjacency_shuffles_no_pairs(square, monkeypatch):
+    """Over several blocks, by number or by label; no row of the result passes through a shuffle or a sort."""
+    monkeypatch.setattr(relations, "BLOCK", 3)
+    monkeypatch.setattr(relations, "ROWS", 5)
+    nodes = {r["nid"]: tuple(r["vertices"]) for r in square.nodes.collect()}
+    vertices, edges = ([n for n, v in nodes.items() if len(v) == k] for k in (1, 2))
+    assert len(edges) > relations.BLOCK
+    beside = {(a, b) for a in vertices for b in vertices if a != b and tuple(sorted((*nodes[a], *nodes[b]))) not in nodes.values()}
+    outside = {(a, b) for a in vertices for b in edges if nodes[a][0] not in nodes[b]}
+    pairs = lambda df: sorted(tuple(r) for r in df.collect())
+    start = square.nodes.filter("dim = 0")
+    for sources in (start, square.vertices()):
+        assert pairs(relations.non_adjacency(square, 0, sources)) == sorted(beside)
+        assert pairs(relations.non_adjacency(square, 0, sources, include_self=True)) == sorted(beside | {(a, a) for a in vertices})
+        assert pairs(relations.non_adjacency(square, 1, sources)) == sorted(outside)
+    got = relations.non_adjacency(square, 1, start, label=F.array_join("vertices", "-"))
+    key = lambda n: "-".join(map(str, nodes[n]))
+    assert pairs(got) == sorted((key(a), key(b)) for a, b in outside)
+    assert relations.non_adjacency(square, 5).count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    top = plan[: plan.index("Generate explode(own")]
+    assert "Exchange" not in top and "Join" not in top
