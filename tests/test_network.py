@@ -178,3 +178,22 @@ def test_learned_distances_beat_the_start_on_held_out_pairs(spark):
     best, losses = network.train_distances(start, df, epochs=12, rate=0.2)
     after = network.gap_loss(best, df)
     assert after["test"] < 0.3 * losses[0]["test"] and abs(after["valid"] - min(each["valid"] for each in losses)) < 1e-9
+
+
+@pytest.mark.parametrize("wide", [128, 1])
+def test_losses_and_gradients_of_distances_in_one_pass(spark, monkeypatch, wide):
+    """As two passes would give them; a step reads the pairs once and joins them with nothing but the features of both ends."""
+    monkeypatch.setattr(network, "WIDE", wide)
+    rows = [(i, j, (i * 3 + j) % 5 / 2, ["train", "valid", "train"][(i + j) % 3]) for i in range(9) for j in range(9) if i != j] + [(4, 99, 1.0, "train")]
+    pairs = spark.createDataFrame(rows, "i bigint, j bigint, target double, part string")
+    start = layers.embedding_table(spark.range(9).select(F.col("id").alias("node")), 3, seed=1)
+    want = {r["node"]: r["g"] for r in network.gap_gradients(start, pairs.filter("part = 'train'"), 0.1).collect()}
+    found = network.gap_gradients(start, pairs, 0.1, ["train", "valid"])
+    got = found.collect()
+    assert {r["node"] for r in got} == set(range(9)) and all(np.allclose(r["g"], want[r["node"]], atol=1e-12) for r in got)
+    sums, loss = np.sum([r["losses"] for r in got], 0), network.gap_loss(start, pairs)
+    assert np.allclose([sums[0] / sums[1], sums[2] / sums[3]], [loss["train"], loss["valid"]], atol=1e-12)
+    _, losses = network.train_distances(start, pairs, epochs=1)
+    assert len(losses) == 2 and losses[0] == pytest.approx(loss, abs=1e-12)
+    if wide > 3:
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
