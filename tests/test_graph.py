@@ -286,3 +286,10 @@ def test_non_adjacency_shuffles_no_pairs(square, monkeypatch):
     plan = got._jdf.queryExecution().executedPlan().toString()
     top = plan[: plan.index("Generate explode(own")]
     assert "Exchange" not in top and "Join" not in top
+
+
+def test_non_adjacency_of_vertices_numbers_no_edges(spark):
+    g = builders.from_edges(edges(spark, [(0, 1, 1.0), (1, 2, 1.0), (3, 1, 1.0)]), data="w")
+    found = relations.non_adjacency(g, 0, lookup.within(g, [0]))
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 2), (0, 3), (2, 0), (2, 3), (3, 0), (3, 2)]
+    assert g._whole is None
