@@ -131,7 +131,8 @@ def non_adjacency(graph: Graph, rel_dim: int = 0, sources: DataFrame | None = No
     tasks = -(-sum(n * spans[d]["n"] for d, n in asked.items()) // ROWS) or 1
     parts = -(-KEYS * tasks // (sum(spans[d]["blocks"] for d in asked) or 1))
 
-    ends = F.broadcast(graph.spark.createDataFrame([(d, spans[d]["first"], spans[d]["last"]) for d in asked], "d int, first bigint, last bigint"))
+    ends = F.array(*(F.struct(F.lit(d), F.lit(spans[d]["first"]), F.lit(spans[d]["last"])) for d in asked)).cast("array<struct<d:int,first:bigint,last:bigint>>")
+    ends = F.broadcast(graph.spark.range(1, numPartitions=1).select(F.inline(ends)))  # a row for each dimension; a list of Python's would start Python on the executors
     source = start.select(F.col("nid").alias("src"), (F.col("dim") + rel_dim).alias("d"))
     source = source.withColumn("src_shown", F.col("src")) if label is None else source.join(nodes.select(F.col("nid").alias("src"), label.alias("src_shown")), "src")
     each = source.join(ends, "d").select("src", "src_shown", "d", F.explode(F.sequence("first", "last")).alias("block"), F.pmod(F.xxhash64("src"), F.lit(parts)).cast("int").alias("part"))

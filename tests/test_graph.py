@@ -293,3 +293,17 @@ def test_non_adjacency_of_vertices_numbers_no_edges(spark):
     found = relations.non_adjacency(g, 0, lookup.within(g, [0]))
     assert sorted(tuple(r) for r in found.collect()) == [(0, 2), (0, 3), (2, 0), (2, 3), (3, 0), (3, 2)]
     assert g._whole is None
+
+
+def test_non_adjacency_starts_no_python(spark, monkeypatch):
+    """With a hub over several blocks; the executors run no Python for it."""
+    monkeypatch.setattr(relations, "BLOCK", 3)
+    n, hub = 8, 4
+    linked = {(hub, v) for v in range(n) if v not in (hub, 6)} | {(0, 1)}
+    g = builders.from_edges(edges(spark, [(a, b, 1.0) for a, b in sorted(linked)]), data="w")
+    related = linked | {(b, a) for a, b in linked}
+    for own in (False, True):
+        found = relations.non_adjacency(g, 0, lookup.within(g, [0]), include_self=own)
+        assert sorted(tuple(r) for r in found.collect()) == [(a, b) for a in range(n) for b in range(n) if (a, b) not in related and (own or a != b)]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Generate explode(own" in plan and "ExistingRDD" not in plan
