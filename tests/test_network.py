@@ -197,3 +197,18 @@ def test_losses_and_gradients_of_distances_in_one_pass(spark, monkeypatch, wide)
     assert len(losses) == 2 and losses[0] == pytest.approx(loss, abs=1e-12)
     if wide > 3:
         assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
+def test_distances_are_learned_in_tasks_as_by_joins(spark, monkeypatch):
+    """The same losses and features; ends without features, pairs without target or part, ends that meet."""
+    rows = [(i, j, (i * 3 + j) % 5 / 2, ["train", "valid", "train", None][(i + j) % 4]) for i in range(9) for j in range(9)] + [(4, 99, 1.0, "train")]
+    pairs = spark.createDataFrame(rows, "i bigint, j bigint, target double, part string")
+    start = layers.embedding_table(spark.range(9).select(F.col("id").alias("node")), 3, seed=1)
+    monkeypatch.setattr(network, "TOGETHER", 10)
+    got, losses = network.train_distances(start, pairs, epochs=3, rate=0.1)
+    monkeypatch.setattr(network, "NUMBERS", 0)
+    monkeypatch.setattr(network, "_task_gradients", None)
+    want, by_joins = network.train_distances(start, pairs, epochs=3, rate=0.1)
+    assert all(a == pytest.approx(b, abs=1e-12) for a, b in zip(losses, by_joins, strict=True))
+    x, y = ({r["node"]: r["features"] for r in t.collect()} for t in (got, want))
+    assert set(x) == set(y) == set(range(9)) and all(np.allclose(x[v], y[v], atol=1e-12) for v in x)
