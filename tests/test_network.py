@@ -212,3 +212,16 @@ def test_distances_are_learned_in_tasks_as_by_joins(spark, monkeypatch):
     assert all(a == pytest.approx(b, abs=1e-12) for a, b in zip(losses, by_joins, strict=True))
     x, y = ({r["node"]: r["features"] for r in t.collect()} for t in (got, want))
     assert set(x) == set(y) == set(range(9)) and all(np.allclose(x[v], y[v], atol=1e-12) for v in x)
+
+
+def test_learned_distances_takes_all_sources(spark, monkeypatch):
+    """The query learns from every vertex's distances, not from those of some sources."""
+    from facetflow import queries
+
+    arcs = spark.createDataFrame([(a, b, 100.0) for a, b in [(1, 2), (2, 1), (2, 3), (3, 2), (20, 21), (21, 20)]], "src bigint, dst bigint, w double")
+    seen = []
+    monkeypatch.setattr(queries, "first_graph", lambda *_: None)
+    monkeypatch.setattr(queries.paths, "arcs_of", lambda _: arcs)
+    monkeypatch.setattr(queries.network, "train_distances", lambda table, pairs, **_: (table, seen.extend(tuple(r)[:3] for r in pairs.collect()) or [{"train": 1.0}]))
+    queries.learned_distances(spark, "")
+    assert sorted(seen) == [(1, 2, 1.0), (1, 3, 2.0), (2, 1, 1.0), (2, 3, 1.0), (3, 1, 2.0), (3, 2, 1.0), (20, 21, 1.0), (21, 20, 1.0)]
